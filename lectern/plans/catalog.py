@@ -92,3 +92,42 @@ def q_wer_corpus(spark, sf):
 @register("cer_by_turn", _err_sql(["turn"], kinds=("cer",)))
 def q_cer_by_turn(spark, sf):
     return ER.cer(_pairs(spark, sf), by=["turn"])
+
+
+# --------------------------------------------------------------------------
+# M4-M7, M11, P8/K1 - BLEU and chrF
+from ..operators import mt_metrics as MT  # noqa: E402
+
+_KEY = ["conv_id", "turn"]
+_PS = O.pair_stats_sql(O.CONVERSATION_PAIRS, _KEY)
+
+
+@register("sentence_bleu_chrf", f"""
+SELECT conv_id, turn, {O.sentence_bleu_sql()} AS bleu, {O.sentence_chrf_sql()} AS chrf
+FROM {_PS} s""")
+def q_sentence_scores(spark, sf):
+    return MT.sentence_scores(_pairs(spark, sf), _KEY, digits=4)
+
+
+@register("corpus_bleu_chrf_by_turn", f"""
+SELECT turn, {O.sentence_bleu_sql(agg=True)} AS bleu, {O.sentence_chrf_sql(agg=True)} AS chrf,
+       count(*) AS n_pairs
+FROM {_PS} s GROUP BY turn""")
+def q_corpus_scores(spark, sf):
+    return MT.corpus_scores(_pairs(spark, sf), _KEY, by=["turn"], digits=4)
+
+
+@register("corpus_bleu", f"SELECT {O.sentence_bleu_sql(agg=True)} AS bleu FROM {_PS} s")
+def q_corpus_bleu(spark, sf):
+    return MT.bleu(_pairs(spark, sf), _KEY, digits=4)
+
+
+@register("scorecard", f"""
+WITH w AS (SELECT turn, {O.sentence_bleu_sql(agg=True)} AS bleu, {O.sentence_chrf_sql(agg=True)} AS chrf
+           FROM {_PS} s GROUP BY turn)
+SELECT turn, metric, score, concat_ws('_', replace(CAST(turn AS VARCHAR), ' ', '_'), metric) AS key
+FROM (SELECT turn, 'bleu' AS metric, bleu AS score FROM w
+      UNION ALL SELECT turn, 'chrf', chrf FROM w)""")
+def q_scorecard(spark, sf):
+    wide = MT.corpus_scores(_pairs(spark, sf), _KEY, by=["turn"], digits=4)
+    return MT.scorecard(wide, "turn", ["bleu", "chrf"])

@@ -131,3 +131,274 @@ FROM (SELECT turn, 'bleu' AS metric, bleu AS score FROM w
 def q_scorecard(spark, sf):
     wide = MT.corpus_scores(_pairs(spark, sf), _KEY, by=["turn"], digits=4)
     return MT.scorecard(wide, "turn", ["bleu", "chrf"])
+
+
+# --------------------------------------------------------------------------
+# T1-T4, P7, F1 - text functions over whole tables
+from ..functions import tokenize as TK  # noqa: E402
+from ..operators import filters as FL  # noqa: E402
+from ..operators import reshape as RS  # noqa: E402
+from ..operators import sequence as SQ  # noqa: E402
+from ..operators import vocab as VB  # noqa: E402
+from ..functions.regex import escape_class_chars  # noqa: E402
+
+
+@register("fold_punct", f"""
+SELECT doc_id, translate(text, {O.q(TX.PUNCT_FROM)}, {O.q(TX.PUNCT_TO)}) AS text FROM documents""")
+def q_fold_punct(spark, sf):
+    return RS.fold_columns(table(spark, sf, "documents").select("doc_id", "text"), ["text"])
+
+
+_IGN = "[" + escape_class_chars("".join(TX.CHARS_TO_IGNORE)) + "]"
+_IGN_COMPAT = "[" + "".join(TX.CHARS_TO_IGNORE) + "]"
+
+
+@register("clean_target", f"""
+SELECT conv_id, turn,
+  lower(regexp_replace(text, {O.q(_IGN)}, '', 'g')) || ' ' AS target,
+  lower(regexp_replace(text, {O.q(_IGN_COMPAT)}, '', 'g')) || ' ' AS target_compat
+FROM conversations""")
+def q_clean_target(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", TX.clean_target("text").alias("target"),
+                    TX.clean_target("text", range_compat=True).alias("target_compat"))
+
+
+@register("normalize_pages", f"SELECT page_id, {O.normalize('html')} AS norm_text FROM pages")
+def q_normalize_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", TX.basic_normalize("html").alias("norm_text"))
+
+
+@register("filter_scorable", f"""
+SELECT conv_id, turn, text FROM conversations
+WHERE {O.trim('text')} <> '' AND {O.trim('text')} <> {O.q(TX.IGNORE_SEGMENT)}""")
+def q_filter_scorable(spark, sf):
+    return FL.filter_scorable(table(spark, sf, "conversations"), "text").select("conv_id", "turn", "text")
+
+
+@register("strip_text", f"SELECT doc_id, {O.trim('text')} AS text FROM documents")
+def q_strip_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", TX.unicode_trim("text").alias("text"))
+
+
+@register("tokenize_13a", f"SELECT item_id, {O.tokenize_13a('text')} AS tokens FROM benchmark")
+def q_tokenize_13a(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", TK.tokenize_13a("text").alias("tokens"))
+
+
+@register("add_prompt", """
+SELECT conv_id, turn, 'Translate to English: : ' || text AS "text prompt" FROM conversations""")
+def q_add_prompt(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return RS.with_prompt(c, "text", "Translate to English: ").select("conv_id", "turn", "text prompt")
+
+
+@register("char_spaced", f"""
+SELECT item_id, array_to_string({O.chars('text')}, ' ') AS spaced FROM benchmark""")
+def q_char_spaced(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", TX.char_spaced("text").alias("spaced"))
+
+
+# --------------------------------------------------------------------------
+# P1-P4, P8, U1 - reshape
+_TURNS = list(range(8))  # the turn domain of the conversations table
+_WIDE_SQL = ("SELECT conv_id, " + ", ".join(
+    f'max(CASE WHEN turn = {t} THEN text END) AS "t{t} text"' for t in _TURNS)
+    + " FROM conversations GROUP BY conv_id")
+
+
+def _wide(spark, sf):
+    return RS.long_to_wide(table(spark, sf, "conversations"), ["conv_id"], "turn", _TURNS,
+                           ["text"], names={t: f"t{t}" for t in _TURNS})
+
+
+@register("wide_conversations", _WIDE_SQL)
+def q_wide(spark, sf):
+    return _wide(spark, sf)
+
+
+_DIALECTS = ["t0 text", "t2 text", "t4 text", "t6 text"]
+
+
+@register("unpivot_dialects", f"""
+WITH w AS ({_WIDE_SQL})
+""" + " UNION ALL ".join(
+    f"""SELECT conv_id, "{d}" AS src_txt, "t1 text" AS tgt_txt, '{d}' AS dialect,
+       'yor_Latn' AS src_lang, 'eng_Latn' AS tgt_lang FROM w""" for d in _DIALECTS))
+def q_unpivot(spark, sf):
+    long = RS.unpivot_dialects(_wide(spark, sf), _DIALECTS, pivot_lang="t1 text", ids=["conv_id"])
+    return RS.tag_lang(long, joint=False)
+
+
+@register("unpivot_reverse", f"""
+WITH w AS ({_WIDE_SQL})
+""" + " UNION ALL ".join(
+    f"""SELECT conv_id, "t1 text" AS src_txt, "{d}" AS tgt_txt, '{d}' AS dialect FROM w"""
+    for d in _DIALECTS[:2]))
+def q_unpivot_reverse(spark, sf):
+    return RS.unpivot_dialects(_wide(spark, sf), _DIALECTS[:2], pivot_lang="t1 text",
+                               reverse=True, ids=["conv_id"])
+
+
+@register("union_bitext", f"""
+WITH w AS ({_WIDE_SQL}),
+l AS (""" + " UNION ALL ".join(
+    f"""SELECT conv_id, "{d}" AS src_txt, "t1 text" AS tgt_txt, '{d}' AS dialect FROM w"""
+    for d in _DIALECTS) + """)
+SELECT conv_id, src_txt, tgt_txt, dialect FROM l
+UNION ALL SELECT NULL, text, CAST(item_id AS VARCHAR), NULL FROM benchmark""")
+def q_union_bitext(spark, sf):
+    long = RS.unpivot_dialects(_wide(spark, sf), _DIALECTS, pivot_lang="t1 text", ids=["conv_id"])
+    b = table(spark, sf, "benchmark")
+    # positional two-column bitext: first column is the target, second the source
+    bitext = b.select(F.col("item_id").cast("string"), "text").toDF("tgt_txt", "src_txt")
+    return RS.union_bitext(long, bitext)
+
+
+# --------------------------------------------------------------------------
+# L1, K5/M13 - caps and counts
+@register("cap_per_lang", """
+SELECT doc_id, lang FROM (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents)
+WHERE rn <= 50""")
+def q_cap(spark, sf):
+    return FL.cap(table(spark, sf, "documents").select("doc_id", "lang"), 50, ["doc_id"], ["lang"])
+
+
+@register("split_counts", """
+SELECT lang, count(*) AS n_rows, least(100, count(*)) AS samples FROM documents GROUP BY lang""")
+def q_split_counts(spark, sf):
+    return FL.split_counts(table(spark, sf, "documents"), "lang", cap_n=100)
+
+
+# --------------------------------------------------------------------------
+# M9, A1, A2, A5, M10 - vocabulary and labels
+_TARGET_SQL = f"SELECT conv_id, turn, lower(regexp_replace(text, {O.q(_IGN)}, '', 'g')) || ' ' AS target FROM conversations"
+def _targets(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", TX.clean_target("text").alias("target"))
+
+
+def _vocab(spark, sf):
+    return VB.char_vocab(_targets(spark, sf), "target")
+
+
+_VOCAB_FULL_SQL = f"""
+WITH c AS (SELECT DISTINCT unnest({O.chars('target')}) AS token FROM ({_TARGET_SQL})),
+r AS (SELECT token, (row_number() OVER (ORDER BY token) - 1)::INTEGER AS id FROM c),
+s AS (SELECT max(CASE WHEN token = ' ' THEN 1 ELSE 0 END) AS sp FROM r),
+k AS (SELECT CASE WHEN token = ' ' THEN '|' ELSE token END AS token, id FROM r, s
+      WHERE NOT (token = '|' AND sp = 1)),
+m AS (SELECT coalesce(max(id), -1) AS mx FROM k)
+SELECT token, id FROM k
+UNION ALL SELECT '[UNK]', (mx + 1)::INTEGER FROM m
+UNION ALL SELECT '[PAD]', (mx + 2)::INTEGER FROM m"""
+
+
+@register("char_vocab", _VOCAB_FULL_SQL)
+def q_char_vocab(spark, sf):
+    return _vocab(spark, sf)
+
+
+_LABELS_SQL = f"""
+WITH v AS ({_VOCAB_FULL_SQL}),
+vm AS (SELECT map(list(token), list(id)) AS m, max(CASE WHEN token = '[UNK]' THEN id END) AS unk FROM v)
+SELECT conv_id, turn,
+  list_transform({O.chars('target')}, lambda ch: coalesce(vm.m[CASE WHEN ch = ' ' THEN '|' ELSE ch END], vm.unk)) AS labels
+FROM ({_TARGET_SQL}) t, vm"""
+
+
+def _labels(spark, sf):
+    return VB.encode_labels(_targets(spark, sf), "target", _vocab(spark, sf)).select("conv_id", "turn", "labels")
+
+
+@register("encode_labels", _LABELS_SQL)
+def q_encode_labels(spark, sf):
+    return _labels(spark, sf)
+
+
+_PAD_SQL = f"""
+WITH l AS ({_LABELS_SQL}),
+b AS (SELECT *, max(len(labels)) OVER (PARTITION BY conv_id) AS mx FROM l),
+v AS ({_VOCAB_FULL_SQL}),
+pv AS (SELECT id AS pad_id FROM v WHERE token = '[PAD]')
+SELECT conv_id, turn,
+  list_concat(labels, list_transform(range(mx - len(labels)), lambda x: -100)) AS labels_padded,
+  list_concat(list_transform(range(len(labels)), lambda x: 1), list_transform(range(mx - len(labels)), lambda x: 0)) AS attention_mask,
+  list_transform(list_concat(labels, list_transform(range(mx - len(labels)), lambda x: -100)),
+                 lambda x: CASE WHEN x = -100 THEN pv.pad_id ELSE x END) AS labels_unmasked
+FROM b, pv"""
+
+
+def _padded(spark, sf):
+    vocab = _vocab(spark, sf)
+    pad_id = vocab.where(F.col("token") == VB.PAD_TOKEN).select("id").first().id  # one scalar
+    p = SQ.pad_batch(_labels(spark, sf), "conv_id", "labels", out="labels_padded")
+    return p.select("conv_id", "turn", "labels_padded", "attention_mask",
+                    SQ.unmask("labels_padded", pad_id).alias("labels_unmasked"))
+
+
+@register("pad_labels", _PAD_SQL)
+def q_pad_labels(spark, sf):
+    return _padded(spark, sf)
+
+
+@register("gen_len", f"""
+WITH p AS ({_PAD_SQL})
+SELECT round_even(avg(len(list_filter(labels_padded, lambda x: x <> -100))), 4) AS gen_len FROM p""")
+def q_gen_len(spark, sf):
+    return MT.gen_len(_padded(spark, sf), "labels_padded", SQ.IGNORE_INDEX)
+
+
+# --------------------------------------------------------------------------
+# A3, A4, A6 - arrays from the embeddings table
+_W = 8  # frame width: the embedding vector read as frames x 8 scores
+_FRAMES_SQL = f"""
+SELECT vec_id, list_transform(range(0, len(embedding) // {_W}),
+  lambda f: list_position(embedding[f * {_W} + 1 : f * {_W} + {_W}], list_max(embedding[f * {_W} + 1 : f * {_W} + {_W}])) - 1) AS frame_ids
+FROM embeddings"""
+
+
+def _frame_ids(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", SQ.argmax_frames(SQ.frames("embedding", _W)).alias("frame_ids"))
+
+
+@register("argmax_frames", _FRAMES_SQL)
+def q_argmax(spark, sf):
+    return _frame_ids(spark, sf)
+
+
+_PAD_FRAME = _W - 1
+
+
+@register("ctc_decode", f"""
+WITH f AS ({_FRAMES_SQL}),
+v AS ({_VOCAB_FULL_SQL}),
+vm AS (SELECT map(list(id), list(CASE WHEN token = '|' THEN ' ' ELSE token END)) AS m FROM v),
+g AS (SELECT vec_id, list_filter(list_filter(frame_ids, lambda x, i: i = 1 OR x <> frame_ids[i - 1]),
+                                 lambda x: x <> {_PAD_FRAME}) AS ids FROM f)
+SELECT vec_id, ids, {O.trim("array_to_string(list_transform(ids, lambda x: vm.m[x]), '')")} AS text
+FROM g, vm""")
+def q_ctc_decode(spark, sf):
+    vocab = _vocab(spark, sf)
+    n = vocab.count()
+    if n > VB.MAX_LITERAL_VOCAB:
+        raise ValueError("vocabulary too large for a literal decode map")
+    rows = vocab.collect()  # bounded: checked above
+    id_to_tok = F.create_map(*[x for r in rows for x in (F.lit(r.id), F.lit(r.token))])
+    f = _frame_ids(spark, sf)
+    return f.select("vec_id", SQ.ctc_collapse("frame_ids", _PAD_FRAME).alias("ids"),
+                    SQ.ctc_decode("frame_ids", id_to_tok, _PAD_FRAME).alias("text"))
+
+
+@register("normalize_wave", """
+WITH s AS (SELECT vec_id, embedding AS e, len(embedding) AS n,
+                  list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS mean FROM embeddings),
+v AS (SELECT *, list_sum(list_transform(e, lambda x: (x::DOUBLE - mean) * (x::DOUBLE - mean))) / n AS var FROM s)
+SELECT vec_id, list_transform(e, lambda x: round_even((x::DOUBLE - mean) / sqrt(var + 1e-7), 6)) AS input_values,
+       n AS input_length FROM v""")
+def q_normalize_wave(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    w = SQ.with_normalized_wave(e, "embedding")
+    return w.select("vec_id", F.transform("input_values", lambda x: F.bround(x, 6)).alias("input_values"),
+                    "input_length")

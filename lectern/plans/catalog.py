@@ -402,3 +402,67 @@ def q_normalize_wave(spark, sf):
     w = SQ.with_normalized_wave(e, "embedding")
     return w.select("vec_id", F.transform("input_values", lambda x: F.bround(x, 6)).alias("input_values"),
                     "input_length")
+
+
+# --------------------------------------------------------------------------
+# I1/F3, I5/M8 - batched model application with deterministic stand-in models
+from ..operators import infer as IN  # noqa: E402
+from . import stub_models as SM  # noqa: E402
+
+
+@register("infer_translate", """
+SELECT conv_id, turn, text,
+  CASE WHEN text = '' THEN NULL ELSE array_to_string(list_reverse(string_split(text, ' ')), ' ') END AS translation,
+  CASE WHEN text = '' THEN 'ValueError: empty input' END AS error
+FROM conversations""")
+def q_infer_translate(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return IN.batch_infer(c, ["text"], "translation", SM.reverse_words_model, batch_size=16)
+
+
+@register("score_summary", f"""
+WITH p AS ({O.CONVERSATION_PAIRS}),
+s AS (SELECT turn, CASE WHEN greatest(length(hyp), length(ref)) = 0 THEN 1.0
+             ELSE least(length(hyp), length(ref))::DOUBLE / greatest(length(hyp), length(ref)) END AS score FROM p)
+SELECT turn, round_even(avg(score), 6) AS score_mean, count(score) AS n_scored FROM s GROUP BY turn""")
+def q_score_summary(spark, sf):
+    p = _pairs(spark, sf).select("turn", F.col("ref").alias("src"), F.col("hyp").alias("mt"), "ref")
+    scored = IN.score_pairs(p, SM.length_ratio_model, batch_size=8)
+    return MT.score_summary(scored, "score", by=["turn"], digits=6)
+
+
+# --------------------------------------------------------------------------
+# J1 (unmatched side), K3 - pair report
+@register("unmatched_refs", """
+SELECT u.conv_id, u.turn FROM conversations u
+WHERE u.role = 'user' AND NOT EXISTS (
+  SELECT 1 FROM conversations a WHERE a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn - 1 = u.turn)""")
+def q_unmatched(spark, sf):
+    c = table(spark, sf, "conversations")
+    ref = c.where(F.col("role") == "user").select("conv_id", "turn")
+    hyp = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"))
+    return AL.unmatched(ref, hyp, ["conv_id", "turn"])
+
+
+from ..sinks import writers as WR  # noqa: E402
+
+_REPORT_SQL = f"""
+WITH r AS ({_err_sql([], normalized=True)}),
+p AS ({O.CONVERSATION_PAIRS}),
+h AS (SELECT * FROM (VALUES (0, ''), (1, 'W'), (2, 'C'), (3, ''), (4, 'NW'), (5, 'NC'), (6, ''), (7, '')) t(j, tag))
+SELECT 0 AS _part, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, h.j::INTEGER AS _j,
+  CASE h.tag WHEN 'W' THEN 'WER: ' || r.wer::VARCHAR WHEN 'C' THEN 'CER: ' || r.cer::VARCHAR
+             WHEN 'NW' THEN 'NORMALIZED WER: ' || r.norm_wer::VARCHAR
+             WHEN 'NC' THEN 'NORMALIZED CER: ' || r.norm_cer::VARCHAR ELSE '' END AS line
+FROM h, r
+UNION ALL
+SELECT 1, conv_id, turn, j::INTEGER - 1,
+  CASE j WHEN 1 THEN 'REF: ' || ref WHEN 2 THEN 'HYP: ' || hyp ELSE '{WR.REPORT_SEPARATOR}' END
+FROM p, range(1, 4) t(j)"""
+
+
+@register("pair_report", _REPORT_SQL)
+def q_pair_report(spark, sf):
+    pairs = _pairs(spark, sf)
+    rep = ER.asr_report(pairs)
+    return WR.report_lines(rep, pairs, ["conv_id", "turn"])

@@ -61,6 +61,11 @@ def audio_manifest(spark: SparkSession, root: str) -> DataFrame:
     return df.select("path", "length", *[c.alias(k) for k, c in header_columns(F.col("content")).items()])
 
 
+def _folder(path: Column) -> Column:
+    """Parent folder of a file URI; ``file:///x`` and ``file:/x`` compare equal."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "file:/"), "/[^/]*$", "")
+
+
 def split_of(path: Column) -> Column:
     """The split named by a path segment; a folder without splits is train."""
     s = F.regexp_extract(path, "/(train|validation|test)/", 1)
@@ -74,7 +79,7 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     md = (spark.read.schema(schema).option("header", True).option("multiLine", True)
           .option("escape", '"').option("recursiveFileLookup", True)
           .option("pathGlobFilter", "metadata.csv").csv(root))
-    return md.withColumn("_dir", F.regexp_replace(F.input_file_name(), "/[^/]*$", ""))
+    return md.withColumn("_dir", _folder(F.col("_metadata.file_path")))
 
 
 def read_audio_folder(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
@@ -85,7 +90,7 @@ def read_audio_folder(spark: SparkSession, root: str, with_content: bool = False
     for), so the join moves no audio bytes.
     """
     man = audio_manifest(spark, root)
-    man = (man.withColumn("_dir", F.regexp_replace("path", "/[^/]*$", ""))
+    man = (man.withColumn("_dir", _folder(F.col("path")))
            .withColumn("file_name", F.regexp_extract("path", "([^/]*)$", 1)))
     md = read_metadata(spark, root)
     out = man.join(md, ["_dir", "file_name"], "left").withColumn("split", split_of(F.col("path")))

@@ -30,3 +30,11 @@ def length_ratio_model():
             out.append(1.0 if max(a, b) == 0 else min(a, b) / max(a, b))
         return out
     return f
+
+
+def clip_length_asr_model(long_text: str = "hello world", short_text: str = "x",
+                          min_samples: int = 10000):
+    """ASR stub over ``(samples, rate)`` rows: a fixed text chosen by clip length."""
+    def f(rows):
+        return [long_text if len(s) > min_samples else short_text for s, _r in rows]
+    return f

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ngram import BLEU_ORDER, CHRF_ORDER, bleu_stats, chrf_stats
+from .ngram import BLEU_ORDER, CHRF_ORDER, bleu_stats, chrf_stats, prepare_pairs
 
 # Fixed values of the metrics: BLEU uses exponential smoothing and a log of
 # zero taken as -9999999999; chrF uses beta = 2.
@@ -81,8 +81,9 @@ def pair_stats(pairs: DataFrame, key: list[str], ref="ref", hyp="hyp") -> DataFr
     Both statistic tables come out of the same key partitioning, so the join
     is a co-partitioned merge without another exchange.
     """
-    b = _prefixed(bleu_stats(pairs, key, ref, hyp), key, "b_")
-    c = _prefixed(chrf_stats(pairs, key, ref, hyp), key, "c_")
+    base = prepare_pairs(pairs, key, ref, hyp)
+    b = _prefixed(bleu_stats(base, key, ref, hyp, repartition=False), key, "b_")
+    c = _prefixed(chrf_stats(base, key, ref, hyp, repartition=False), key, "c_")
     return b.join(c, on=key, how="inner")
 
 

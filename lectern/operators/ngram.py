@@ -80,6 +80,12 @@ def _aggregate(grams: DataFrame, key: list[str], order: int, chrf: bool) -> Data
     return per_pair.select(*out)
 
 
+def prepare_pairs(pairs: DataFrame, key: list[str], ref: str = "ref", hyp: str = "hyp",
+                  partitions: int | None = None) -> DataFrame:
+    """The one shuffle of the n-gram statistics, shareable by BLEU and chrF."""
+    return _prepare(pairs, key, ref, hyp, partitions)
+
+
 def _prepare(pairs: DataFrame, key: list[str], ref: str, hyp: str,
              partitions: int | None) -> DataFrame:
     """Hash-partition the pair rows on the key with an explicit count.
@@ -96,9 +102,13 @@ def _prepare(pairs: DataFrame, key: list[str], ref: str, hyp: str,
 
 
 def bleu_stats(pairs: DataFrame, key: list[str], ref: str = "ref", hyp: str = "hyp",
-               order: int = BLEU_ORDER, partitions: int | None = None) -> DataFrame:
-    """Per-pair BLEU statistics on ``13a`` tokens (case kept)."""
-    base = _prepare(pairs, key, ref, hyp, partitions)
+               order: int = BLEU_ORDER, partitions: int | None = None,
+               repartition: bool = True) -> DataFrame:
+    """Per-pair BLEU statistics on ``13a`` tokens (case kept).
+
+    ``repartition=False`` when ``pairs`` is already hash-partitioned on ``key``
+    (see :func:`prepare_pairs`)."""
+    base = _prepare(pairs, key, ref, hyp, partitions) if repartition else pairs
     units = base.select(*key, tokenize_13a(F.col(hyp)).alias("_hu"),
                         tokenize_13a(F.col(ref)).alias("_ru"))
     return _stats(units, key, order, _word_grams, F.size, chrf=False)
@@ -137,9 +147,10 @@ def _char_stats(units: DataFrame, key: list[str], order: int) -> DataFrame:
 
 
 def chrf_stats(pairs: DataFrame, key: list[str], ref: str = "ref", hyp: str = "hyp",
-               order: int = CHRF_ORDER, partitions: int | None = None) -> DataFrame:
+               order: int = CHRF_ORDER, partitions: int | None = None,
+               repartition: bool = True) -> DataFrame:
     """Per-pair chrF statistics: character n-grams, whitespace removed."""
-    base = _prepare(pairs, key, ref, hyp, partitions)
+    base = _prepare(pairs, key, ref, hyp, partitions) if repartition else pairs
     units = base.select(*key, chrf_string(F.col(hyp)).alias("_hu"),
                         chrf_string(F.col(ref)).alias("_ru"))
     return _char_stats(units, key, order)

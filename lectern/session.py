@@ -77,8 +77,11 @@ def spread(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     input already has at least that many splits and is left untouched, so no
     shuffle is added at scale.
     """
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): leave as is
+        return df
+    if current >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -13,9 +13,10 @@ WORD_DELIMITER = "|"
 UNK_TOKEN = "[UNK]"
 PAD_TOKEN = "[PAD]"
 
-#: vocabularies up to this many entries are inlined as a literal map;
-#: beyond it labels are encoded with a join
-MAX_LITERAL_VOCAB = 4096
+#: vocabularies up to this many entries are inlined as a literal map (a map
+#: lookup scans its keys, so the bound also keeps the per-character cost
+#: small); beyond it labels are encoded with a join
+MAX_LITERAL_VOCAB = 512
 
 
 def char_set(df: DataFrame, col: str) -> DataFrame:
@@ -59,9 +60,15 @@ def char_vocab(df: DataFrame, col: str, delimiter: str | None = WORD_DELIMITER,
     return ranked.unionByName(extra)
 
 
-def _vocab_lookup_literal(vocab: DataFrame) -> Column:
-    rows = vocab.select("token", "id").collect()  # size checked by the caller
-    return F.create_map(*[x for r in rows for x in (F.lit(r.token), F.lit(r.id))])
+def literal_map(rows, key: str, value: str) -> Column:
+    return F.create_map(*[x for r in rows for x in (F.lit(r[key]), F.lit(r[value]))])
+
+
+def bounded_rows(vocab: DataFrame, cols: list[str], bound: int):
+    """At most ``bound + 1`` rows in one pass; ``None`` when there are more
+    than ``bound`` (the caller then takes its distributed path)."""
+    rows = vocab.select(*cols).limit(bound + 1).collect()
+    return rows if len(rows) <= bound else None
 
 
 def encode_labels(df: DataFrame, col: str, vocab: DataFrame, out: str = "labels",
@@ -74,9 +81,9 @@ def encode_labels(df: DataFrame, col: str, vocab: DataFrame, out: str = "labels"
     projection.  Beyond ``max_literal`` entries, characters are exploded with
     their positions, joined to the vocabulary and regrouped per row.
     """
-    size = vocab.count()
-    if size <= max_literal:
-        m = _vocab_lookup_literal(vocab)
+    rows = bounded_rows(vocab, ["token", "id"], max_literal)
+    if rows is not None:
+        m = literal_map(rows, "token", "id")
         unk_id = F.element_at(m, F.lit(unk))
         ids = F.transform(chars(F.col(col)), lambda c: F.coalesce(
             F.element_at(m, F.when(c == " ", F.lit(delimiter)).otherwise(c)), unk_id))

@@ -106,9 +106,9 @@ def ngram_stats_sql(src: str, key: list[str], units_h: str, units_r: str, order:
     k = ", ".join(key)
     on = " AND ".join(f"a.{c} = b.{c}" for c in key)
     grams = lambda side: (
-        f"SELECT {k}, n, array_to_string({side}[i:i + n - 1], {q(sep)}) AS gram FROM "
-        f"(SELECT {k}, {side}, n, unnest(range(1, len({side}) - n + 2)) AS i "
-        f"FROM u, range(1, {order + 1}) r(n))")
+        f"SELECT {k}, n, unnest(list_transform(range(1, len({side}) - n + 2), "
+        f"lambda i: array_to_string({side}[i:i + n - 1], {q(sep)}))) AS gram "
+        f"FROM u, range(1, {order + 1}) r(n)")
     msum = ", ".join(f"sum(CASE WHEN n = {n} THEN m END) AS m{n}" for n in range(1, order + 1))
     cols = []
     for n in range(1, order + 1):

@@ -23,6 +23,7 @@ HEADLINE = [
     "normalize_pages",
     "fold_punct",
     "char_vocab",
+    "doc_char_vocab",
     "encode_labels",
     "pad_labels",
     "ctc_decode",

@@ -397,7 +397,7 @@ WITH s AS (SELECT vec_id, embedding AS e, len(embedding) AS n,
                   list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS mean FROM embeddings),
 v AS (SELECT *, list_sum(list_transform(e, lambda x: (x::DOUBLE - mean) * (x::DOUBLE - mean))) / n AS var FROM s)
 SELECT vec_id, list_transform(e, lambda x: round_even((x::DOUBLE - mean) / sqrt(var + 1e-7), 6)) AS input_values,
-       n AS input_length FROM v""")
+       n::INTEGER AS input_length FROM v""")
 def q_normalize_wave(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     w = SQ.with_normalized_wave(e, "embedding")

@@ -51,7 +51,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc_dir:
         return sc_dir
     local = tempfile.mkdtemp(prefix="lectern-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # core config not modifiable at run time: the context setting suffices
+        pass
     spark.sparkContext.setCheckpointDir(local)
     return local
 

@@ -154,6 +154,9 @@ def rules() -> list[dict]:
             for label, kw, tier, score, p in NOTICES]
     out += [{"label": label, "keyword": kw, "tier": tier, "score": score, "base": False, "pattern": form.replace("{name}", name)}
             for tier, score, form in _FORMS for label, kw, name in FAMILIES]
+    # names that mean nothing else stand for themselves
+    out += [{"label": label, "keyword": kw, "tier": 2, "score": 0.75, "base": False, "pattern": name + _VERSION}
+            for label, kw, name in FAMILIES if label.startswith("cc")]
     for k, rule in enumerate(out):
         rule |= {"id": k, "regex": f" (?:{rule['pattern']})(?= )"}
     return out

@@ -16,8 +16,10 @@ first:
     names: 50 bytes from three of 20, 80 bytes from three of 50.  The remaining
     sample suffixes are sorted by their 80-byte names.  One that also stands in
     a smaller text has all its strings of 50 answered, and these need not be
-    sorted; equal ones in a smaller text speak for them.
-3.  *Merge.*  All other suffixes that are within 30 bytes before a remaining
+    sorted; equal ones in a smaller text speak for them.  Of the sample suffixes
+    that still have an open string of 50 around them the triples are sorted
+    once more: most have become unique and are done.
+3.  *Merge.*  All open suffixes that are within 30 bytes before a remaining
     sample suffix are sorted by their 50-byte names together, neighbours are
     compared, and all but those of the smallest text are marked.
 
@@ -79,30 +81,32 @@ class _Block:
     def __init__(self, blob: bytes, ids: bytes, sizes: bytes):
         import zstandard
 
-        self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n = len(raw)
+        self.text = np.frombuffer(raw, np.uint8)
+        self.words = np.lib.stride_tricks.as_strided(np.frombuffer(raw + bytes(8), np.uint8)[:8].view("<u8"), (n + 1,), (1,))
         self.ids = np.frombuffer(ids, "<i8")
         self.sizes = np.frombuffer(sizes, "<i8")
         self.ends = np.cumsum(self.sizes)
-        n = len(self.text)
-        padded = np.concatenate((self.text, np.zeros(8, np.uint8)))
-        words = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (n + 1,), (1,))
-        m = max(n - TRIPLE + 1, 0)
-        self.name20 = _mix(words[:m], words[8:8 + m], words[12:12 + m], 20)
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
         self.room = np.repeat(self.ends, self.sizes) - np.arange(n)  # bytes to the end of the text
+        self.rank = np.unique(self.ids, return_inverse=True)[1].astype(np.uint64)
+
+    def name20(self, at: np.ndarray) -> np.ndarray:
+        w = self.words
+        return _mix(w[at], w[at + 8], w[at + 12], 20)
 
     def name50(self, at: np.ndarray, salt: int = 50) -> np.ndarray:
-        x = self.name20
-        return _mix(x[at], x[at + 20], x[at + 30], salt)
+        return _mix(self.name20(at), self.name20(at + 20), self.name20(at + 30), salt)
 
     def name80(self, at: np.ndarray, salt: int = 80) -> np.ndarray:
         return _mix(self.name50(at), self.name50(at + 15), self.name50(at + 30), salt)
 
     def sample(self) -> np.ndarray:
         """Sampled positions of texts that hold any string of 50 bytes."""
-        m = len(self.name20)
-        at = np.concatenate([np.arange(r, m, MODULUS) for r in COVER]) if m else np.empty(0, np.int64)
-        at.sort()
+        rows = -(-len(self.text) // MODULUS)
+        at = (np.arange(rows)[:, None] * MODULUS + np.asarray(COVER)).ravel()
+        at = at[at < len(self.text)]
         return at[(self.room[at] >= TRIPLE) & (self.sizes[self.doc[at]] >= MIN_LENGTH)]
 
 
@@ -114,21 +118,25 @@ class _Names:
     def __init__(self, block: _Block, at: np.ndarray, names: np.ndarray, second: np.ndarray | None, buckets: int):
         self.narrow = second is None
         self.at = at
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         srt = names[order]
         new = np.r_[True, srt[1:] != srt[:-1]] if len(srt) else np.empty(0, bool)
         self.which = np.empty(len(at), np.int64)
         self.which[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        owner = block.ids[block.doc[at]]
-        self.owner = owner
-        self.low = np.minimum.reduceat(owner[order], first) if len(first) else np.empty(0, np.int64)
-        self.high = np.maximum.reduceat(owner[order], first) if len(first) else np.empty(0, np.int64)
+        doc = block.doc[at]
+        self.rank = block.rank[doc]
+        by_name = self.rank[order]
+        self.low = np.minimum.reduceat(by_name, first) if len(first) else np.empty(0, np.uint64)
+        self.alone = (self.low == np.maximum.reduceat(by_name, first)) if len(first) else np.empty(0, bool)
         self.names = srt[first]
+        self.ids = np.unique(block.ids)
         spread = self.names if self.narrow else second[order[first]]
-        bucket = ((spread >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-        self.deal = np.lexsort((self.names & _U(0xFFFFFFFF) if self.narrow else self.low, bucket))
-        self.edges = np.searchsorted(bucket[self.deal], np.arange(buckets + 1))
+        bucket = (spread >> _U(32)) * _U(buckets) >> _U(32)
+        # Equal keys of narrow names get equal answers; the others keep the order of their names.
+        key = bucket << _U(32) | (self.names & _U(0xFFFFFFFF) if self.narrow else self.low)
+        self.deal = np.argsort(key) if self.narrow else np.argsort(key, kind="stable")
+        self.edges = np.searchsorted(bucket[self.deal], np.arange(buckets + 1, dtype=np.uint64))
 
     def marked(self, bits: dict[int, bytes]) -> np.ndarray:
         """For each distinct name the answer of its bucket."""
@@ -141,13 +149,12 @@ class _Names:
 
 def _triples(block: _Block, buckets: int) -> _Names:
     at = block.sample()
-    return _Names(block, at, block.name20[at], None, buckets)
+    return _Names(block, at, block.name20(at), None, buckets)
 
 
-def _repeated(block: _Block, buckets: int, bits: dict) -> np.ndarray:
-    """Sampled positions whose triple stands in more than one text."""
-    got = _triples(block, buckets)
-    return got.at[(got.marked(bits) | (got.low != got.high))[got.which]]
+def _repeated(names: _Names, bits: dict) -> np.ndarray:
+    """Positions whose triple stands in more than one text."""
+    return names.at[(names.marked(bits) | ~names.alone)[names.which]]
 
 
 def _longs(block: _Block, buckets: int, repeated: np.ndarray) -> _Names:
@@ -157,7 +164,7 @@ def _longs(block: _Block, buckets: int, repeated: np.ndarray) -> _Names:
 
 def _in_smaller(names: _Names, bits: dict) -> np.ndarray:
     """Positions whose string also stands in a text with a smaller id."""
-    return names.at[names.marked(bits)[names.which] | (names.owner > names.low[names.which])]
+    return names.at[names.marked(bits)[names.which] | (names.rank > names.low[names.which])]
 
 
 def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -166,13 +173,24 @@ def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _rest(block: _Block, buckets: int, repeated: np.ndarray, long_hits: np.ndarray) -> _Names:
-    """All suffixes that may be repeated and aren't answered by a longer one."""
+def _open(block: _Block, sampled: np.ndarray, long_hits: np.ndarray) -> np.ndarray:
+    """For each place whether a string of 50 bytes starts there that holds a
+    sampled string and isn't answered by a longer one."""
     n = len(block.text)
-    near = _covered(n, np.maximum(repeated - (MODULUS - 1), 0), MODULUS)
+    near = _covered(n, np.maximum(sampled - (MODULUS - 1), 0), MODULUS)
     near &= block.room >= MIN_LENGTH
-    near &= ~_covered(n, long_hits, LONG - MIN_LENGTH + 1)
-    at = np.flatnonzero(near)
+    return near & ~_covered(n, long_hits, LONG - MIN_LENGTH + 1)
+
+
+def _live(block: _Block, buckets: int, repeated: np.ndarray, long_hits: np.ndarray) -> _Names:
+    """The triples of sample suffixes with an open string of 50 around them."""
+    sums = np.concatenate(([0], np.cumsum(_open(block, repeated, long_hits))))
+    at = repeated[sums[repeated + 1] > sums[np.maximum(repeated - (MODULUS - 1), 0)]]
+    return _Names(block, at, block.name20(at), None, buckets)
+
+
+def _rest(block: _Block, buckets: int, live: np.ndarray, long_hits: np.ndarray) -> _Names:
+    at = np.flatnonzero(_open(block, live, long_hits))
     return _Names(block, at, block.name50(at), block.name50(at, 51), buckets)
 
 
@@ -196,7 +214,7 @@ def _send(names: _Names, block_id: int) -> pa.RecordBatch | None:
             data = np.diff(low, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
         else:
             own, n = np.unique(names.low[part], return_counts=True)
-            ids, counts = np.diff(own, prepend=0).astype("<i8").tobytes(), n.astype("<u4").tobytes()
+            ids, counts = np.diff(names.ids[own], prepend=0).astype("<i8").tobytes(), n.astype("<u4").tobytes()
             data = got.astype("<u8").tobytes()
         rows.append((b, block_id, ids, counts, data))
     if not rows:
@@ -212,8 +230,12 @@ def _answer_narrow(table: pa.Table) -> pa.Table:
         names.append(np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32))
     every = np.concatenate(names)
     every.sort()
-    again = np.unique(every[1:][every[1:] == every[:-1]])
-    return _answers(table, [np.isin(x, again, assume_unique=False) if len(again) else np.zeros(len(x), bool) for x in names])
+    again = every[1:][every[1:] == every[:-1]]
+    again = again[np.r_[True, again[1:] != again[:-1]]] if len(again) else again
+    if not len(again):
+        return _answers(table, [np.zeros(len(x), bool) for x in names])
+    # both sides are sorted
+    return _answers(table, [again[np.minimum(np.searchsorted(again, x), len(again) - 1)] == x for x in names])
 
 
 def _answer_wide(table: pa.Table) -> pa.Table:
@@ -221,7 +243,7 @@ def _answer_wide(table: pa.Table) -> pa.Table:
     owners = [np.repeat(np.cumsum(np.frombuffer(i, "<i8")), np.frombuffer(c, "<u4"))
               for i, c in zip(table.column("ids").to_pylist(), table.column("counts").to_pylist())]
     every, owner = np.concatenate(names), np.concatenate(owners)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     srt = every[order]
     new = np.r_[True, srt[1:] != srt[:-1]]
     first = np.flatnonzero(new)
@@ -336,32 +358,36 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     total = blocks.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // bucket_bytes))
 
-    def level1(row):
+    def sampled(row):
         block = _Block(row["blob"], row["ids"], row["sizes"])
-        if (out := _send(_triples(block, buckets), row["block"])) is not None:
-            yield out
+        return block, _triples(block, buckets)
 
-    def level2(row):
-        block = _Block(row["blob"], row["ids"], row["sizes"])
-        rep = _repeated(block, buckets, _bits(row, "bits1"))
-        if (out := _send(_longs(block, buckets, rep), row["block"])) is not None:
-            yield out
+    def long_ones(row):
+        block, names = sampled(row)
+        rep = _repeated(names, _bits(row, "bits1"))
+        return block, rep, _longs(block, buckets, rep)
 
-    def known(row):
-        block = _Block(row["blob"], row["ids"], row["sizes"])
-        rep = _repeated(block, buckets, _bits(row, "bits1"))
-        longs = _in_smaller(_longs(block, buckets, rep), _bits(row, "bits2"))
-        return block, longs, _rest(block, buckets, rep, longs)
+    def live_ones(row):
+        block, rep, names = long_ones(row)
+        longs = _in_smaller(names, _bits(row, "bits2"))
+        return block, longs, _live(block, buckets, rep, longs)
+
+    def merged(row):
+        block, longs, names = live_ones(row)
+        return block, longs, _rest(block, buckets, _repeated(names, _bits(row, "bits3")), longs)
+
+    def sends(step):
+        def run(row):
+            if (out := _send(step(row)[-1], row["block"])) is not None:
+                yield out
 
-    def level3(row):
-        if (out := _send(known(row)[2], row["block"])) is not None:
-            yield out
+        return run
 
     def final(row):
         import zstandard
 
-        block, longs, rest = known(row)
-        hits = _in_smaller(rest, _bits(row, "bits3"))
+        block, longs, names = merged(row)
+        hits = _in_smaller(names, _bits(row, "bits4"))
         n = len(block.text)
         gone = _covered(n, longs, LONG) | _covered(n, hits, MIN_LENGTH)
         if whole_characters and n:
@@ -394,8 +420,8 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
         return state.join(bits.withColumnRenamed("bits", name).hint("shuffle_hash"), "block", "left")
 
     state = blocks
-    for name, level, narrow in (("bits1", level1, True), ("bits2", level2, False), ("bits3", level3, False)):
-        state = told(state, _sort(_each(level, _MESSAGE)(state), buckets, narrow), name)
+    for name, step, narrow in (("bits1", sampled, True), ("bits2", long_ones, False), ("bits3", live_ones, True), ("bits4", merged, False)):
+        state = told(state, _sort(_each(sends(step), _MESSAGE)(state), buckets, narrow), name)
     schema = "id long, n_bytes long, begins array<long>, ends array<long>, kept binary"
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     return _each(final, ", ".join([schema, *(f"`{c}` {types[c]}" for c in others)]))(state)

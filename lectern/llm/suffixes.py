@@ -16,12 +16,13 @@ first:
     names: 50 bytes from three of 20, 80 bytes from three of 50.  The remaining
     sample suffixes are sorted by their 80-byte names.  One that also stands in
     a smaller text has all its strings of 50 answered, and these need not be
-    sorted; equal ones in a smaller text speak for them.  Of the sample suffixes
-    that still have an open string of 50 around them the triples are sorted
-    once more: most have become unique and are done.
-3.  *Merge.*  All open suffixes that are within 30 bytes before a remaining
-    sample suffix are sorted by their 50-byte names together, neighbours are
-    compared, and all but those of the smallest text are marked.
+    sorted; equal ones in a smaller text speak for them.  A string of 50
+    goes 15 bytes or more beyond one end of its sampled string of 20; of the
+    sample suffixes with an open string of 50 around them, both these strings
+    of 35 are sorted by their names, and most have become unique.
+3.  *Merge.*  All open suffixes that hold a remaining string of 35 are sorted by
+    their 50-byte names together, neighbours are compared, and all but those of
+    the smallest text are marked.
 
 Texts travel once: in blocks of some megabytes, compressed, partitioned by
 block.  Every sort moves names only, in the order of a block and bucket, and gets
@@ -51,6 +52,8 @@ MODULUS = 31
 COVER = (1, 5, 11, 24, 25, 27)
 TRIPLE = MIN_LENGTH - MODULUS + 1
 LONG = 80
+#: What a string of 50 has beyond one end of a sampled string in it, at least.
+SIDE = (MODULUS - 1) // 2
 #: Bytes of text in a block and, about, behind each bucket of a sort.
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
@@ -96,6 +99,9 @@ class _Block:
         w = self.words
         return _mix(w[at], w[at + 8], w[at + 12], 20)
 
+    def name35(self, at: np.ndarray) -> np.ndarray:
+        return _mix(self.name20(at), self.name20(at + 8), self.name20(at + SIDE), 35)
+
     def name50(self, at: np.ndarray, salt: int = 50) -> np.ndarray:
         return _mix(self.name20(at), self.name20(at + 20), self.name20(at + 30), salt)
 
@@ -153,7 +159,7 @@ def _triples(block: _Block, buckets: int) -> _Names:
 
 
 def _repeated(names: _Names, bits: dict) -> np.ndarray:
-    """Positions whose triple stands in more than one text."""
+    """Positions whose string stands in more than one text."""
     return names.at[(names.marked(bits) | ~names.alone)[names.which]]
 
 
@@ -173,24 +179,28 @@ def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _open(block: _Block, sampled: np.ndarray, long_hits: np.ndarray) -> np.ndarray:
-    """For each place whether a string of 50 bytes starts there that holds a
-    sampled string and isn't answered by a longer one."""
+def _open(block: _Block, inner: np.ndarray, reach: int, long_hits: np.ndarray) -> np.ndarray:
+    """For each place whether a string of 50 bytes starts there, at most
+    ``reach`` bytes before one of ``inner``, that no longer one answers."""
     n = len(block.text)
-    near = _covered(n, np.maximum(sampled - (MODULUS - 1), 0), MODULUS)
+    near = _covered(n, np.maximum(inner - reach, 0), reach + 1)
     near &= block.room >= MIN_LENGTH
     return near & ~_covered(n, long_hits, LONG - MIN_LENGTH + 1)
 
 
 def _live(block: _Block, buckets: int, repeated: np.ndarray, long_hits: np.ndarray) -> _Names:
-    """The triples of sample suffixes with an open string of 50 around them."""
-    sums = np.concatenate(([0], np.cumsum(_open(block, repeated, long_hits))))
-    at = repeated[sums[repeated + 1] > sums[np.maximum(repeated - (MODULUS - 1), 0)]]
-    return _Names(block, at, block.name20(at), None, buckets)
+    """The strings of 35 at both sides of sample suffixes, where a string of 50
+    that holds one is open."""
+    left = repeated[block.sizes[block.doc[repeated]] - block.room[repeated] >= SIDE] - SIDE
+    at = np.unique(np.concatenate((repeated, left)))
+    at = at[block.room[at] >= TRIPLE + SIDE]
+    sums = np.concatenate(([0], np.cumsum(_open(block, repeated, MODULUS - 1, long_hits))))
+    at = at[sums[at + 1] > sums[np.maximum(at - SIDE, 0)]]
+    return _Names(block, at, block.name35(at), None, buckets)
 
 
 def _rest(block: _Block, buckets: int, live: np.ndarray, long_hits: np.ndarray) -> _Names:
-    at = np.flatnonzero(_open(block, live, long_hits))
+    at = np.flatnonzero(_open(block, live, SIDE, long_hits))
     return _Names(block, at, block.name50(at), block.name50(at, 51), buckets)
 
 

@@ -13,8 +13,7 @@ first:
     over all texts; a sample suffix whose name is unique has its rank already
     and takes no further part, nor does any suffix that would need it.
 2.  *Recursion on names.*  Names of longer strings are names of triples of
-    names: 50 bytes from three of 20, 80 bytes from three of 50.  The remaining
-    sample suffixes are sorted by their 80-byte names.  One that also stands in
+    names.  The remaining sample suffixes are sorted by their 80-byte names.  One that also stands in
     a smaller text has all its strings of 50 answered, and these need not be
     sorted; equal ones in a smaller text speak for them.  A string of 50
     goes 15 bytes or more beyond one end of its sampled string of 20; of the
@@ -92,57 +91,80 @@ class _Block:
         self.sizes = np.frombuffer(sizes, "<i8")
         self.ends = np.cumsum(self.sizes)
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
-        self.room = np.repeat(self.ends, self.sizes) - np.arange(n)  # bytes to the end of the text
-        self.rank = np.unique(self.ids, return_inverse=True)[1].astype(np.uint64)
+        self.room = np.repeat(self.ends.astype(np.int32), self.sizes) - np.arange(n, dtype=np.int32)  # bytes to the end of the text
+        self.known, rank = np.unique(self.ids, return_inverse=True)
+        self.rank = rank.astype(np.int32)
+
+    def _words(self, at: np.ndarray, *shifts: int) -> list[np.ndarray]:
+        return [self.words[at + k] for k in shifts]
 
     def name20(self, at: np.ndarray) -> np.ndarray:
-        w = self.words
-        return _mix(w[at], w[at + 8], w[at + 12], 20)
+        return _mix(*self._words(at, 0, 8, TRIPLE - 8), 20)
 
     def name35(self, at: np.ndarray) -> np.ndarray:
-        return _mix(self.name20(at), self.name20(at + 8), self.name20(at + SIDE), 35)
+        return _mix(_mix(*self._words(at, 0, 8, 16), 24), *self._words(at, 24, TRIPLE + SIDE - 8), 35)
 
-    def name50(self, at: np.ndarray, salt: int = 50) -> np.ndarray:
-        return _mix(self.name20(at), self.name20(at + 20), self.name20(at + 30), salt)
+    def name50(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent names."""
+        parts = _mix(*self._words(at, 0, 8, 16), 24), _mix(*self._words(at, 24, 32, 40), 25), self.words[at + MIN_LENGTH - 8]
+        return _mix(*parts, 50), _mix(*parts, 51)
 
-    def name80(self, at: np.ndarray, salt: int = 80) -> np.ndarray:
-        return _mix(self.name50(at), self.name50(at + 15), self.name50(at + 30), salt)
+    def name80(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent names."""
+        parts = [_mix(*self._words(at, k, k + 8, k + 16), k) for k in (0, 24, 48)]
+        whole = _mix(*parts, 72), *self._words(at, LONG - 8, LONG - 16)
+        return _mix(*whole, 80), _mix(*whole, 81)
 
     def sample(self) -> np.ndarray:
         """Sampled positions of texts that hold any string of 50 bytes."""
         rows = -(-len(self.text) // MODULUS)
         at = (np.arange(rows)[:, None] * MODULUS + np.asarray(COVER)).ravel()
-        at = at[at < len(self.text)]
+        at = at[: np.searchsorted(at, len(self.text))]
         return at[(self.room[at] >= TRIPLE) & (self.sizes[self.doc[at]] >= MIN_LENGTH)]
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable order; by radix where the numbers are small."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
+
+
 class _Names:
     """The names of one sort within a block: distinct, dealt to buckets, and each
-    with the smallest id that has it here.  Within a bucket narrow names are in
-    their own order, others in that of the ids."""
+    with the smallest id that has it here.  The number of buckets is a power of
+    two.  Narrow names are dealt by their upper bits, so that buckets and the
+    order in them follow the order of the names; others by a second name, and
+    stand in the order of the ids."""
 
     def __init__(self, block: _Block, at: np.ndarray, names: np.ndarray, second: np.ndarray | None, buckets: int):
-        self.narrow = second is None
+        self.narrow, self.shift = second is None, 64 - buckets.bit_length() + 1
         self.at = at
         order = np.argsort(names)
         srt = names[order]
-        new = np.r_[True, srt[1:] != srt[:-1]] if len(srt) else np.empty(0, bool)
-        self.which = np.empty(len(at), np.int64)
-        self.which[order] = np.cumsum(new) - 1
+        new = np.empty(len(srt), bool)
+        new[:1] = True
+        np.not_equal(srt[1:], srt[:-1], out=new[1:])
         first = np.flatnonzero(new)
-        doc = block.doc[at]
-        self.rank = block.rank[doc]
+        self.which = np.empty(len(at), np.int32)
+        self.which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.rank = block.rank[block.doc[at]]
         by_name = self.rank[order]
-        self.low = np.minimum.reduceat(by_name, first) if len(first) else np.empty(0, np.uint64)
-        self.alone = (self.low == np.maximum.reduceat(by_name, first)) if len(first) else np.empty(0, bool)
         self.names = srt[first]
-        self.ids = np.unique(block.ids)
-        spread = self.names if self.narrow else second[order[first]]
-        bucket = (spread >> _U(32)) * _U(buckets) >> _U(32)
-        # Equal keys of narrow names get equal answers; the others keep the order of their names.
-        key = bucket << _U(32) | (self.names & _U(0xFFFFFFFF) if self.narrow else self.low)
-        self.deal = np.argsort(key) if self.narrow else np.argsort(key, kind="stable")
-        self.edges = np.searchsorted(bucket[self.deal], np.arange(buckets + 1, dtype=np.uint64))
+        self.low = np.minimum.reduceat(by_name, first) if len(first) else by_name
+        self.known = block.known
+        if self.narrow:
+            self.alone = (self.low == np.maximum.reduceat(by_name, first)) if len(first) else np.empty(0, bool)
+            borders = np.arange(1, buckets, dtype=np.uint64) << _U(self.shift)
+            self.deal = np.arange(len(first))
+            self.edges = np.concatenate(([0], np.searchsorted(self.names, borders), [len(first)]))
+        else:
+            bucket = second[order[first]] >> _U(self.shift)
+            self.deal = _order(self.low)
+            self.deal = self.deal[_order(bucket[self.deal])]
+            self.edges = np.searchsorted(bucket[self.deal], np.arange(buckets + 1, dtype=np.uint64))
+
+    def below(self, part: np.ndarray) -> np.ndarray:
+        """The 32 bits of narrow names that follow those of the bucket."""
+        return (self.names[part] >> _U(self.shift - 32) & _U(0xFFFFFFFF)).astype("<u4")
 
     def marked(self, bits: dict[int, bytes]) -> np.ndarray:
         """For each distinct name the answer of its bucket."""
@@ -165,7 +187,7 @@ def _repeated(names: _Names, bits: dict) -> np.ndarray:
 
 def _longs(block: _Block, buckets: int, repeated: np.ndarray) -> _Names:
     at = repeated[block.room[repeated] >= LONG]
-    return _Names(block, at, block.name80(at), block.name80(at, 81), buckets)
+    return _Names(block, at, *block.name80(at), buckets)
 
 
 def _in_smaller(names: _Names, bits: dict) -> np.ndarray:
@@ -174,9 +196,14 @@ def _in_smaller(names: _Names, bits: dict) -> np.ndarray:
 
 
 def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each of n places whether it is within ``length`` of a start."""
-    step = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + length, n), minlength=n + 1)
-    return np.cumsum(step[:n]) > 0
+    """For each of n places whether it is within ``length`` of one of the
+    ascending ``starts``."""
+    step = np.zeros(n + 1, np.int8)
+    if len(starts):
+        apart = starts[1:] > starts[:-1] + length
+        step[starts[np.r_[True, apart]]] = 1
+        step[np.minimum(starts[np.r_[apart, True]] + length, n)] -= 1
+    return np.cumsum(step[:n], dtype=np.int8).view(bool)
 
 
 def _open(block: _Block, inner: np.ndarray, reach: int, long_hits: np.ndarray) -> np.ndarray:
@@ -194,14 +221,14 @@ def _live(block: _Block, buckets: int, repeated: np.ndarray, long_hits: np.ndarr
     left = repeated[block.sizes[block.doc[repeated]] - block.room[repeated] >= SIDE] - SIDE
     at = np.unique(np.concatenate((repeated, left)))
     at = at[block.room[at] >= TRIPLE + SIDE]
-    sums = np.concatenate(([0], np.cumsum(_open(block, repeated, MODULUS - 1, long_hits))))
+    sums = np.concatenate(([0], np.cumsum(_open(block, repeated, MODULUS - 1, long_hits), dtype=np.int32)))
     at = at[sums[at + 1] > sums[np.maximum(at - SIDE, 0)]]
     return _Names(block, at, block.name35(at), None, buckets)
 
 
 def _rest(block: _Block, buckets: int, live: np.ndarray, long_hits: np.ndarray) -> _Names:
     at = np.flatnonzero(_open(block, live, SIDE, long_hits))
-    return _Names(block, at, block.name50(at), block.name50(at, 51), buckets)
+    return _Names(block, at, *block.name50(at), buckets)
 
 
 _MESSAGE = "bucket int, block long, ids binary, counts binary, names binary"
@@ -216,16 +243,14 @@ def _send(names: _Names, block_id: int) -> pa.RecordBatch | None:
         part = names.deal[names.edges[b]:names.edges[b + 1]]
         if not len(part):
             continue
-        got = names.names[part]
         ids = counts = b""
         if names.narrow:
             # as differences, byte by byte: the high bytes are nearly all 0
-            low = (got & _U(0xFFFFFFFF)).astype("<u4")
-            data = np.diff(low, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            data = np.diff(names.below(part), prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
         else:
             own, n = np.unique(names.low[part], return_counts=True)
-            ids, counts = np.diff(names.ids[own], prepend=0).astype("<i8").tobytes(), n.astype("<u4").tobytes()
-            data = got.astype("<u8").tobytes()
+            ids, counts = np.diff(names.known[own], prepend=0).astype("<i8").tobytes(), n.astype("<u4").tobytes()
+            data = names.names[part].astype("<u8").tobytes()
         rows.append((b, block_id, ids, counts, data))
     if not rows:
         return None
@@ -366,7 +391,7 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     others = [c for c in docs.columns if c not in ("id", "data")]
     blocks = _blocks(docs, block_bytes, partitions)
     total = blocks.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, -(-total // bucket_bytes))
+    buckets = 1 << max(3, (total // bucket_bytes).bit_length())
 
     def sampled(row):
         block = _Block(row["blob"], row["ids"], row["sizes"])

@@ -59,16 +59,29 @@ def cut(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def map_rows(df: DataFrame, fn: Callable[[list, list], pa.RecordBatch], schema: str,
-             step: int = 512) -> DataFrame:
-    """Run ``fn(ids, datas)`` over slices of ``step`` rows of ``(id, data)``;
-    it returns a record batch.  Slices keep a task's memory flat."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 8 << 20) -> Iterator[tuple[list, list]]:
+    """``(ids, datas)`` of at most so many rows, and of not much more than so many
+    bytes; they keep a task's memory flat."""
+    for batch in batches:
+        ids, datas, held = [], [], 0
+        for id_, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(id_)
+            datas.append(data.as_py())
+            held += len(datas[-1])
+            if len(ids) >= rows or held >= size:
+                yield ids, datas
+                ids, datas, held = [], [], 0
+        if ids:
+            yield ids, datas
+
+
+def map_rows(df: DataFrame, fn: Callable[[list, list], pa.RecordBatch], schema: str) -> DataFrame:
+    """Run ``fn(ids, datas)``, which returns a record batch, over slices of the
+    rows ``(id, data)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                yield fn(part.column(0).to_pylist(), part.column(1).to_pylist())
+        for ids, datas in slices(batches):
+            yield fn(ids, datas)
 
     return df.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lectern.llm.common import pairs
+from lectern.llm.common import pairs, slices
 from lectern.llm.subword import LibraryEncoder
 
 WINDOW = 1024
@@ -169,14 +169,12 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                 sequence += 1
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for id_, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
-                    packer.add(id_, ids + end)
-                    if len(packer.done) > 4096:
-                        full, packer.done = packer.done, []
-                        yield out(full)
+        for keys, datas in slices(batches):
+            for id_, ids in zip(keys, coder.encode(datas)):
+                packer.add(id_, ids + end)
+                if len(packer.done) > 4096:
+                    full, packer.done = packer.done, []
+                    yield out(full)
         packer.close()
         yield out(packer.done + [b for bins in packer.open for b in bins])
 

@@ -39,4 +39,4 @@ def encode_decode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
              pa.array(decoded, pa.string())], names=["id", "ids", "begins", "ends", "decoded"])
 
     return map_rows(pairs(df, id_col, text_col), fn,
-                    "id long, ids array<int>, begins array<int>, ends array<int>, decoded string", step=256)
+                    "id long, ids array<int>, begins array<int>, ends array<int>, decoded string")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, pairs, shuffle_partitions
+from lectern.llm.common import cut, pairs, shuffle_partitions, slices
 from lectern.llm.subword import LibraryEncoder
 from lectern.session import checkpoint_dir
 
@@ -77,21 +77,19 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
         store = out = None
         offsets, at, tokens = [], 0, 0
         end = struct.pack("<I", end_id)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                for id_, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
-                    if out is None:
-                        store, root = fs.FileSystem.from_uri(folder)
-                        store.create_dir(root, recursive=True)
-                        path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}"
-                        out = store.open_output_stream(f"{path}.rec", buffer_size=1 << 20)
-                    # the flag tells a missing id from any real one
-                    data = frame(struct.pack("<?q", id_ is not None, id_ or 0) + ids + end)
-                    out.write(data)
-                    offsets.append((at, len(data)))
-                    at += len(data)
-                    tokens += len(ids) // 4 + 1
+        for keys, datas in slices(batches):
+            if out is None:
+                store, root = fs.FileSystem.from_uri(folder)
+                store.create_dir(root, recursive=True)
+                path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}"
+                out = store.open_output_stream(f"{path}.rec", buffer_size=1 << 20)
+            for id_, ids in zip(keys, coder.encode(datas)):
+                # the flag tells a missing id from any real one
+                data = frame(struct.pack("<?q", id_ is not None, id_ or 0) + ids + end)
+                out.write(data)
+                offsets.append((at, len(data)))
+                at += len(data)
+                tokens += len(ids) // 4 + 1
         if out is not None:
             out.close()
             with store.open_output_stream(f"{path}.idx") as index:

@@ -13,14 +13,42 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that some tokenizers take for white space although ASCII doesn't.
-_ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_ODD_SPACE = re.compile(rb"[\x02\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Opens a chunk that no space stands before; texts that hold it go the long way.
+_JOINED = "\x02"
+#: A space between two other blanks: single spaces are no borders there.
+_WIDE = re.compile(rb"[\x09-\x0d ] [\x09-\x0d ]")
 _SPACED = re.compile(rb"[\x09-\x0d ]*[^\x09-\x0d ]+|[\x09-\x0d ]+")
 _BLANKED = re.compile(rb" *[^ ]+| +")
 
+# Chunks of these characters alone are cut into the tokenizers' pre-tokens here:
+# Latin letters that no normalisation changes but for their case, digits, and
+# ASCII signs but the apostrophe, which opens contractions, and what could open a
+# special token.
+_L, _N, _P = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", "0-9", r"!-&(-/:;=-@\[-`{}~"
+_WORD_PLAIN = re.compile(f"[{_L}{_N}{_P}]+")
+_WORD_PARTS = re.compile(f"[{_L}]+|[{_N}]|[{_P}]+")
+_BYTE_PLAIN = re.compile(f" ?[{_L}{_N}{_P}]+(?:\n[{_L}{_N}{_P}]+)*")
+_BYTE_PARTS = re.compile(f" ?[{_L}]+| ?[{_N}]+| ?[{_P}]+|\n")
+
 #: Chunks that a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 180_000
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies:
+    printable Latin-1 ones for themselves, the others from U+0100 on in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table, more = {b: chr(b) for b in shown}, 0
+    for b in range(256):
+        if b not in table:
+            table[b] = chr(256 + more)
+            more += 1
+    return [table[b] for b in range(256)]
 
 
 class _Recent:
@@ -49,9 +77,9 @@ class _Recent:
 class LibraryEncoder:
     """Ids by the ``tokenizers`` library, as little-endian uint32 bytes.
 
-    ``spaces_dropped``: the tokenizer drops white space and never joins symbols
-    across it; otherwise it is of the byte-level kind, whose pre-tokens start
-    with the white space before a word.
+    ``spaces_dropped``: the tokenizer lower-cases, drops white space and never
+    joins symbols across it; otherwise it is of the byte-level kind, whose
+    pre-tokens start with the space before a word.
     """
 
     def __init__(self, path: str, spaces_dropped: bool, remembered: int = REMEMBERED):
@@ -59,40 +87,73 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.spaces_dropped = spaces_dropped
-        self.recent = _Recent(remembered)
-        special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
-        self.sep_id, self.sep = next(iter(special.items())) if special else (None, None)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        """A special token between the chunks keeps them apart, so that one
-        call encodes many; its id then marks the borders."""
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        if self.sep is None or any("<|" in t for t in texts):
-            return [np.asarray(self._ids(t), "<u4").tobytes() for t in texts]
-        out: list[bytes] = []
-        for at in range(0, len(texts), 2000):
-            part = texts[at:at + 2000]
-            ids = np.asarray(self._ids(self.sep.join(part) + self.sep), "<u4")
-            ends = np.flatnonzero(ids == self.sep_id)
-            assert len(ends) == len(part)
-            raw, begin = ids.tobytes(), 0
-            for end in (ends * 4).tolist():
-                out.append(raw[begin:end])
-                begin = end + 4
+        self.chunks, self.firsts, self.parts = (_Recent(n) for n in (remembered, remembered // 10, remembered))
+        self.shown = byte_characters()
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, parts: list[str]) -> list[bytes]:
+        """The ids of pre-tokens by the library's model."""
+        out, shown, tokenize = [], self.shown, self.model.tokenize
+        for p in parts:
+            if not p.isascii() or p[0] in " \n":
+                p = "".join([shown[b] for b in p.encode()])
+            out.append(np.asarray([t.id for t in tokenize(p)], "<u4").tobytes())
         return out
 
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        if self.spaces_dropped:
+            cut = [_WORD_PARTS.findall(c.lower()) if _WORD_PLAIN.fullmatch(c) else None for c in chunks]
+        else:
+            cut = [_BYTE_PARTS.findall(c) if _BYTE_PLAIN.fullmatch(c) else None for c in chunks]
+        got = self.parts.ensure({p for c in cut if c for p in c}, self._part).__getitem__
+        return [self._whole(text) if c is None else b"".join(map(got, c)) for text, c in zip(chunks, cut)]
+
+    def _lookup(self, flat: pa.Array, lead: str, recent: _Recent) -> tuple[np.ndarray, memoryview]:
+        """The ids of all chunks behind one another, and where each begins."""
+        coded = flat.dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        got = recent.ensure(set(keys), lambda new: self._encode([k[1:] if k[:1] == _JOINED else lead + k for k in new]))
+        values = pa.array([got[k] for k in keys], pa.binary()).take(coded.indices)
+        _, offsets, data = values.buffers()
+        return np.frombuffer(offsets, np.int32)[: len(values) + 1], memoryview(data) if data is not None else memoryview(b"")
+
     def encode(self, datas: list[bytes]) -> list[bytes]:
         """The ids of each text (UTF-8 bytes), whole texts in and out."""
+        if not datas:
+            return []
+        texts = pa.array([d.decode("utf-8", "replace") for d in datas], pa.string())
         if self.spaces_dropped:
-            lists = [d.split() for d in datas]
-        else:
-            lists = [[d] if _ODD_SPACE.search(d) else _SPACED.findall(d) for d in datas]
-        got = self.recent.ensure(set().union(*lists), self._encode).__getitem__
-        return [b"".join(map(got, chunks)) for chunks in lists]
+            # a sign at a word's end is a pre-token of its own
+            texts = pc.replace_substring_regex(texts, pattern=r"(\pL)([.,])(\s|$)", replacement=r"\1 \2\3")
+            lists = pc.ascii_split_whitespace(texts)
+            begin, ids = self._lookup(lists.flatten(), "", self.chunks)
+            at = begin[np.asarray(lists.offsets)].tolist()
+            return [bytes(ids[a:b]) for a, b in zip(at, at[1:])]
+        wide = [bool(_WIDE.search(d) or _ODD_SPACE.search(d)) for d in datas]
+        # a sign at a word's end and a lone line end are pre-tokens of their own
+        texts = pc.replace_substring_regex(texts, pattern=r"(\pL)([.,])(\s|$)", replacement=rf"\1 {_JOINED}\2\3")
+        texts = pc.replace_substring_regex(texts, pattern=r"(\S)\n(\S)", replacement=f"\\1 {_JOINED}\n {_JOINED}\\2")
+        lists = pc.split_pattern(texts, " ")
+        offsets = np.asarray(lists.offsets)
+        flat = lists.flatten()
+        begin, ids = self._lookup(flat, " ", self.chunks)
+        heads = flat.take(pa.array(offsets[:-1])).to_pylist()
+        first = self.firsts.ensure(set(heads), lambda new: self._encode(new))
+        rest = zip(begin[offsets[:-1] + 1].tolist(), begin[offsets[1:]].tolist())
+        out = [first[h] + bytes(ids[a:b]) for h, (a, b) in zip(heads, rest)]
+        for k in np.flatnonzero(wide).tolist():
+            out[k] = self._spaced(datas[k])
+        return out
+
+    def _spaced(self, data: bytes) -> bytes:
+        """A text with runs of blanks: they belong to the chunk behind them."""
+        if _ODD_SPACE.search(data):
+            return self._whole(data.decode("utf-8", "replace"))
+        return b"".join(self._encode([c.decode("utf-8", "replace") for c in _SPACED.findall(data)]))
 
 
 class PieceEncoder:

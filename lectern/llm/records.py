@@ -4,7 +4,9 @@ A shard is one file of framed records and one offset index.  A frame is
 
     length of the record        uint64
     masked checksum of it       uint32
-    record                      id (int64), then the token ids (uint32 each)
+    record                      whether it has an id (1 byte), the id (int64),
+                                the bytes of a token id (1 byte: 2 or 4), and
+                                the token ids in that width
     masked checksum of it       uint32
 
 all little-endian.  A masked checksum is the CRC-32 rotated right by 15 bits
@@ -58,6 +60,19 @@ def unframe(data: bytes) -> bytes:
     return record
 
 
+def pack_record(id_: int | None, ids: bytes) -> bytes:
+    """``ids`` as uint32; they are stored in two bytes each where all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    narrow = len(wide) == 0 or int(wide.max()) < 1 << 16
+    return struct.pack("<?qB", id_ is not None, id_ or 0, 2 if narrow else 4) + (wide.astype("<u2").tobytes() if narrow else ids)
+
+
+def unpack_record(record: bytes) -> tuple[int | None, bytes]:
+    has, id_, width = struct.unpack_from("<?qB", record)
+    ids = record[10:]
+    return id_ if has else None, np.frombuffer(ids, "<u2").astype("<u4").tobytes() if width == 2 else ids
+
+
 def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Encode every whole text and write it in ascending id order; returns the
@@ -85,7 +100,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
                 out = store.open_output_stream(f"{path}.rec", buffer_size=1 << 20)
             for id_, ids in zip(keys, coder.encode(datas)):
                 # the flag tells a missing id from any real one
-                data = frame(struct.pack("<?q", id_ is not None, id_ or 0) + ids + end)
+                data = frame(pack_record(id_, ids + end))
                 out.write(data)
                 offsets.append((at, len(data)))
                 at += len(data)
@@ -113,9 +128,10 @@ def _encoder(path: str) -> LibraryEncoder:
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """``(shard, place, id, ids)`` for every record of the listed shards; ``ids``
-    are the token ids as little-endian uint32 bytes.  Records are found through
-    the offset index and checked against their lengths and checksums."""
+    """``(shard, before, id, ids)`` for every record of the listed shards: the
+    number of ids before it in its shard, and its token ids as little-endian
+    uint32 bytes.  Records are found through the offset index and checked against
+    their lengths and checksums."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -125,21 +141,23 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
             for shard, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with store.open_input_file(f"{path}.idx") as f:
                     index = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
+                before = 0
                 with store.open_input_file(f"{path}.rec") as f:
                     for at in range(0, len(index), 512):
                         part = index[at:at + 512]
                         base = int(part[0, 0])
                         raw = f.read_at(int(part[-1].sum()) - base, base)
-                        recs = [unframe(raw[o - base:o - base + n]) for o, n in part.tolist()]
-                        keys = [struct.unpack_from("<?q", r) for r in recs]
+                        recs = [unpack_record(unframe(raw[o - base:o - base + n])) for o, n in part.tolist()]
+                        ends = before + np.cumsum([len(ids) // 4 for _, ids in recs])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([shard] * len(recs), pa.int32()), pa.array(range(at, at + len(recs)), pa.int64()),
-                             pa.array([k if has else None for has, k in keys], pa.int64()),
-                             pa.array([r[9:] for r in recs], pa.binary())], names=["shard", "place", "id", "ids"])
+                            [pa.array([shard] * len(recs), pa.int32()), pa.array(np.concatenate(([before], ends[:-1])), pa.int64()),
+                             pa.array([k for k, _ in recs], pa.int64()), pa.array([ids for _, ids in recs], pa.binary())],
+                            names=["shard", "before", "id", "ids"])
+                        before = int(ends[-1])
 
     paths = manifest.select("shard", "path")
     return paths.repartition(shuffle_partitions(manifest.sparkSession), "shard").mapInArrow(
-        read, "shard int, place long, id long, ids binary")
+        read, "shard int, before long, id long, ids binary")
 
 
 def encode_to_files(df: DataFrame, tokenizer: str, folder: str | None = None, **options) -> DataFrame:
@@ -151,9 +169,6 @@ def encode_to_files(df: DataFrame, tokenizer: str, folder: str | None = None, **
     manifest = write_shards(df, uri, tokenizer, **options)
     # one row a file
     base = manifest.select("shard", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("base"))
-    within = Window.partitionBy("shard").orderBy("place")
     return (read_shards(manifest, uri)
-            .withColumn("n", (F.length("ids") / 4).cast("long"))
-            .withColumn("before", F.sum("n").over(within) - F.col("n"))
             .join(F.broadcast(base), "shard")
             .select("id", (F.col("base") + F.col("before")).alias("start"), "ids"))

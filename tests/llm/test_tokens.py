@@ -111,6 +111,12 @@ def test_files_of_odd_rows(spark, coders, tmp_path, rows):
     files_match(docs(spark, rows), rows, coders, tmp_path, shards=5)
 
 
+def test_wide_ids_and_missing_keys_survive():
+    for key, ids in ((None, [1, 70_000]), (-3, [65_535, 0]), (7, [])):
+        raw = np.asarray(ids, "<u4").tobytes()
+        assert records.unpack_record(records.pack_record(key, raw)) == (key, raw)
+
+
 def test_files_of_the_whole_table(spark, coders, tmp_path):
     df, rows = table_rows(spark)
     files_match(df, rows, coders, tmp_path)

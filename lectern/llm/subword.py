@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,9 @@ import pyarrow.compute as pc
 _ODD_SPACE = re.compile(rb"[\x02\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Opens a chunk that no space stands before; texts that hold it go the long way.
 _JOINED = "\x02"
-#: A space between two other blanks: single spaces are no borders there.
-_WIDE = re.compile(rb"[\x09-\x0d ] [\x09-\x0d ]")
+#: The same in RE2's form, or a space between two other blanks: there, single
+#: spaces are no borders.
+_WIDE = (r"[\t-\r ] [\t-\r ]|[\x02\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 _SPACED = re.compile(rb"[\x09-\x0d ]*[^\x09-\x0d ]+|[\x09-\x0d ]+")
 _BLANKED = re.compile(rb" *[^ ]+| +")
 
@@ -99,9 +101,11 @@ class LibraryEncoder:
         """The ids of pre-tokens by the library's model."""
         out, shown, tokenize = [], self.shown, self.model.tokenize
         for p in parts:
-            if not p.isascii() or p[0] in " \n":
+            if not p.isascii() or p == "\n":
                 p = "".join([shown[b] for b in p.encode()])
-            out.append(np.asarray([t.id for t in tokenize(p)], "<u4").tobytes())
+            elif p[0] == " ":
+                p = shown[32] + p[1:]
+            out.append(array("I", [t.id for t in tokenize(p)]).tobytes())
         return out
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
@@ -109,8 +113,9 @@ class LibraryEncoder:
             cut = [_WORD_PARTS.findall(c.lower()) if _WORD_PLAIN.fullmatch(c) else None for c in chunks]
         else:
             cut = [_BYTE_PARTS.findall(c) if _BYTE_PLAIN.fullmatch(c) else None for c in chunks]
-        got = self.parts.ensure({p for c in cut if c for p in c}, self._part).__getitem__
-        return [self._whole(text) if c is None else b"".join(map(got, c)) for text, c in zip(chunks, cut)]
+        single = iter(self._part([c[0] for c in cut if c and len(c) == 1]))
+        got = self.parts.ensure({p for c in cut if c and len(c) > 1 for p in c}, self._part).__getitem__
+        return [self._whole(text) if c is None else next(single) if len(c) == 1 else b"".join(map(got, c)) for text, c in zip(chunks, cut)]
 
     def _lookup(self, flat: pa.Array, lead: str, recent: _Recent) -> tuple[np.ndarray, memoryview]:
         """The ids of all chunks behind one another, and where each begins."""
@@ -133,7 +138,7 @@ class LibraryEncoder:
             begin, ids = self._lookup(lists.flatten(), "", self.chunks)
             at = begin[np.asarray(lists.offsets)].tolist()
             return [bytes(ids[a:b]) for a, b in zip(at, at[1:])]
-        wide = [bool(_WIDE.search(d) or _ODD_SPACE.search(d)) for d in datas]
+        wide = pc.match_substring_regex(texts, _WIDE).to_numpy(zero_copy_only=False)
         # a sign at a word's end and a lone line end are pre-tokens of their own
         texts = pc.replace_substring_regex(texts, pattern=r"(\pL)([.,])(\s|$)", replacement=rf"\1 {_JOINED}\2\3")
         texts = pc.replace_substring_regex(texts, pattern=r"(\S)\n(\S)", replacement=f"\\1 {_JOINED}\n {_JOINED}\\2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -33,10 +34,11 @@ def encode_decode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
         coder = _encoder(model)
         got = coder.encode(datas)
         ids = [g[0] for g in got]
-        decoded = [coder.sp.decode(x.tolist()) for x in ids]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), *(pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in range(3)),
-             pa.array(decoded, pa.string())], names=["id", "ids", "begins", "ends", "decoded"])
+        decoded = coder.sp.decode([x.tolist() for x in ids], num_threads=1)
+        offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([g[k] for g in got]), pa.int32())) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *lists, pa.array(decoded, pa.string())],
+                                          names=["id", "ids", "begins", "ends", "decoded"])
 
     return map_rows(pairs(df, id_col, text_col), fn,
                     "id long, ids array<int>, begins array<int>, ends array<int>, decoded string")

@@ -25,7 +25,6 @@ _JOINED = "\x02"
 #: spaces are no borders.
 _WIDE = (r"[\t-\r ] [\t-\r ]|[\x02\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 _SPACED = re.compile(rb"[\x09-\x0d ]*[^\x09-\x0d ]+|[\x09-\x0d ]+")
-_BLANKED = re.compile(rb" *[^ ]+| +")
 
 # Chunks of these characters alone are cut into the tokenizers' pre-tokens here:
 # Latin letters that no normalisation changes but for their case, digits, and
@@ -169,7 +168,7 @@ class PieceEncoder:
     source that it came from; pieces then project to source spans.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED // 2):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -180,95 +179,58 @@ class PieceEncoder:
         self.norm = AlignedNormalizer(spec.precompiled_charsmap, spec.add_dummy_prefix,
                                       spec.remove_extra_whitespaces)
         byte = pb.ModelProto.SentencePiece.BYTE
-        self.size = np.asarray([1 if p.type == byte else len(p.piece.encode()) for p in model.pieces], np.int64)
+        self.size = np.asarray([1 if p.type == byte else len(p.piece.encode()) for p in model.pieces], np.int32)
         self.unk = self.sp.unk_id()
-        # a chunk border holds if nothing is rewritten and no piece has the
-        # space sign behind another character
+        # Before a space a text can be cut if nothing is rewritten and no piece has
+        # the space sign behind another character; the library itself then puts
+        # the sign before each part.
         self.chunked = (not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix
                         and not any("▁" in p.piece.lstrip("▁") for p in model.pieces))
         self.eos = self.sp.eos_id()
         self.recent = _Recent(remembered)
 
-    def _whole(self, data: bytes) -> tuple[bytes, bytes, bytes]:
-        """(ids, begins, ends) of a text encoded by itself, as int32 bytes."""
-        ids = self.sp.encode(data.decode("utf-8", "replace"), num_threads=1) if data else []
-        return self._project(data, ids)
-
-    def _project(self, data: bytes, ids: list[int]) -> tuple[bytes, bytes, bytes]:
-        if not ids:
-            return b"", b"", b""
-        normed, origin = self.norm(data)
-        ids_ = np.asarray(ids, np.int32)
-        size = self.size[ids_]
-        if self.unk in ids:  # an unknown piece has the length of what it stands for
-            size = self._with_unknown(normed, ids)
-        ends = np.cumsum(size)
-        cut = np.minimum(ends, len(normed))
-        starts = np.concatenate(([0], cut[:-1]))
-        begin, end = origin[starts], origin[cut]
-        return ids_.tobytes(), begin.astype(np.int32).tobytes(), np.maximum(begin, end).astype(np.int32).tobytes()
-
-    def _with_unknown(self, normed: bytes, ids: list[int]) -> np.ndarray:
+    def _sizes(self, normed: bytes, ids: np.ndarray) -> np.ndarray:
+        """The normalised bytes that each id stands for."""
+        if not (ids == self.unk).any():
+            return self.size[ids]
+        # an unknown piece has the length of what it stands for
         pieces = self.sp.encode(normed.decode("utf-8", "replace"), out_type="immutable_proto").pieces
-        return np.asarray([len(p.surface.encode()) for p in pieces], np.int64) if len(pieces) == len(ids) \
-            else self.size[np.asarray(ids)]
-
-    def _chunk(self, chunks: list[tuple[bytes, bool]]) -> list[tuple[bytes, bytes, bytes]]:
-        """Chunks with whether one opens its text.  Inside a text, the space
-        before a chunk is what the library itself puts before a text."""
-        bare = [c if first or not c.startswith(b" ") else c[1:] for c, first in chunks]
-        all_ids = self.sp.encode([b.decode("utf-8", "replace") for b in bare], num_threads=1)
-        out = []
-        for (c, first), b, ids in zip(chunks, bare, all_ids):
-            if not b and not first:
-                out.append((np.int32([self.sp.piece_to_id("▁")]).tobytes(), np.int32([0]).tobytes(), np.int32([1]).tobytes()))
-                continue
-            got = self._project(b, ids)
-            if len(b) < len(c):  # move behind the space, which belongs to the first piece
-                begin, end = (np.frombuffer(x, np.int32) + 1 for x in got[1:])
-                begin, end = begin.copy(), end.copy()
-                begin[0] = 0
-                got = got[0], begin.tobytes(), end.tobytes()
-            out.append(got)
+        return np.asarray([len(p.surface.encode()) for p in pieces], np.int32) if len(pieces) == len(ids) else self.size[ids]
+
+    def _ids(self, datas: list[bytes], texts: pa.Array) -> list[np.ndarray]:
+        if not self.chunked:
+            return [np.asarray(x, np.int32) for x in self.sp.encode(texts.to_pylist(), num_threads=1)]
+        whole = pc.match_substring_regex(texts, "^ | {2}| $|^$|▁").to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        got = self.recent.ensure(set(keys), lambda new: [array("i", x).tobytes() for x in self.sp.encode(new, num_threads=1)])
+        values = pa.array([got[k] for k in keys], pa.binary()).take(coded.indices)
+        _, offsets, raw = values.buffers()
+        begin = np.frombuffer(offsets, np.int32)[: len(values) + 1] // 4
+        ids = np.frombuffer(raw, np.int32) if raw is not None else np.empty(0, np.int32)
+        at = begin[np.asarray(lists.offsets)].tolist()
+        out = [ids[a:b] for a, b in zip(at, at[1:])]
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = np.asarray(self.sp.encode(texts[k].as_py()), np.int32)
         return out
 
     def encode(self, datas: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text the ids with the end id last, and for each id the
         begin and end of its span in the text's UTF-8 bytes."""
-        lists, offsets = [], []
-        for d in datas:
-            if not d or not self.chunked or b"\xe2\x96\x81" in d:
-                lists.append(None)
-                offsets.append(None)
-                continue
-            parts = _BLANKED.findall(d)
-            lists.append([(parts[0], True)] + [(p, False) for p in parts[1:]])
-            offsets.append(parts)
-        keys = set()
-        for x in lists:
-            if x:
-                keys.update(x)
-        got = self.recent.ensure(keys, self._chunk).__getitem__ if keys else None
+        if not datas:
+            return []
         out = []
-        for d, chunks, parts in zip(datas, lists, offsets):
-            if chunks is None:
-                raw = [self._whole(d)]
-                shift = 0
-            else:
-                raw = list(map(got, chunks))
-                lens = np.fromiter(map(len, parts), np.int64, len(parts))
-                counts = np.fromiter((len(r[0]) for r in raw), np.int64, len(raw)) // 4
-                shift = np.repeat(np.cumsum(lens) - lens, counts).astype(np.int32)
-            ids, begin, end = (np.frombuffer(b"".join([r[k] for r in raw]), np.int32) for k in range(3))
-            stop = np.int32([len(d)])
-            out.append((np.append(ids, np.int32(self.eos)), np.append(begin + shift, stop).astype(np.int32),
-                        np.append(end + shift, stop).astype(np.int32)))
+        for data, ids in zip(datas, self._ids(datas, pa.array([d.decode("utf-8", "replace") for d in datas], pa.string()))):
+            begin, end = self.norm.spans(data, lambda normed: self._sizes(normed, ids)) if len(ids) else (ids, ids)
+            stop = np.int32([len(data)])
+            out.append((np.append(ids, np.int32(self.eos)), np.concatenate((begin, stop)), np.concatenate((end, stop))))
         return out
 
 
 class AlignedNormalizer:
-    """Normalised bytes and, for each of them and for the end, the source byte
-    that they come from.
+    """Normalised bytes and, for each of them, the begin and the end of the source
+    bytes that it comes from.
 
     ``charsmap``: a compiled character map, a double-array trie (public
     darts-clone layout: one uint32 a unit) followed by the zero-ended
@@ -326,44 +288,59 @@ class AlignedNormalizer:
             at += n
         return out
 
-    def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        if self.units is None and not self.strip and data.isascii():
-            return self._ascii(data)
-        out, origin = bytearray(), []
+    def __call__(self, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        if self.units is None and not self.strip and (plain := self._identity(data)):
+            return plain
+        out, begins, ends = bytearray(), [], []
 
-        def put(new: bytes, begin: int) -> None:
+        def put(new: bytes, begin: int, end: int) -> None:
             out.extend(new)
-            origin.extend([begin] * len(new))
+            begins.extend([begin] * len(new))
+            ends.extend([end] * len(new))
 
-        sign, steps = b"\xe2\x96\x81", self._plain(data)
-        begin_at = 0
+        sign, steps, lead = b"\xe2\x96\x81", self._plain(data), 0
         if self.strip:  # spaces at both ends go, runs of them become one
             while steps and not steps[0][0].strip(b" "):
-                begin_at = steps.pop(0)[2]
+                lead = steps.pop(0)[2]
         if self.dummy_prefix and (steps or not self.strip):
-            put(sign, begin_at)
-        blank, stop = self.strip, begin_at
+            put(sign, lead, lead)
+        blank = self.strip
         for new, begin, end in steps:
             for k in range(len(new)):
                 c = new[k:k + 1]
                 if c != b" ":
-                    put(c, begin)
-                    blank, stop = False, end
+                    put(c, begin, end)
+                    blank = False
                 elif not (self.strip and blank):
-                    put(sign, begin)
+                    put(sign, begin, end)
                     blank = True
-                    stop = stop if self.strip else end
-        if self.strip:
-            while out.endswith(sign) and len(out) > len(sign):
-                del out[-3:], origin[-3:]
-        else:
-            stop = len(data)
-        return bytes(out), np.asarray(origin + [stop], np.int64)
+        while self.strip and out.endswith(sign) and len(out) > len(sign):
+            del out[-3:], begins[-3:], ends[-3:]
+        return bytes(out), np.asarray(begins, np.int32), np.asarray(ends, np.int32)
 
-    def _ascii(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        sign = b"\xe2\x96\x81"
-        raw = np.frombuffer(data, np.uint8)
+    def _identity(self, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray] | None:
+        """Without a map only spaces change; none for text that isn't UTF-8."""
+        sign, raw = b"\xe2\x96\x81", np.frombuffer(data, np.uint8)
         wide = np.where(raw == 32, 3, 1)
-        origin = np.repeat(np.arange(len(data)), wide)
-        lead = [0, 0, 0] if self.dummy_prefix else []
-        return (sign if lead else b"") + data.replace(b" ", sign), np.concatenate((lead, origin, [len(data)])).astype(np.int64)
+        n = np.arange(len(data), dtype=np.int32)
+        begin, end = n, n + np.int32(1)
+        if not data.isascii():
+            try:
+                data.decode("utf-8")
+            except UnicodeDecodeError:
+                return None
+            opens = (raw & 0xC0) != 0x80
+            first = np.flatnonzero(opens).astype(np.int32)
+            which = np.cumsum(opens) - 1
+            begin, end = first[which], np.append(first[1:], np.int32(len(data)))[which]
+        lead = np.zeros(3 if self.dummy_prefix else 0, np.int32)
+        return ((sign if self.dummy_prefix else b"") + data.replace(b" ", sign),
+                np.concatenate((lead, np.repeat(begin, wide))), np.concatenate((lead, np.repeat(end, wide))))
+
+    def spans(self, data: bytes, sizes) -> tuple[np.ndarray, np.ndarray]:
+        """The source spans of consecutive pieces; ``sizes(normed)`` gives the
+        normalised bytes of each."""
+        normed, begins, ends = self(data)
+        stops = np.minimum(np.cumsum(sizes(normed)), len(normed))
+        starts = np.concatenate(([0], stops[:-1]))
+        return begins[np.minimum(starts, len(normed) - 1)], ends[np.maximum(stops - 1, 0)]

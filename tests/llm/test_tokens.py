@@ -62,20 +62,25 @@ def check_spans(data, ids, begins, ends):
 @pytest.mark.parametrize("text", ["ﬁne ① ｗｉｄｅ  x", "  a\tb　c ", "", "   ", "Å é ﷺ", "plain ascii text"])
 def test_compiled_map_as_the_library_has_it(text):
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
 
     norm = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, remove_extra_whitespaces=True,
                                                  escape_whitespaces=True)
-    from sentencepiece import sentencepiece_model_pb2 as pb
-
     spec = pb.ModelProto.FromString(norm.serialized_model_proto()).normalizer_spec
-    own, origin = AlignedNormalizer(spec.precompiled_charsmap, True, True)(text.encode())
+    own, begins, ends = AlignedNormalizer(spec.precompiled_charsmap, True, True)(text.encode())
     assert own.decode() == norm.normalize(text)
-    assert len(origin) == len(own) + 1 and (np.diff(origin) >= 0).all()
-
-
-def test_aligned_bytes_of_a_rewritten_prefix():
-    own, origin = AlignedNormalizer(b"", True, False)("a é".encode())
-    assert own.decode() == "▁a▁é" and origin.tolist() == [0, 0, 0, 0, 1, 1, 1, 2, 2, 4]
+    assert len(begins) == len(ends) == len(own) and (np.diff(begins) >= 0).all() and (begins <= ends).all()
+
+
+def test_sources_of_normalised_bytes():
+    own, begins, ends = AlignedNormalizer(b"", True, False)("a é".encode())
+    assert own.decode() == "▁a▁é" and begins.tolist() == [0, 0, 0, 0, 1, 1, 1, 2, 2] and ends.tolist() == [0, 0, 0, 1, 2, 2, 2, 4, 4]
+    slow = AlignedNormalizer(b"", True, False)
+    slow._identity = lambda data: None
+    for text in ("a é", "", " x  日 ", "plain"):
+        for a, b in zip(slow(text.encode()), AlignedNormalizer(b"", True, False)(text.encode())):
+            assert np.array_equal(a, b) if not isinstance(a, bytes) else a == b
+    assert AlignedNormalizer(b"", True, False)(b"a\xff")[0] == "▁a\ufffd".encode()
 
 
 @pytest.mark.parametrize("rows", [TEXTS, []])

@@ -59,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 8 << 20) -> Iterator[tuple[list, list]]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 5 << 20) -> Iterator[tuple[list, list]]:
     """``(ids, datas)`` of at most so many rows, and of not much more than so many
     bytes; they keep a task's memory flat."""
     for batch in batches:

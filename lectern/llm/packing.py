@@ -175,6 +175,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                 if len(packer.done) > 4096:
                     full, packer.done = packer.done, []
                     yield out(full)
+        coder.forget()
         packer.close()
         yield out(packer.done + [b for bins in packer.open for b in bins])
 

@@ -37,7 +37,7 @@ _BYTE_PLAIN = re.compile(f" ?[{_L}{_N}{_P}]+(?:\n[{_L}{_N}{_P}]+)*")
 _BYTE_PARTS = re.compile(f" ?[{_L}]+| ?[{_N}]+| ?[{_P}]+|\n")
 
 #: Chunks that a worker remembers, in each of two generations.
-REMEMBERED = 180_000
+REMEMBERED = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -75,6 +75,11 @@ class _Recent:
         return young
 
 
+    def forget(self) -> None:
+        """Between tasks only the young generation stays."""
+        self.old = {}
+
+
 class LibraryEncoder:
     """Ids by the ``tokenizers`` library, as little-endian uint32 bytes.
 
@@ -93,6 +98,11 @@ class LibraryEncoder:
         self.chunks, self.firsts, self.parts = (_Recent(n) for n in (remembered, remembered // 10, remembered))
         self.shown = byte_characters()
 
+    def forget(self) -> None:
+        for recent in (self.chunks, self.firsts, self.parts):
+            recent.forget()
+        pa.default_memory_pool().release_unused()
+
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -57,6 +57,8 @@ def ignore_class(chars=None, range_compat: bool = False) -> str:
     reference's script does, so ``!-;`` becomes a range (quirk Q1).
     """
     chars = CHARS_TO_IGNORE if chars is None else list(chars)
+    if not chars:
+        return "(?!)"  # an empty list deletes nothing
     if range_compat:
         return "[" + "".join(chars) + "]"
     return "[" + escape_class_chars("".join(chars)) + "]"

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.edit import char_edit_distance, with_word_distances
 from ..functions.text import basic_normalize
-from ..session import spread
 from ..functions.tokenize import cer_text, wer_words
 
 
@@ -20,6 +19,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def valid_pairs(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """Pairs with both sides; the others have no error rate."""
+    return pairs.where(F.col(ref).isNotNull() & F.col(hyp).isNotNull())
+
+
 def _stage_tokens(df: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
     """Project word arrays and CER strings for each named side pair once."""
     keep = [F.col(c) for c in df.columns]
@@ -80,14 +84,14 @@ def _rates(prefixes: list[str], digits: int | None) -> list[Column]:
 def wer(pairs: DataFrame, by: list[str] | None = None, ref="ref", hyp="hyp",
         digits: int | None = 2) -> DataFrame:
     """M1: corpus WER per group (micro-average; may exceed 100)."""
-    st = error_stats(spread(pairs.select(*(by or []), ref, hyp)), {"": (ref, hyp)}, ("wer",))
+    st = error_stats(valid_pairs(pairs, ref, hyp).select(*(by or []), ref, hyp), {"": (ref, hyp)}, ("wer",))
     return st.groupBy(*(by or [])).agg(*_rates(["wer"], digits))
 
 
 def cer(pairs: DataFrame, by: list[str] | None = None, ref="ref", hyp="hyp",
         digits: int | None = 2) -> DataFrame:
     """M2: corpus CER per group (inner spaces count as characters)."""
-    st = error_stats(spread(pairs.select(*(by or []), ref, hyp)), {"": (ref, hyp)}, ("cer",))
+    st = error_stats(valid_pairs(pairs, ref, hyp).select(*(by or []), ref, hyp), {"": (ref, hyp)}, ("cer",))
     return st.groupBy(*(by or [])).agg(*_rates(["cer"], digits))
 
 
@@ -100,8 +104,7 @@ def asr_report(pairs: DataFrame, by: list[str] | None = None, ref: str = "ref",
     reference normalises references and predictions alike).
     """
     by = by or []
-    valid = pairs.where(F.col(ref).isNotNull() & F.col(hyp).isNotNull())
-    st = pair_errors(spread(valid.select(*by, ref, hyp)), ref, hyp, True, keep_marks)
+    st = pair_errors(valid_pairs(pairs, ref, hyp).select(*by, ref, hyp), ref, hyp, True, keep_marks)
     return st.groupBy(*by).agg(
         *_rates(["wer", "norm_wer", "cer", "norm_cer"], digits),
         F.count(F.lit(1)).alias("n_pairs"),

@@ -78,13 +78,16 @@ def _prefixed(stats: DataFrame, key: list[str], prefix: str) -> DataFrame:
 def pair_stats(pairs: DataFrame, key: list[str], ref="ref", hyp="hyp") -> DataFrame:
     """BLEU (``b_*``) and chrF (``c_*``) statistics side by side, one row per pair.
 
-    Both statistic tables come out of the same key partitioning, so the join
-    is a co-partitioned merge without another exchange.
+    Pairs without one side have no statistics.  Keys may be null: the join is
+    null-safe, so a pair of the null group stays in.  It moves a few counts per
+    pair; the texts are shuffled once, by :func:`prepare_pairs`.
     """
     base = prepare_pairs(pairs, key, ref, hyp)
     b = _prefixed(bleu_stats(base, key, ref, hyp, repartition=False), key, "b_")
     c = _prefixed(chrf_stats(base, key, ref, hyp, repartition=False), key, "c_")
-    return b.join(c, on=key, how="inner")
+    c = c.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(key)], *[x for x in c.columns if x not in key])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(key)]
+    return b.join(c, same, "inner").drop(*[f"_k{n}" for n in range(len(key))])
 
 
 def sentence_bleu(digits: int | None = None, prefix: str = "b_") -> Column:
@@ -133,9 +136,12 @@ def chrf(pairs: DataFrame, key: list[str], by: list[str] | None = None, ref="ref
 
 def sentence_scores(pairs: DataFrame, key: list[str], ref="ref", hyp="hyp",
                     digits: int | None = None) -> DataFrame:
-    """Per-pair BLEU and chrF (M4, M6) keyed by ``key``."""
+    """Per-pair BLEU and chrF (M4, M6) keyed by ``key``; null where a side is."""
     st = pair_stats(pairs, key, ref, hyp)
-    return st.select(*key, sentence_bleu(digits).alias("bleu"), sentence_chrf(digits).alias("chrf"))
+    scored = st.select(*key, sentence_bleu(digits).alias("bleu"), sentence_chrf(digits).alias("chrf"))
+    none = F.lit(None).cast("double")
+    rest = pairs.where(F.col(ref).isNull() | F.col(hyp).isNull()).select(*key, none.alias("bleu"), none.alias("chrf"))
+    return scored.unionByName(rest)
 
 
 def corpus_scores(pairs: DataFrame, key: list[str], by: list[str] | None = None, ref="ref",

@@ -95,7 +95,7 @@ def _prepare(pairs: DataFrame, key: list[str], ref: str, hyp: str,
     coalescing the small shuffle into a handful of tasks that would then do
     all of the expansion.
     """
-    base = pairs.select(*key, ref, hyp)
+    base = pairs.where(F.col(ref).isNotNull() & F.col(hyp).isNotNull()).select(*key, ref, hyp)
     if partitions is None:
         partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return base.repartition(partitions, *key)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..operators import align as AL
 from ..operators import errors as ER
-from ..session import materialize, spread
+from ..session import materialize
 from ..sources.tables import table
 from . import oracle as O
 
@@ -167,7 +167,7 @@ def q_clean_target(spark, sf):
 
 @register("normalize_pages", f"SELECT page_id, {O.normalize('html')} AS norm_text FROM pages")
 def q_normalize_pages(spark, sf):
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"), ["page_id"])
+    pages = table(spark, sf, "pages").select("page_id", "html")
     return pages.select("page_id", TX.basic_normalize("html").alias("norm_text"))
 
 

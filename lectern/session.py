@@ -50,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="lectern-ckpt-")
     try:
         spark.conf.set("spark.checkpoint.dir", local)
@@ -67,24 +69,3 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def spread(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work at least one task per core.
-
-    Edit distances and normalisers cost far more per byte than a scan, and a
-    small input (one parquet row group) arrives as one partition.  When the
-    plan has fewer partitions than ``defaultParallelism`` the rows are
-    hash-partitioned on ``keys`` (round-robin without keys) into that many
-    tasks, with an explicit count so AQE does not merge them back.  A large
-    input already has at least that many splits and is left untouched, so no
-    shuffle is added at scale.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect): leave as is
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)

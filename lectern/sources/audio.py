@@ -1,19 +1,19 @@
 """Audio folders through Spark's ``binaryFile`` source.
 
-The manifest (rate, channels, bit depth, sample count, duration) is read from
-the WAV header with SQL expressions on the first bytes of each file; the
-``fmt `` and ``data`` chunks are located by search, so files with extra chunks
-(``LIST``, ``fact``) parse too.  Listing selects ``path``/``length`` only, so
+The manifest (rate, channels, bit depth, sample count, duration) is read by
+walking the chunks of each WAV file, wherever ``fmt `` and ``data`` stand.
+Listing selects ``path``/``length`` only, so
 Spark does not read file contents for it.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HEADER_BYTES = 4096  # chunk search window at the start of a file
 SPLITS = ("train", "validation", "test")
 
 
@@ -27,31 +27,36 @@ def list_audio(spark: SparkSession, root: str) -> DataFrame:
     return _binary(spark, root).select("path", "length")
 
 
-def _le(hexstr: Column, byte_offset: Column, nbytes: int) -> Column:
-    """Little-endian unsigned integer at ``byte_offset`` (0-based) of a hex string."""
-    parts = [F.substring(hexstr, (byte_offset + k) * 2 + 1, 2) for k in reversed(range(nbytes))]
-    return F.conv(F.concat(*parts), 16, 10).cast("long")
+_HEADER = "struct<sampling_rate:int,channels:int,bits:int,data_offset:bigint,n_samples:bigint,duration:double>"
 
 
-def _chunk_offset(hexstr: Column, tag_hex: str) -> Column:
-    """Byte offset of a chunk id (aligned to whole bytes), or null."""
-    pre = F.regexp_extract(hexstr, f"^((?:..)*?){tag_hex}", 1)
-    found = F.regexp_extract(hexstr, f"^(?:..)*?({tag_hex})", 1) != ""
-    return F.when(found, (F.length(pre) / 2).cast("long"))
+def walk_riff(content: bytes) -> tuple | None:
+    """Rate, channels, bits, data offset, samples per channel and seconds of a WAV
+    file, found chunk by chunk; None if it has no ``fmt `` or ``data`` chunk."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        return None
+    at, fmt = 12, None
+    while at + 8 <= len(content):
+        tag, size = content[at:at + 4], int.from_bytes(content[at + 4:at + 8], "little")
+        if tag == b"fmt " and at + 24 <= len(content):
+            fmt = [int.from_bytes(content[at + o:at + o + n], "little") for o, n in ((12, 4), (10, 2), (22, 2))]
+        elif tag == b"data" and fmt:
+            rate, channels, bits = fmt
+            size = min(size, len(content) - at - 8)  # streams leave the size open
+            frame = channels * (bits // 8)
+            n = size // frame if frame else None
+            return rate, channels, bits, at + 8, n, n / rate if n is not None and rate else None
+        at += 8 + size + size % 2
+    return None
 
 
 def header_columns(content: Column) -> dict[str, Column]:
-    h = F.lower(F.hex(F.substring(content, 1, HEADER_BYTES)))
-    fmt = _chunk_offset(h, "666d7420")   # 'fmt '
-    data = _chunk_offset(h, "64617461")  # 'data'
-    channels = _le(h, fmt + 10, 2)
-    rate = _le(h, fmt + 12, 4)
-    bits = _le(h, fmt + 22, 2)
-    data_bytes = _le(h, data + 4, 4)
-    n = (data_bytes / (channels * (bits / 8))).cast("long")
-    return {"sampling_rate": rate.cast("int"), "channels": channels.cast("int"),
-            "bits": bits.cast("int"), "data_offset": (data + 8).cast("long"),
-            "n_samples": n, "duration": n / rate}
+    @F.udf(_HEADER, useArrow=True)
+    def header(data):
+        return walk_riff(bytes(data)) if data is not None else None
+
+    h = header(content)
+    return {k: h[k] for k in ("sampling_rate", "channels", "bits", "data_offset", "n_samples", "duration")}
 
 
 def audio_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -66,8 +71,22 @@ def _folder(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^file:/+", "file:/"), "/[^/]*$", "")
 
 
+def _decoded(uri: Column) -> Column:
+    """``_metadata.file_path`` is URL-encoded, the ``path`` of binaryFile isn't."""
+    return F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
+
+
+def _below(path: Column, root: str) -> Column:
+    """The path relative to ``root``, with a leading slash."""
+    plain = F.regexp_replace(path, "^[a-zA-Z0-9+.-]+:/*", "/")
+    top = re.sub("^[a-zA-Z0-9+.-]+:/*", "/", root).rstrip("/")
+    at = F.locate(top + "/", plain)
+    return F.when(at > 0, plain.substr(at + len(top), F.length(plain))).otherwise(plain)
+
+
 def split_of(path: Column) -> Column:
-    """The split named by a path segment; a folder without splits is train."""
+    """The split named by the first such segment of a path relative to the
+    audio folder; a folder without splits is train."""
     s = F.regexp_extract(path, "/(train|validation|test)/", 1)
     return F.when(s == "", F.lit("train")).otherwise(s)
 
@@ -79,7 +98,7 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     md = (spark.read.schema(schema).option("header", True).option("multiLine", True)
           .option("escape", '"').option("recursiveFileLookup", True)
           .option("pathGlobFilter", "metadata.csv").csv(root))
-    return md.withColumn("_dir", _folder(F.col("_metadata.file_path")))
+    return md.withColumn("_dir", _folder(_decoded(F.col("_metadata.file_path"))))
 
 
 def read_audio_folder(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
@@ -93,7 +112,7 @@ def read_audio_folder(spark: SparkSession, root: str, with_content: bool = False
     man = (man.withColumn("_dir", _folder(F.col("path")))
            .withColumn("file_name", F.regexp_extract("path", "([^/]*)$", 1)))
     md = read_metadata(spark, root)
-    out = man.join(md, ["_dir", "file_name"], "left").withColumn("split", split_of(F.col("path")))
+    out = man.join(md, ["_dir", "file_name"], "left").withColumn("split", split_of(_below(F.col("path"), root)))
     out = out.drop("_dir")
     if with_content:
         content = _binary(spark, root).select("path", "content")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,13 +80,17 @@ def char_spaced(c) -> Column:
     return F.array_join(F.filter(F.split(_col(c), ""), lambda x: x != F.lit("")), " ")
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC; ASCII strings are already normal and skip the call."""
-    return s.map(
-        lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x),
-        na_action="ignore",
-    )
+@F.arrow_udf(T.StringType())
+def _nfkc(s: pa.Array) -> pa.Array:
+    # pyarrow's utf8_normalize(form="NFKC") leaves marks decomposed here
+    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in s.to_pylist()], pa.string())
+
+
+def nfkc(c, raw=None) -> Column:
+    """Unicode NFKC of ``c``.  Rows whose ``raw`` text (``c`` itself or what it was
+    made of) is ASCII are normal as they are and stay in the JVM."""
+    s, raw = _col(c), _col(c if raw is None else raw)
+    return F.coalesce(_nfkc(F.when(F.octet_length(raw) != F.char_length(raw), s)), s)
 
 
 def basic_normalize(c, keep_marks: bool = False) -> Column:
@@ -100,7 +104,7 @@ def basic_normalize(c, keep_marks: bool = False) -> Column:
     s = F.lower(_col(c))
     s = F.regexp_replace(s, r"[<\[][^>\]]*[>\]]", "")
     s = F.regexp_replace(s, r"\(([^)]+?)\)", "")
-    s = nfkc(s)
+    s = nfkc(s, raw=c)
     cls = r"[\p{S}\p{P}]" if keep_marks else r"[\p{M}\p{S}\p{P}]"
     s = F.regexp_replace(s, cls, " ")
     s = F.lower(s)

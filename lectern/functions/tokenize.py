@@ -21,10 +21,10 @@ from .text import _col, unicode_rtrim, unicode_trim
 # 3. split period/comma unless followed by a digit
 # 4. split a dash preceded by a digit
 TOK13A_RULES = [
-    (r"([{-~\[-` -&(-+:-@/])", " {1} "),
-    (r"([^0-9])([.,])", "{1} {2} "),
-    (r"([.,])([^0-9])", " {1} {2}"),
-    (r"([0-9])(-)", "{1} {2} "),
+    (r"([{-~\[-` -&(-+:-@/])", " $1 "),
+    (r"([^0-9])([.,])", "$1 $2 "),
+    (r"([.,])([^0-9])", " $1 $2"),
+    (r"([0-9])(-)", "$1 $2 "),
 ]
 # Entity unescapes, in order; only these four.
 TOK13A_ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
@@ -63,7 +63,7 @@ def tokenize_13a_string(c) -> Column:
         s = F.replace(s, F.lit(src), F.lit(dst))
     s = F.concat(F.lit(" "), s, F.lit(" "))
     for pattern, repl in TOK13A_RULES:
-        s = F.regexp_replace(s, pattern, repl.replace("{1}", "$1").replace("{2}", "$2"))
+        s = F.regexp_replace(s, pattern, repl)
     return s
 
 

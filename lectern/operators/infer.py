@@ -87,6 +87,13 @@ def batch_infer(df: DataFrame, in_cols: list[str], out: str, make_fn: ModelFacto
     return res
 
 
+def failure_counts(inferred: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """rows kept and rows lost to failed inference, from an ``on_error="keep"``
+    result."""
+    failed = F.col("error").isNotNull()
+    return inferred.groupBy(*(by or [])).agg(F.count_if(failed).alias("n_failed"), F.count_if(~failed).alias("n_kept"))
+
+
 def transcribe(df: DataFrame, audio_cols: list[str], make_fn: ModelFactory, out: str = "prediction",
                batch_size: int = 16, on_error: str = "drop") -> DataFrame:
     """I4: ASR over audio rows; the model gets ``(samples, sampling_rate)``

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ngram import BLEU_ORDER, CHRF_ORDER, bleu_stats, chrf_stats, prepare_pairs
+from .ngram import BLEU_ORDER, CHRF_ORDER, pair_statistics
 
 # Fixed values of the metrics: BLEU uses exponential smoothing and a log of
 # zero taken as -9999999999; chrF uses beta = 2.
@@ -67,90 +67,87 @@ def chrf_formula(h: list[Column], r: list[Column], m: list[Column], beta: int =
     return _r(score, digits)
 
 
-def _cols(prefix: str, order: int, agg: bool) -> list[Column]:
-    return [F.sum(f"{prefix}{n}") if agg else F.col(f"{prefix}{n}") for n in range(1, order + 1)]
+def _total(c: str) -> Column:
+    """Sum over pairs; rows repeated as a whole count as often as they stand."""
+    return F.sum(F.col(c) * F.col("n_pairs"))
+
 
+def _cols(prefix: str, order: int, agg: bool) -> list[Column]:
+    return [_total(f"{prefix}{n}") if agg else F.col(f"{prefix}{n}") for n in range(1, order + 1)]
 
-def _prefixed(stats: DataFrame, key: list[str], prefix: str) -> DataFrame:
-    return stats.select(*key, *[F.col(c).alias(prefix + c) for c in stats.columns if c not in key])
 
+def pair_stats(pairs: DataFrame, key: list[str], ref="ref", hyp="hyp", by: list[str] | None = None,
+               metrics: str = "bc") -> DataFrame:
+    """BLEU (``b_*``) and chrF (``c_*``) statistics side by side, one row per pair
+    (see :mod:`lectern.operators.ngram` for repeated rows and null sides)."""
+    return pair_statistics(pairs, key, ref, hyp, metrics, carry=by)
 
-def pair_stats(pairs: DataFrame, key: list[str], ref="ref", hyp="hyp") -> DataFrame:
-    """BLEU (``b_*``) and chrF (``c_*``) statistics side by side, one row per pair.
 
-    Pairs without one side have no statistics.  Keys may be null: the join is
-    null-safe, so a pair of the null group stays in.  It moves a few counts per
-    pair; the texts are shuffled once, by :func:`prepare_pairs`.
-    """
-    base = prepare_pairs(pairs, key, ref, hyp)
-    b = _prefixed(bleu_stats(base, key, ref, hyp, repartition=False), key, "b_")
-    c = _prefixed(chrf_stats(base, key, ref, hyp, repartition=False), key, "c_")
-    c = c.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(key)], *[x for x in c.columns if x not in key])
-    same = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(key)]
-    return b.join(c, same, "inner").drop(*[f"_k{n}" for n in range(len(key))])
+def _scored(score: Column, n_pairs: Column) -> Column:
+    return F.when(n_pairs > 0, score)
 
 
 def sentence_bleu(digits: int | None = None, prefix: str = "b_") -> Column:
-    """M4 column over a row of BLEU statistics."""
-    return bleu_formula(F.col(prefix + "hyp_len"), F.col(prefix + "ref_len"),
-                        _cols(prefix + "h", BLEU_ORDER, False), _cols(prefix + "m", BLEU_ORDER, False),
-                        digits)
+    """M4 column over a row of BLEU statistics; null where a side is."""
+    score = bleu_formula(F.col(prefix + "hyp_len"), F.col(prefix + "ref_len"),
+                         _cols(prefix + "h", BLEU_ORDER, False), _cols(prefix + "m", BLEU_ORDER, False), digits)
+    return _scored(score, F.col("n_pairs"))
 
 
 def sentence_chrf(digits: int | None = None, prefix: str = "c_") -> Column:
-    """M6 column over a row of chrF statistics."""
-    return chrf_formula(_cols(prefix + "h", CHRF_ORDER, False), _cols(prefix + "r", CHRF_ORDER, False),
-                        _cols(prefix + "m", CHRF_ORDER, False), digits=digits)
+    """M6 column over a row of chrF statistics; null where a side is."""
+    score = chrf_formula(*[_cols(prefix + x, CHRF_ORDER, False) for x in "hrm"], digits=digits)
+    return _scored(score, F.col("n_pairs"))
 
 
 def corpus_bleu_agg(digits: int | None = None, prefix: str = "b_") -> Column:
-    """M5 aggregate expression (use inside ``groupBy(...).agg``)."""
-    return bleu_formula(F.sum(prefix + "hyp_len"), F.sum(prefix + "ref_len"),
-                        _cols(prefix + "h", BLEU_ORDER, True), _cols(prefix + "m", BLEU_ORDER, True),
-                        digits)
+    """M5 aggregate expression (use inside ``groupBy(...).agg``); null for a group without a whole pair."""
+    score = bleu_formula(_total(prefix + "hyp_len"), _total(prefix + "ref_len"),
+                         _cols(prefix + "h", BLEU_ORDER, True), _cols(prefix + "m", BLEU_ORDER, True), digits)
+    return _scored(score, F.sum("n_pairs"))
 
 
 def corpus_chrf_agg(digits: int | None = None, prefix: str = "c_") -> Column:
     """M7 aggregate expression."""
-    return chrf_formula(_cols(prefix + "h", CHRF_ORDER, True), _cols(prefix + "r", CHRF_ORDER, True),
-                        _cols(prefix + "m", CHRF_ORDER, True), digits=digits)
-
-
-def _with_by(key: list[str], by: list[str] | None) -> list[str]:
-    return key + [c for c in (by or []) if c not in key]
+    score = chrf_formula(*[_cols(prefix + x, CHRF_ORDER, True) for x in "hrm"], digits=digits)
+    return _scored(score, F.sum("n_pairs"))
 
 
 def bleu(pairs: DataFrame, key: list[str], by: list[str] | None = None, ref="ref", hyp="hyp",
          digits: int | None = None) -> DataFrame:
     """M5: corpus BLEU per group (``by``); ``key`` identifies a pair."""
-    st = _prefixed(bleu_stats(pairs, _with_by(key, by), ref, hyp), _with_by(key, by), "b_")
+    st = pair_stats(pairs, key, ref, hyp, by, "b")
     return st.groupBy(*(by or [])).agg(corpus_bleu_agg(digits).alias("bleu"))
 
 
 def chrf(pairs: DataFrame, key: list[str], by: list[str] | None = None, ref="ref", hyp="hyp",
          digits: int | None = None) -> DataFrame:
     """M7: corpus chrF per group."""
-    st = _prefixed(chrf_stats(pairs, _with_by(key, by), ref, hyp), _with_by(key, by), "c_")
+    st = pair_stats(pairs, key, ref, hyp, by, "c")
     return st.groupBy(*(by or [])).agg(corpus_chrf_agg(digits).alias("chrf"))
 
 
-def sentence_scores(pairs: DataFrame, key: list[str], ref="ref", hyp="hyp",
-                    digits: int | None = None) -> DataFrame:
-    """Per-pair BLEU and chrF (M4, M6) keyed by ``key``; null where a side is."""
-    st = pair_stats(pairs, key, ref, hyp)
-    scored = st.select(*key, sentence_bleu(digits).alias("bleu"), sentence_chrf(digits).alias("chrf"))
-    none = F.lit(None).cast("double")
-    rest = pairs.where(F.col(ref).isNull() | F.col(hyp).isNull()).select(*key, none.alias("bleu"), none.alias("chrf"))
-    return scored.unionByName(rest)
+def sentence_scores(pairs: DataFrame, key: list[str], ref="ref", hyp="hyp", digits: int | None = None) -> DataFrame:
+    """Per-pair BLEU and chrF (M4, M6) keyed by ``key``; null where a side is.
+    Rows repeated as a whole share one row."""
+    return sentence_from_stats(pair_stats(pairs, key, ref, hyp), key, digits)
+
+
+def sentence_from_stats(stats: DataFrame, key: list[str], digits: int | None = None) -> DataFrame:
+    return stats.select(*key, sentence_bleu(digits).alias("bleu"), sentence_chrf(digits).alias("chrf"))
 
 
 def corpus_scores(pairs: DataFrame, key: list[str], by: list[str] | None = None, ref="ref",
                   hyp="hyp", digits: int | None = None) -> DataFrame:
-    """Corpus BLEU and chrF per group from one pass over the pair statistics."""
-    st = pair_stats(pairs, _with_by(key, by), ref, hyp)
-    return st.groupBy(*(by or [])).agg(corpus_bleu_agg(digits).alias("bleu"),
-                                       corpus_chrf_agg(digits).alias("chrf"),
-                                       F.count(F.lit(1)).alias("n_pairs"))
+    """Corpus BLEU and chrF per group, with the pairs scored and those skipped
+    for a null side."""
+    return corpus_from_stats(pair_stats(pairs, key, ref, hyp, by), by, digits)
+
+
+def corpus_from_stats(stats: DataFrame, by: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    return stats.groupBy(*(by or [])).agg(
+        corpus_bleu_agg(digits).alias("bleu"), corpus_chrf_agg(digits).alias("chrf"),
+        F.sum("n_pairs").alias("n_pairs"), F.sum("n_skipped").alias("n_skipped"))
 
 
 def score_summary(df: DataFrame, score: str, by: list[str] | None = None,

@@ -1,17 +1,24 @@
 """H2: n-gram sufficient statistics for BLEU (word n-grams) and chrF
-(character n-grams), one row per pair.
+(character n-grams), one row per pair, from one expansion and one aggregation.
 
-Output columns per pair: ``hyp_len``, ``ref_len`` and for every order n
-``h{n}`` (hypothesis n-grams counted), ``r{n}`` (reference n-grams) and
+Output columns per pair and metric: ``hyp_len``, ``ref_len`` and for every order
+n ``h{n}`` (hypothesis n-grams counted), ``r{n}`` (reference n-grams) and
 ``m{n}`` (clipped matches).  Every column is additive, so a corpus score is a
 ``sum`` per group followed by one closed formula.
 
-Plan shape: the pair rows are hash-partitioned on the pair key once; the
-n-grams are generated inside that partitioning and both aggregations
-(``key, n, gram`` then ``key``) are satisfied by it, so the n-grams themselves
-never cross the network.  ``explode_outer`` is used on purpose: plain
-``explode`` lets the optimizer infer a ``size(...) > 0`` filter that is pushed
-below the token projection and re-runs the tokeniser per n-gram.
+Both sides of both metrics become binaries of fixed width per unit (UTF-32 for
+characters, MD5 for words), so an n-gram is an O(1) ``substring`` and no lambda
+runs per n-gram.  The pair rows are hash-partitioned on the pair key once (not
+at all where a join on that key did it already: Spark then drops the
+repartition); the n-grams are made inside that partitioning and both
+aggregations are satisfied by it, so they never cross the network.
+``explode_outer`` is used on purpose: plain ``explode`` lets the optimizer infer
+a ``size(...) > 0`` filter that is pushed below the token projection and re-runs
+the tokeniser per n-gram.
+
+Rows with one key and different texts stay different pairs.  Rows repeated as a
+whole share one row with their number in ``n_pairs``; a pair without one side
+has ``n_pairs`` 0, null statistics and its number in ``n_skipped``.
 """
 
 from __future__ import annotations
@@ -23,134 +30,91 @@ from ..functions.tokenize import chrf_string, tokenize_13a
 
 BLEU_ORDER = 4
 CHRF_ORDER = 6
-_GRAM = "array<struct<n:int,gram:string>>"
+_PAIR, _SKIPPED = 0, -1  # marks of a whole row among the n-grams
+_BLEU, _CHRF = 10, 20  # mark of an n-gram: metric + order
 
 
-def _gram(units: Column, n: int, sep: str):
-    # one-argument lambda: a second parameter would receive the element index.
-    # Elements are addressed directly (O(1) each); ``substring`` on a string
-    # would rescan the UTF-8 bytes from the start for every position.
-    return lambda i: F.struct(
-        F.lit(n).alias("n"),
-        F.concat_ws(sep, *[F.element_at(units, i + k) for k in range(n)]).alias("gram"))
+def _words(text: Column) -> Column:
+    """16 bytes a word."""
+    return F.unhex(F.array_join(F.transform(tokenize_13a(text), lambda w: F.md5(w.cast("binary"))), ""))
 
 
-def _grams(units: Column, order: int, sep: str) -> Column:
-    parts = []
-    for n in range(1, order + 1):
-        g = F.transform(F.sequence(F.lit(1), F.size(units) - n + 1), _gram(units, n, sep))
-        parts.append(F.when(F.size(units) >= n, g).otherwise(F.array().cast(_GRAM)))
-    return F.concat(*parts)
-
-
-def _word_grams(tokens: Column, order: int) -> Column:
-    return _grams(tokens, order, " ")
-
-
-def _stats(units: DataFrame, key: list[str], order: int, grams_fn, size_fn,
-           chrf: bool) -> DataFrame:
-    """``units`` has ``key``, ``_hu`` and ``_ru`` (token arrays or strings)."""
-    sides = units.select(
-        *key, size_fn(F.col("_hu")).alias("hyp_len"), size_fn(F.col("_ru")).alias("ref_len"),
-        F.explode_outer(F.array(F.struct(F.lit(1).alias("h"), F.col("_hu").alias("u")),
-                                F.struct(F.lit(0).alias("h"), F.col("_ru").alias("u")))).alias("_s"))
-    grams = sides.select(*key, "hyp_len", "ref_len", F.col("_s.h").alias("h"),
-                         F.explode_outer(grams_fn(F.col("_s.u"), order)).alias("_g"))
-    grams = grams.select(*key, "hyp_len", "ref_len", "h", F.col("_g.n").alias("n"),
-                         F.col("_g.gram").alias("gram"))
-    return _aggregate(grams, key, order, chrf)
-
-
-def _aggregate(grams: DataFrame, key: list[str], order: int, chrf: bool) -> DataFrame:
-    """``grams``: key, hyp_len, ref_len, h (1 hyp / 0 ref), n, gram (null n/gram
-    for a side without n-grams, which keeps the pair)."""
-    counts = (grams.groupBy(*key, "hyp_len", "ref_len", "n", "gram")
-              .agg(F.sum("h").alias("ch"), F.sum(F.lit(1) - F.col("h")).alias("cr")))
-    per_pair = counts.groupBy(*key, "hyp_len", "ref_len").agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.least("ch", "cr"))), F.lit(0)).alias(f"m{n}")
-          for n in range(1, order + 1)])
-    out = [F.col(c) for c in key] + [F.col("hyp_len"), F.col("ref_len")]
-    for n in range(1, order + 1):
-        r = F.greatest(F.col("ref_len") - n + 1, F.lit(0))
-        h = F.greatest(F.col("hyp_len") - n + 1, F.lit(0))
-        if chrf:  # hypothesis n-grams only count when the reference has that order
-            h = F.when(r > 0, h).otherwise(F.lit(0))
-        out += [h.cast("long").alias(f"h{n}"), r.cast("long").alias(f"r{n}"),
-                F.col(f"m{n}").cast("long").alias(f"m{n}")]
-    return per_pair.select(*out)
-
+def _chars(text: Column) -> Column:
+    """4 bytes a character, whitespace removed."""
+    return F.encode(chrf_string(text), "UTF-32")
 
-def prepare_pairs(pairs: DataFrame, key: list[str], ref: str = "ref", hyp: str = "hyp",
-                  partitions: int | None = None) -> DataFrame:
-    """The one shuffle of the n-gram statistics, shareable by BLEU and chrF."""
-    return _prepare(pairs, key, ref, hyp, partitions)
 
+def _sides(ref: Column, hyp: Column, metrics: str, orders: dict[int, int]) -> list[Column]:
+    both = ref.isNotNull() & hyp.isNotNull()
 
-def _prepare(pairs: DataFrame, key: list[str], ref: str, hyp: str,
-             partitions: int | None) -> DataFrame:
-    """Hash-partition the pair rows on the key with an explicit count.
-
-    The rows are small before the n-gram expansion and large after it; an
-    explicit count (default ``spark.sql.shuffle.partitions``) keeps AQE from
-    coalescing the small shuffle into a handful of tasks that would then do
-    all of the expansion.
-    """
-    base = pairs.where(F.col(ref).isNotNull() & F.col(hyp).isNotNull()).select(*key, ref, hyp)
-    if partitions is None:
-        partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return base.repartition(partitions, *key)
+    def side(kind: int, h: int, order: int, width: int, units: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(h).alias("h"), F.lit(order).alias("order"),
+                        F.lit(width).alias("width"), F.when(both, units).alias("units"))
 
+    out = [F.struct(F.when(both, _PAIR).otherwise(_SKIPPED).alias("kind"), F.lit(0).alias("h"), F.lit(1).alias("order"),
+                    F.lit(1).alias("width"), F.lit(b"\0").alias("units"))]
+    if "b" in metrics:
+        out += [side(_BLEU, h, orders[_BLEU], 16, _words(t)) for h, t in ((1, hyp), (0, ref))]
+    if "c" in metrics:
+        out += [side(_CHRF, h, orders[_CHRF], 4, _chars(t)) for h, t in ((1, hyp), (0, ref))]
+    return out
 
-def bleu_stats(pairs: DataFrame, key: list[str], ref: str = "ref", hyp: str = "hyp",
-               order: int = BLEU_ORDER, partitions: int | None = None,
-               repartition: bool = True) -> DataFrame:
-    """Per-pair BLEU statistics on ``13a`` tokens (case kept).
 
-    ``repartition=False`` when ``pairs`` is already hash-partitioned on ``key``
-    (see :func:`prepare_pairs`)."""
-    base = _prepare(pairs, key, ref, hyp, partitions) if repartition else pairs
-    units = base.select(*key, tokenize_13a(F.col(hyp)).alias("_hu"),
-                        tokenize_13a(F.col(ref)).alias("_ru"))
-    return _stats(units, key, order, _word_grams, F.size, chrf=False)
+def _metric_columns(kind: int, order: int, prefix: str) -> tuple[list[Column], list[Column]]:
+    """Sums per pair, and the statistics made of them."""
+    def total(mark: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("mark") == mark, value).otherwise(0))
 
+    first = kind + 1
+    sums = [total(first, F.col("ch")).alias(f"{prefix}hyp"), total(first, F.col("cr")).alias(f"{prefix}ref")]
+    sums += [total(kind + n, F.least("ch", "cr")).alias(f"{prefix}match{n}") for n in range(1, order + 1)]
 
-def _char_stats(units: DataFrame, key: list[str], order: int) -> DataFrame:
-    """chrF statistics without lambdas.
+    def per_pair(c: str) -> Column:  # null for a pair that lacks a side
+        return F.when(F.col("n_pairs") > 0, F.expr(f"{c} div n_pairs"))
 
-    Each side is re-encoded as UTF-32 (4 bytes per code point) so the n-gram
-    starting at code point ``i`` is the byte range ``[4i, 4i + 4n)`` - an O(1)
-    ``substring`` of a binary.  Positions come from ``explode(sequence(...))``
-    and everything stays inside whole-stage code generation.  Grams are
-    compared as bytes, which is exact (UTF-32 is a bijection on code points).
+    hl, rl = per_pair(f"{prefix}hyp"), per_pair(f"{prefix}ref")
+    stats = [hl.alias(f"{prefix}hyp_len"), rl.alias(f"{prefix}ref_len")]
+    for n in range(1, order + 1):
+        h, r = F.when(hl.isNotNull(), F.greatest(hl - n + 1, F.lit(0))), F.when(rl.isNotNull(), F.greatest(rl - n + 1, F.lit(0)))
+        if kind == _CHRF:  # hypothesis n-grams only count when the reference has that order
+            h = F.when(r > 0, h).when(r.isNotNull(), F.lit(0))
+        stats += [h.cast("long").alias(f"{prefix}h{n}"), r.cast("long").alias(f"{prefix}r{n}"),
+                  per_pair(f"{prefix}match{n}").alias(f"{prefix}m{n}")]
+    return sums, stats
+
+
+def pair_statistics(pairs: DataFrame, key: list[str], ref: str = "ref", hyp: str = "hyp", metrics: str = "bc",
+                    carry: list[str] | None = None, bleu_order: int = BLEU_ORDER, chrf_order: int = CHRF_ORDER,
+                    partitions: int | None = None) -> DataFrame:
+    """Statistics of BLEU (``b_*``, if ``metrics`` has a b) and chrF (``c_*``, c).
+
+    ``carry`` names more columns to keep, functions of the pair.  The partition
+    count is explicit (default ``spark.sql.shuffle.partitions``): the rows are
+    small before the expansion and large after it, and AQE would merge the
+    small shuffle into a handful of tasks that then do all of it.
     """
-    sides = units.select(
-        *key, F.length("_hu").alias("hyp_len"), F.length("_ru").alias("ref_len"),
-        F.explode_outer(F.array(
-            F.struct(F.lit(1).alias("h"), F.encode("_hu", "UTF-32").alias("b"),
-                     F.length("_hu").alias("L")),
-            F.struct(F.lit(0).alias("h"), F.encode("_ru", "UTF-32").alias("b"),
-                     F.length("_ru").alias("L")))).alias("_s"))
-    idx = sides.select(
-        *key, "hyp_len", "ref_len", F.col("_s.h").alias("h"), F.col("_s.b").alias("b"),
-        F.col("_s.L").alias("L"),
-        F.explode_outer(F.when(F.col("_s.L") > 0, F.sequence(F.lit(0), F.col("_s.L") * order - 1))
-                        ).alias("_k"))
-    n = (F.col("_k") % order + 1).cast("int")
-    start = (F.col("_k") / order).cast("long")  # 0-based code point offset
-    grams = (idx.where(F.col("_k").isNull() | (start + n <= F.col("L")))
-             .select(*key, "hyp_len", "ref_len", "h",
-                     F.when(F.col("_k").isNotNull(), n).alias("n"),
-                     F.when(F.col("_k").isNotNull(),
-                            F.substring(F.col("b"), (start * 4 + 1).cast("int"), (n * 4).cast("int"))
-                            ).alias("gram")))
-    return _aggregate(grams, key, order, chrf=True)
-
-
-def chrf_stats(pairs: DataFrame, key: list[str], ref: str = "ref", hyp: str = "hyp",
-               order: int = CHRF_ORDER, partitions: int | None = None,
-               repartition: bool = True) -> DataFrame:
-    """Per-pair chrF statistics: character n-grams, whitespace removed."""
-    base = _prepare(pairs, key, ref, hyp, partitions) if repartition else pairs
-    units = base.select(*key, chrf_string(F.col(hyp)).alias("_hu"),
-                        chrf_string(F.col(ref)).alias("_ru"))
-    return _char_stats(units, key, order)
+    by = key + [c for c in (carry or []) if c not in key]
+    count = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = pairs.select(*by, ref, hyp).repartition(count, *key)
+    orders = {_BLEU: bleu_order, _CHRF: chrf_order}
+    sides = base.select(*by, F.xxhash64(hyp, ref, F.col(hyp).isNull()).alias("_pair"),
+                        F.explode_outer(F.array(*_sides(F.col(ref), F.col(hyp), metrics, orders))).alias("_s"))
+    units = F.expr("length(_s.units) div _s.width")
+    places = sides.select(*by, "_pair", "_s", units.cast("int").alias("_n"), F.explode_outer(
+        F.when(units > 0, F.sequence(F.lit(0), (units * F.col("_s.order") - 1).cast("int")))).alias("_k"))
+    n, at = F.expr("_k % _s.order + 1"), F.expr("_k div _s.order").cast("int")
+    grams = places.where(at + n <= F.col("_n")).select(
+        *by, "_pair", F.col("_s.h").alias("h"),
+        F.when(F.col("_s.kind") > 0, F.col("_s.kind") + n).otherwise(F.col("_s.kind")).alias("mark"),
+        F.substring(F.col("_s.units"), at * F.col("_s.width") + 1, n * F.col("_s.width")).alias("gram"))
+    counts = grams.groupBy(*by, "_pair", "mark", "gram").agg(
+        F.sum("h").alias("ch"), F.sum(1 - F.col("h")).alias("cr"))
+
+    sums = [F.sum(F.when(F.col("mark") == m, F.col("cr")).otherwise(0)).alias(c)
+            for m, c in ((_PAIR, "n_pairs"), (_SKIPPED, "n_skipped"))]
+    stats: list[Column] = []
+    for kind, prefix in ((_BLEU, "b_"), (_CHRF, "c_")):
+        if prefix[0] in metrics:
+            s, c = _metric_columns(kind, orders[kind], prefix)
+            sums, stats = sums + s, stats + c
+    return counts.groupBy(*by, "_pair").agg(*sums).select(*by, "n_pairs", "n_skipped", *stats)

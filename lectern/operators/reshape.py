@@ -95,12 +95,17 @@ def with_prompt(df: DataFrame, col: str, prompt: str, out: str | None = None) ->
 
 
 def long_to_wide(long: DataFrame, row: list[str], group: str, values: list,
-                 metrics: list[str], names: dict | None = None) -> DataFrame:
+                 metrics: list[str], names: dict | None = None, complete: bool = False) -> DataFrame:
     """One row per ``row``; for every group value ``g`` and metric ``m`` a
     column ``"{name(g)} {m}"``.  The pivot values are explicit, so no extra
     job computes them; (row, group) is unique, so ``max`` picks the value.
+    ``complete`` makes a group value outside ``values`` an error instead of
+    leaving its rows out.
     """
     names = names or {}
+    if complete:
+        stray = F.concat(F.lit(f"{group} has a value without a column: "), F.coalesce(F.col(group).cast("string"), F.lit("null")))
+        long = long.where(F.when(F.col(group).isin(values), True).otherwise(F.raise_error(stray).cast("boolean")))
     aggs = []
     for v in values:
         label = names.get(v, str(v))

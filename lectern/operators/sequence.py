@@ -3,10 +3,11 @@ decoding, batch padding, waveform normalisation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import unicode_trim
+from .vocab import token_of
 
 IGNORE_INDEX = -100
 FEATURE_EPS = 1e-7  # variance floor of the waveform normaliser
@@ -41,11 +42,12 @@ def ctc_collapse(ids, pad: int, group: bool = True) -> Column:
     return F.filter(kept, lambda x: x != F.lit(pad))
 
 
-def ctc_decode(ids, id_to_token: Column, pad: int, delimiter: str = "|",
+def ctc_decode(ids, tokens: Column, pad: int, delimiter: str = "|",
                group: bool = True) -> Column:
-    """A4: CTC greedy decode to text: collapse, drop pad, id -> token,
-    delimiter -> space, concatenate, strip."""
-    toks = F.transform(ctc_collapse(ids, pad, group), lambda x: F.element_at(id_to_token, x))
+    """A4: CTC greedy decode to text: collapse, drop pad, id -> token (of a
+    :func:`lectern.operators.vocab.token_table`), delimiter -> space,
+    concatenate (an unknown id adds nothing), strip."""
+    toks = F.transform(ctc_collapse(ids, pad, group), lambda x: token_of(tokens, x))
     toks = F.transform(toks, lambda t: F.when(t == F.lit(delimiter), F.lit(" ")).otherwise(t))
     return unicode_trim(F.array_join(toks, ""))
 
@@ -54,12 +56,12 @@ def pad_batch(df: DataFrame, batch: str, col: str, fill: int = IGNORE_INDEX,
               out: str | None = None, mask: str | None = "attention_mask") -> DataFrame:
     """A5: pad every array of a batch to the batch's longest; optional 1/0 mask.
 
-    The batch maximum is a window aggregate over ``batch``; batches are
-    bounded by construction (a collator batch), so no group is unbounded.
+    The longest of a batch is a partial aggregate joined back, so that no batch,
+    whatever its size, has to lie in one task; null is a batch like any other.
     """
     out = out or col
-    m = F.max(F.size(col)).over(Window.partitionBy(batch))
-    st = df.withColumn("_m", m)
+    longest = df.groupBy(F.col(batch).alias("_b")).agg(F.max(F.size(col)).alias("_m"))
+    st = df.join(longest, F.col(batch).eqNullSafe(F.col("_b"))).drop("_b")
     padded = F.concat(F.col(col), F.array_repeat(F.lit(fill), F.col("_m") - F.size(col)))
     cols = {out: padded}
     if mask:

@@ -3,7 +3,7 @@ label encoding."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import chars
@@ -13,16 +13,11 @@ WORD_DELIMITER = "|"
 UNK_TOKEN = "[UNK]"
 PAD_TOKEN = "[PAD]"
 
-#: vocabularies up to this many entries are inlined as a literal map (a map
-#: lookup scans its keys, so the bound also keeps the per-character cost
-#: small); beyond it labels are encoded with a join
-MAX_LITERAL_VOCAB = 512
-
 
 def char_set(df: DataFrame, col: str) -> DataFrame:
-    """Distinct code points of a text column (partial distinct per task, so
-    only each task's distinct set is shuffled)."""
-    return df.select(F.explode(chars(F.col(col))).alias("token")).distinct()
+    """Distinct code points of a text column: distinct per row before the
+    expansion, per task before the shuffle."""
+    return df.select(F.explode(F.array_distinct(chars(F.col(col)))).alias("token")).distinct()
 
 
 def char_vocab(df: DataFrame, col: str, delimiter: str | None = WORD_DELIMITER,
@@ -32,73 +27,68 @@ def char_vocab(df: DataFrame, col: str, delimiter: str | None = WORD_DELIMITER,
     point, id = rank from 0; ``' '`` becomes ``delimiter`` keeping its id;
     then ``unk`` and ``pad`` take the next ids.
 
-    The ranking window has no partition key: it runs over the distinct
-    character set, whose size is bounded by the code-point space, not by the
-    data.  A delimiter already present in the data loses its own entry (as in
-    the reference); special ids start after the highest remaining id, so they
-    never collide (quirk Q3).
+    The distinct characters are gathered into one array, partial sets per task
+    first: its size is bounded by the code points there are, not by the data.  A
+    delimiter already present in the data loses its own entry (as in the
+    reference); special ids start after the highest remaining id, so they never
+    collide (quirk Q3).  Without characters the special tokens remain.
     """
     cs = char_set(df, col)
     for extra in splits or []:
         cs = cs.union(char_set(extra, col))  # U2
-    cs = cs.distinct()
-    ranked = cs.withColumn("id", (F.row_number().over(Window.orderBy("token")) - 1).cast("int"))
+    found = cs.agg(F.array_sort(F.collect_set("token")).alias("chars"))
+    ranked = found.select("chars", F.transform("chars", lambda t, i: F.struct(t.alias("token"), i.alias("id"))).alias("entries"))
     if delimiter is not None:
-        has_space = F.max((F.col("token") == " ").cast("int")).over(Window.partitionBy())
-        ranked = (ranked.withColumn("_sp", has_space)
-                  .where(~((F.col("token") == delimiter) & (F.col("_sp") == 1)))
-                  .withColumn("token", F.when(F.col("token") == " ", F.lit(delimiter))
-                              .otherwise(F.col("token")))
-                  .drop("_sp"))
+        ranked = ranked.withColumn("entries", F.when(F.array_contains("chars", " "), F.transform(
+            F.filter("entries", lambda e: e["token"] != delimiter),
+            lambda e: F.struct(F.when(e["token"] == " ", F.lit(delimiter)).otherwise(e["token"]).alias("token"),
+                               e["id"].alias("id")))).otherwise(F.col("entries")))
     specials = [t for t in (unk, pad) if t is not None]
-    if not specials:
-        return ranked
-    top = ranked.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_m"))
-    extra = top.select(F.inline(F.array(*[
-        F.struct(F.lit(t).alias("token"), (F.col("_m") + i + 1).cast("int").alias("id"))
-        for i, t in enumerate(specials)])))
-    return ranked.unionByName(extra)
+    first = F.coalesce(F.get(F.col("entries.id"), F.size("entries") - 1) + 1, F.lit(0))
+    extra = [F.struct(F.lit(t).alias("token"), (first + i).alias("id")) for i, t in enumerate(specials)]
+    return ranked.select(F.inline(F.concat("entries", F.array(*extra)) if extra else F.col("entries")))
+
+
+def _constant(values: list[str]) -> Column:
+    """An array constant: Spark folds the split of a literal once per query."""
+    return F.split(F.lit(",".join(values)), ",")
+
+
+def id_table(vocab: DataFrame, unk: str = UNK_TOKEN) -> tuple[Column, Column]:
+    """Ids by code point (-1: none) and the id of ``unk`` (null without one).
+
+    The entries come to the driver: their number is bounded by the code points
+    there are (1,114,112), not by the data.  The table ends at the largest code
+    point of the vocabulary and is looked up by position, so that the cost of a
+    character does not depend on the size.
+    """
+    ids = {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}
+    points = {ord(t): i for t, i in ids.items() if len(t) == 1}
+    table = [str(points.get(p, -1)) for p in range(max(points, default=0) + 1)]
+    return _constant(table).cast("array<int>"), F.lit(ids.get(unk)).cast("int")
 
 
-def literal_map(rows, key: str, value: str) -> Column:
-    return F.create_map(*[x for r in rows for x in (F.lit(r[key]), F.lit(r[value]))])
+def token_table(vocab: DataFrame) -> Column:
+    """UTF-8 tokens by id, as an array of hexadecimal strings ('': none)."""
+    tokens = {r["id"]: r["token"] for r in vocab.select("token", "id").collect()}
+    return _constant([tokens.get(i, "").encode().hex() for i in range(max(tokens, default=0) + 1)])
 
 
-def bounded_rows(vocab: DataFrame, cols: list[str], bound: int):
-    """At most ``bound + 1`` rows in one pass; ``None`` when there are more
-    than ``bound`` (the caller then takes its distributed path)."""
-    rows = vocab.select(*cols).limit(bound + 1).collect()
-    return rows if len(rows) <= bound else None
+def token_of(table: Column, i: Column) -> Column:
+    """The token with id ``i`` of a :func:`token_table`; null for an unknown id."""
+    h = F.get(table, i)
+    return F.when(h != "", F.decode(F.unhex(h), "UTF-8"))
 
 
 def encode_labels(df: DataFrame, col: str, vocab: DataFrame, out: str = "labels",
-                  delimiter: str = WORD_DELIMITER, unk: str = UNK_TOKEN,
-                  max_literal: int = MAX_LITERAL_VOCAB) -> DataFrame:
-    """A1: characters -> ids; ``' '`` -> delimiter; unknown -> ``unk``'s id.
-
-    Vocabularies are small (one entry per distinct character).  After a size
-    check the vocabulary becomes a literal map and encoding is a narrow
-    projection.  Beyond ``max_literal`` entries, characters are exploded with
-    their positions, joined to the vocabulary and regrouped per row.
-    """
-    rows = bounded_rows(vocab, ["token", "id"], max_literal)
-    if rows is not None:
-        m = literal_map(rows, "token", "id")
-        unk_id = F.element_at(m, F.lit(unk))
-        ids = F.transform(chars(F.col(col)), lambda c: F.coalesce(
-            F.element_at(m, F.when(c == " ", F.lit(delimiter)).otherwise(c)), unk_id))
-        return df.withColumn(out, ids)
-    rid = "_rid"
-    base = df.withColumn(rid, F.monotonically_increasing_id())
-    ex = base.select(rid, F.posexplode(chars(F.col(col))).alias("_p", "_c"))
-    ex = ex.withColumn("_c", F.when(F.col("_c") == " ", F.lit(delimiter)).otherwise(F.col("_c")))
-    unk_hit = vocab.where(F.col("token") == unk).select("id").first()  # one scalar
-    unk_id = F.lit(unk_hit.id if unk_hit else None).cast("int")
-    v = vocab.select(F.col("token").alias("_c"), F.col("id").alias("_id"))
-    joined = ex.join(v, "_c", "left")
-    grouped = (joined.groupBy(rid)
-               .agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_id", unk_id).alias("i"))))
-                    .alias("_l")))
-    return (base.join(grouped, rid, "left")
-            .withColumn(out, F.coalesce(F.transform("_l", lambda s: s["i"]), F.array().cast("array<int>")))
-            .drop(rid, "_l"))
+                  delimiter: str = WORD_DELIMITER, unk: str = UNK_TOKEN) -> DataFrame:
+    """A1: characters -> ids; ``' '`` -> delimiter; unknown -> ``unk``'s id; a null
+    text has null labels, an empty one none.  A narrow projection whatever the
+    size of the vocabulary (see :func:`id_table`)."""
+    table, unk_id = id_table(vocab, unk)
+
+    def label(c: Column) -> Column:
+        known = F.get(table, F.ascii(F.when(c == " ", F.lit(delimiter)).otherwise(c)))
+        return F.when(known >= 0, known).otherwise(unk_id)
+
+    return df.withColumn(out, F.transform(chars(F.col(col)), label))

@@ -112,12 +112,44 @@ def q_sentence_scores(spark, sf):
 
 @register("corpus_bleu_chrf_by_turn", f"""
 SELECT turn, {O.sentence_bleu_sql(agg=True)} AS bleu, {O.sentence_chrf_sql(agg=True)} AS chrf,
-       count(*) AS n_pairs
+       count(*) AS n_pairs, 0::BIGINT AS n_skipped
 FROM {_PS} s GROUP BY turn""")
 def q_corpus_scores(spark, sf):
     return MT.corpus_scores(_pairs(spark, sf), _KEY, by=["turn"], digits=4)
 
 
+# null sides and a null group, made of the pairs' own columns
+_SPARSE_SQL = f"""SELECT conv_id, turn, CASE WHEN turn % 4 <> 0 THEN turn END AS grp,
+  CASE WHEN length(ref) % 5 <> 0 THEN ref END AS ref, CASE WHEN length(hyp) % 7 <> 0 THEN hyp END AS hyp
+FROM ({O.CONVERSATION_PAIRS})"""
+_SPARSE_PS = O.pair_stats_sql(f"SELECT * FROM ({_SPARSE_SQL}) WHERE ref IS NOT NULL AND hyp IS NOT NULL", _KEY)
+
+
+def _sparse_pairs(spark, sf):
+    return _pairs(spark, sf).select(
+        "conv_id", "turn", F.when(F.col("turn") % 4 != 0, F.col("turn")).alias("grp"),
+        F.when(F.length("ref") % 5 != 0, F.col("ref")).alias("ref"), F.when(F.length("hyp") % 7 != 0, F.col("hyp")).alias("hyp"))
+
+
+@register("corpus_scores_sparse", f"""
+WITH a AS ({_SPARSE_SQL}),
+s AS (SELECT grp, {O.sentence_bleu_sql(agg=True)} AS bleu, {O.sentence_chrf_sql(agg=True)} AS chrf
+      FROM {_SPARSE_PS} s JOIN a USING (conv_id, turn) GROUP BY grp),
+n AS (SELECT grp, count(*) FILTER (WHERE ref IS NOT NULL AND hyp IS NOT NULL) AS n_pairs,
+             count(*) FILTER (WHERE ref IS NULL OR hyp IS NULL) AS n_skipped FROM a GROUP BY grp)
+SELECT n.grp, s.bleu, s.chrf, n.n_pairs, n.n_skipped FROM n LEFT JOIN s ON n.grp IS NOT DISTINCT FROM s.grp""")
+def q_corpus_scores_sparse(spark, sf):
+    return MT.corpus_scores(_sparse_pairs(spark, sf), _KEY, by=["grp"], digits=4)
+
+
+@register("sentence_scores_sparse", f"""
+SELECT a.conv_id, a.turn, s.bleu, s.chrf FROM ({_SPARSE_SQL}) a LEFT JOIN (
+  SELECT conv_id, turn, {O.sentence_bleu_sql()} AS bleu, {O.sentence_chrf_sql()} AS chrf FROM {_SPARSE_PS} s) s
+USING (conv_id, turn)""")
+def q_sentence_scores_sparse(spark, sf):
+    return MT.sentence_scores(_sparse_pairs(spark, sf), _KEY, digits=4)
+
+
 @register("corpus_bleu", f"SELECT {O.sentence_bleu_sql(agg=True)} AS bleu FROM {_PS} s")
 def q_corpus_bleu(spark, sf):
     return MT.bleu(_pairs(spark, sf), _KEY, digits=4)
@@ -178,6 +210,22 @@ def q_filter_scorable(spark, sf):
     return FL.filter_scorable(table(spark, sf, "conversations"), "text").select("conv_id", "turn", "text")
 
 
+# texts made blank or the sentinel, with blanks around them, by row
+_MIXED_SQL = f"""SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN '  ' || chr(9) WHEN 1 THEN ' {TX.IGNORE_SEGMENT} '
+  WHEN 2 THEN '{TX.IGNORE_SEGMENT} ' || text ELSE text END AS text FROM conversations"""
+
+
+@register("filter_scorable_mixed", f"""
+SELECT conv_id, turn, text FROM ({_MIXED_SQL})
+WHERE {O.trim('text')} <> '' AND {O.trim('text')} <> {O.q(TX.IGNORE_SEGMENT)}""")
+def q_filter_scorable_mixed(spark, sf):
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    text = (F.when(kind == 0, F.lit("  \t")).when(kind == 1, F.lit(f" {TX.IGNORE_SEGMENT} "))
+            .when(kind == 2, F.concat(F.lit(f"{TX.IGNORE_SEGMENT} "), F.col("text"))).otherwise(F.col("text")))
+    mixed = table(spark, sf, "conversations").select("conv_id", "turn", text.alias("text"))
+    return FL.filter_scorable(mixed, "text")
+
+
 @register("strip_text", f"SELECT doc_id, {O.trim('text')} AS text FROM documents")
 def q_strip_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", TX.unicode_trim("text").alias("text"))
@@ -203,7 +251,7 @@ def q_char_spaced(spark, sf):
 
 # --------------------------------------------------------------------------
 # P1-P4, P8, U1 - reshape
-_TURNS = list(range(8))  # the turn domain of the conversations table
+_TURNS = list(range(8))  # the turns that get a column; any other is an error
 _WIDE_SQL = ("SELECT conv_id, " + ", ".join(
     f'max(CASE WHEN turn = {t} THEN text END) AS "t{t} text"' for t in _TURNS)
     + " FROM conversations GROUP BY conv_id")
@@ -211,7 +259,7 @@ _WIDE_SQL = ("SELECT conv_id, " + ", ".join(
 
 def _wide(spark, sf):
     return RS.long_to_wide(table(spark, sf, "conversations"), ["conv_id"], "turn", _TURNS,
-                           ["text"], names={t: f"t{t}" for t in _TURNS})
+                           ["text"], names={t: f"t{t}" for t in _TURNS}, complete=True)
 
 
 @register("wide_conversations", _WIDE_SQL)
@@ -219,7 +267,7 @@ def q_wide(spark, sf):
     return _wide(spark, sf)
 
 
-_DIALECTS = ["t0 text", "t2 text", "t4 text", "t6 text"]
+_DIALECTS = [f"t{t} text" for t in _TURNS if t != 1]  # t1 is the pivot
 
 
 @register("unpivot_dialects", f"""
@@ -232,13 +280,28 @@ def q_unpivot(spark, sf):
     return RS.tag_lang(long, joint=False)
 
 
+_CODES = {"Ife Dialect": "ife_Yoru", "Ilaje Dialect": "ila_Yoru", "Ijebu Dialect": "ije_Yoru", "Standard Yoruba": "yor_Latn"}
+_NAMES_SQL = f"list_value({', '.join(O.q(d) for d in RS.DIALECT_COLUMNS)})[turn % 4 + 1]"
+
+
+@register("tag_lang", f"""
+SELECT conv_id, turn, dialect, 'eng_Latn' AS src_lang,
+  CASE dialect {' '.join(f"WHEN {O.q(d)} THEN {O.q(c)}" for d, c in _CODES.items())} END AS tgt_lang
+FROM (SELECT conv_id, turn, {_NAMES_SQL} AS dialect FROM conversations)""")
+def q_tag_lang(spark, sf):
+    names = F.array(*[F.lit(d) for d in RS.DIALECT_COLUMNS])
+    c = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.get(names, (F.col("turn") % 4).cast("int")).alias("dialect"))
+    return RS.tag_lang(c, joint=False, reverse=True)
+
+
 @register("unpivot_reverse", f"""
 WITH w AS ({_WIDE_SQL})
 """ + " UNION ALL ".join(
     f"""SELECT conv_id, "t1 text" AS src_txt, "{d}" AS tgt_txt, '{d}' AS dialect FROM w"""
-    for d in _DIALECTS[:2]))
+    for d in _DIALECTS))
 def q_unpivot_reverse(spark, sf):
-    return RS.unpivot_dialects(_wide(spark, sf), _DIALECTS[:2], pivot_lang="t1 text",
+    return RS.unpivot_dialects(_wide(spark, sf), _DIALECTS, pivot_lang="t1 text",
                                reverse=True, ids=["conv_id"])
 
 
@@ -310,13 +373,13 @@ SELECT conv_id, turn,
 FROM ({_TARGET_SQL}) t, vm"""
 
 
-def _labels(spark, sf):
-    return VB.encode_labels(_targets(spark, sf), "target", _vocab(spark, sf)).select("conv_id", "turn", "labels")
+def _labels(spark, sf, vocab):
+    return VB.encode_labels(_targets(spark, sf), "target", vocab).select("conv_id", "turn", "labels")
 
 
 @register("encode_labels", _LABELS_SQL)
 def q_encode_labels(spark, sf):
-    return _labels(spark, sf)
+    return _labels(spark, sf, _vocab(spark, sf))
 
 
 _PAD_SQL = f"""
@@ -335,7 +398,7 @@ FROM b, pv"""
 def _padded(spark, sf):
     vocab = _vocab(spark, sf)
     pad_id = vocab.where(F.col("token") == VB.PAD_TOKEN).select("id").first().id  # one scalar
-    p = SQ.pad_batch(_labels(spark, sf), "conv_id", "labels", out="labels_padded")
+    p = SQ.pad_batch(_labels(spark, sf, vocab), "conv_id", "labels", out="labels_padded")
     return p.select("conv_id", "turn", "labels_padded", "attention_mask",
                     SQ.unmask("labels_padded", pad_id).alias("labels_unmasked"))
 
@@ -383,10 +446,7 @@ g AS (SELECT vec_id, list_filter(list_filter(frame_ids, lambda x, i: i = 1 OR x
 SELECT vec_id, ids, {O.trim("array_to_string(list_transform(ids, lambda x: vm.m[x]), '')")} AS text
 FROM g, vm""")
 def q_ctc_decode(spark, sf):
-    rows = VB.bounded_rows(_vocab(spark, sf), ["token", "id"], VB.MAX_LITERAL_VOCAB)
-    if rows is None:
-        raise ValueError("vocabulary too large for a literal decode map")
-    id_to_tok = VB.literal_map(rows, "id", "token")
+    id_to_tok = VB.token_table(_vocab(spark, sf))
     f = _frame_ids(spark, sf)
     return f.select("vec_id", SQ.ctc_collapse("frame_ids", _PAD_FRAME).alias("ids"),
                     SQ.ctc_decode("frame_ids", id_to_tok, _PAD_FRAME).alias("text"))
@@ -421,6 +481,15 @@ def q_infer_translate(spark, sf):
     return IN.batch_infer(c, ["text"], "translation", SM.reverse_words_model, batch_size=16)
 
 
+@register("infer_failed_rows", """
+SELECT turn, count(*) FILTER (WHERE length(text) % 3 = 0) AS n_failed,
+  count(*) FILTER (WHERE length(text) % 3 <> 0) AS n_kept FROM conversations GROUP BY turn""")
+def q_infer_failed_rows(spark, sf):
+    c = table(spark, sf, "conversations").select(
+        "turn", F.when(F.length("text") % 3 == 0, F.lit("")).otherwise(F.col("text")).alias("text"))
+    return IN.failure_counts(IN.batch_infer(c, ["text"], "translation", SM.reverse_words_model), by=["turn"])
+
+
 @register("score_summary", f"""
 WITH p AS ({O.CONVERSATION_PAIRS}),
 s AS (SELECT turn, CASE WHEN greatest(length(hyp), length(ref)) = 0 THEN 1.0
@@ -471,18 +540,14 @@ def q_pair_report(spark, sf):
 
 # --------------------------------------------------------------------------
 # Whole-document queries: the same operators on long texts
-_LANGS = ["en", "fr", "es", "de"]  # the documents' language domain, one split each
 _DOC_TARGET_SQL = (f"SELECT doc_id, lang, lower(regexp_replace(text, {O.q(_IGN)}, '', 'g')) || ' ' AS target "
                    "FROM documents")
 
 
 @register("doc_char_vocab", _VOCAB_FULL_SQL.replace(f"FROM ({_TARGET_SQL})", f"FROM ({_DOC_TARGET_SQL})"))
 def q_doc_char_vocab(spark, sf):
-    docs = table(spark, sf, "documents").select("lang", TX.clean_target("text").alias("target"))
-    splits = [docs.where(F.col("lang") == lang) for lang in _LANGS]
-    rest = docs.where(~F.col("lang").isin(_LANGS) | F.col("lang").isNull())
-    # Distinct union of the per-split character sets
-    return VB.char_vocab(splits[0], "target", splits=splits[1:] + [rest])
+    # The union of the splits' character sets is that of all rows: one scan
+    return VB.char_vocab(table(spark, sf, "documents").select(TX.clean_target("text").alias("target")), "target")
 
 
 _DOC_PAIRS_SQL = (f"SELECT doc_id, lang, translate(text, {O.q(TX.PUNCT_FROM)}, {O.q(TX.PUNCT_TO)}) AS hyp, "

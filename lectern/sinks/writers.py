@@ -46,18 +46,18 @@ def report_lines(report: DataFrame, pairs: DataFrame, order: list[str],
     Sorting by the returned order columns gives the file order; the sort is a
     range-partitioned distributed sort, so the report can be any size.
     """
-    r = report.first()  # the one-row corpus report: four numbers
-    head = [f"", f"WER: {r['wer']}", f"CER: {r['cer']}", "",
-            f"NORMALIZED WER: {r['norm_wer']}", f"NORMALIZED CER: {r['norm_cer']}", "", ""]
+    head = [F.lit("")]
+    head += [F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in (("WER", "wer"), ("CER", "cer"))]
+    head.append(F.lit(""))
+    head += [F.concat(F.lit(f"NORMALIZED {name}: "), F.col(c).cast("string")) for name, c in (("WER", "norm_wer"), ("CER", "norm_cer"))]
+    head += [F.lit(""), F.lit("")]
     lines = pairs.select(*[F.col(c) for c in order], F.posexplode(F.array(
         F.concat(F.lit("REF: "), F.col(ref)), F.concat(F.lit("HYP: "), F.col(hyp)),
         F.lit(REPORT_SEPARATOR))).alias("_j", "line"))
     lines = lines.select(F.lit(1).alias("_part"), *order, "_j", "line")
-    spark = pairs.sparkSession
     key_types = {f.name: f.dataType for f in pairs.schema.fields}
-    header = spark.createDataFrame([(i, h) for i, h in enumerate(head)], "_j int, line string")
-    header = header.select(F.lit(0).alias("_part"),
-                           *[F.lit(None).cast(key_types[c]).alias(c) for c in order], "_j", "line")
+    header = report.select(F.posexplode(F.array(*head)).alias("_j", "line")).select(
+        F.lit(0).alias("_part"), *[F.lit(None).cast(key_types[c]).alias(c) for c in order], "_j", "line")
     return header.unionByName(lines)
 
 

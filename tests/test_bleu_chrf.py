@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import mt_metrics as MT
 from lectern.operators import ngram as NG
@@ -57,15 +58,35 @@ def test_corpus_sums_statistics(pairs):
     assert got.chrf == pytest.approx(chrf_score(cs), abs=1e-9)
 
 
+def test_repeats_and_different_pairs_of_one_key(spark):
+    same = ("a b c x", "a b c d")
+    df = spark.createDataFrame([(1, "a b c d", "a b c d"), (1, *same), (1, *same), (2, None, "x"), (2, None, "x"), (2, "x", None)],
+                               "k int, hyp string, ref string")
+    st = sorted((r.k, r.n_pairs, r.n_skipped, r.b_m1) for r in MT.pair_stats(df, ["k"]).select(
+        "k", "n_pairs", "n_skipped", F.coalesce("b_m1", F.lit(-1)).alias("b_m1")).collect())
+    assert st == [(1, 1, 0, 4), (1, 2, 0, 3), (2, 0, 1, -1), (2, 0, 2, -1)]
+    c = MT.corpus_scores(df, ["k"]).first()
+    hl, rl, m, tot = (0, 0, [0] * 4, [0] * 4)
+    for h, r in [("a b c d", "a b c d"), same, same]:
+        x, y, mm, tt = bleu_stats(h, r)
+        hl, rl, m, tot = hl + x, rl + y, [p + q for p, q in zip(m, mm)], [p + q for p, q in zip(tot, tt)]
+    assert (c.n_pairs, c.n_skipped) == (3, 3) and c.bleu == pytest.approx(bleu_score(hl, rl, m, tot))
+    assert MT.bleu(df, ["k"]).first().bleu == pytest.approx(c.bleu) and MT.chrf(df, ["k"]).first().chrf == pytest.approx(c.chrf)
+
+
 def test_plan_tokeniser_not_duplicated(pairs):
     """H2: the tokeniser must be evaluated once per row, not per n-gram."""
-    plan = NG.bleu_stats(pairs, ["k"])._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("([^0-9])([.,])") == 2  # once for hyp, once for ref
-    phys = NG.chrf_stats(pairs, ["k"])._jdf.queryExecution().executedPlan().toString()
+    stats = NG.pair_statistics(pairs, ["k"])
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("([^0-9])([.,])") == 2  # hyp and ref
+    phys = stats._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in phys and "BatchEvalPython" not in phys
 
 
-def test_ngram_plan_single_exchange(pairs):
-    """The n-grams never cross the network: one repartition of the pair rows."""
-    phys = NG.chrf_stats(pairs, ["k"])._jdf.queryExecution().executedPlan().toString()
+def test_ngram_plan_single_exchange(spark, pairs):
+    """The n-grams never cross the network: one repartition of the pair rows,
+    none where a join on the key has placed them, and no join of the metrics."""
+    phys = NG.pair_statistics(pairs, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert phys.count("Exchange") == 1 and "REPARTITION_BY_NUM" in phys
+    joined = pairs.select("k", "hyp").hint("merge").join(pairs.select("k", "ref"), "k")
+    phys = MT.corpus_scores(joined, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert phys.count("Exchange hashpartitioning") == 2 and phys.count("Join") == 1

@@ -2,6 +2,8 @@
 
 from lectern.operators import errors as ER
 from lectern.operators import vocab as VB
+from lectern.plans import catalog
+from tests.conftest import SF_SMALL
 
 
 def _phys(df) -> str:
@@ -16,11 +18,11 @@ def test_raw_error_rates_stay_in_the_jvm(spark):
         assert "levenshtein" in p
 
 
-def test_literal_vocab_encoding_is_narrow(spark):
+def test_label_encoding_is_narrow(spark):
     texts = spark.createDataFrame([(0, "ab c "), (1, "ba ")], "k int, t string")
-    vocab = VB.char_vocab(texts, "t")
-    enc = VB.encode_labels(texts, "t", vocab)
-    p = _phys(enc)
+    p = _phys(VB.encode_labels(texts, "t", VB.char_vocab(texts, "t")))
     assert "Exchange" not in p and "Join" not in p  # a projection over the text rows
-    big = VB.encode_labels(texts, "t", vocab, max_literal=0)
-    assert "Join" in _phys(big)  # beyond the bound: distributed join path
+
+
+def test_doc_vocabulary_is_one_scan(spark):
+    assert _phys(catalog.QUERIES["doc_char_vocab"](spark, SF_SMALL)).count("FileScan") == 1

@@ -62,3 +62,10 @@ def test_duration_filter_is_strict(spark):
     df = spark.createDataFrame([(320000, 16000), (319999, 16000), (0, 16000), (1, 16000)],
                                "n_samples long, sampling_rate int")
     assert sorted(r.n_samples for r in FL.filter_duration(df).collect()) == [1, 319999]
+
+
+def test_a_group_without_a_column_is_an_error(spark):
+    df = spark.createDataFrame([(1, 0, "a"), (1, 9, "b")], "k int, g int, m string")
+    assert RS.long_to_wide(df, ["k"], "g", [0], ["m"]).first()["0 m"] == "a"
+    with pytest.raises(Exception, match="g has a value without a column: 9"):
+        RS.long_to_wide(df, ["k"], "g", [0], ["m"], complete=True).collect()

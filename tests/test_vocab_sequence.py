@@ -26,14 +26,26 @@ def test_vocab_delimiter_clash(spark):
     assert v["|"] == 0 and v["[UNK]"] == max(i for k, i in v.items() if k not in ("[UNK]", "[PAD]")) + 1
 
 
-def test_encode_labels_both_paths(spark, targets):
+def test_encode_labels(spark, targets):
     vocab = VB.char_vocab(targets, "t")
     v = {r.token: r.id for r in vocab.collect()}
-    texts = spark.createDataFrame([(0, "ab c "), (1, "zz a")], "k int, t string")
-    lit = {r.k: r.labels for r in VB.encode_labels(texts, "t", vocab).collect()}
-    joined = {r.k: r.labels for r in VB.encode_labels(texts, "t", vocab, max_literal=0).collect()}
-    assert lit == joined
-    assert lit[1] == [v["[UNK]"], v["[UNK]"], v["|"], v["a"]]
+    texts = spark.createDataFrame([(0, "ab c "), (1, "zz a"), (2, None), (3, ""), (4, "\U0010ffff😀")], "k int, t string")
+    got = {r.k: r.labels for r in VB.encode_labels(texts, "t", vocab).collect()}
+    assert got == {0: [v[c] for c in "ab|c|"], 1: [v["[UNK]"], v["[UNK]"], v["|"], v["a"]], 2: None, 3: [],
+                   4: [v["[UNK]"], v["😀"]]}
+
+
+def test_labels_of_any_vocabulary(spark):
+    """One path and one behaviour beyond a few hundred entries, and back."""
+    every = "".join(map(chr, range(0x4E00, 0x5800))) + " ,"
+    texts = spark.createDataFrame([(0, every), (1, None)], "k int, t string")
+    vocab = VB.char_vocab(texts, "t")
+    v = {r.token: r.id for r in vocab.collect()}
+    enc = VB.encode_labels(texts, "t", vocab)
+    got = {r.k: r.labels for r in enc.collect()}
+    assert got == {0: [v["|" if c == " " else c] for c in every], 1: None}
+    back = enc.select("k", SQ.ctc_decode("labels", VB.token_table(vocab), v["[PAD]"], group=False).alias("t"))
+    assert {r.k: r.t for r in back.collect()} == {0: every, 1: None}
 
 
 def test_argmax_ctc_pad_unmask(spark):
@@ -41,7 +53,7 @@ def test_argmax_ctc_pad_unmask(spark):
                                "logits array<array<double>>")
     ids = df.select(SQ.argmax_frames("logits").alias("ids")).first().ids
     assert ids == [1, 0, 0, 2, 1]
-    m = F.create_map(F.lit(0), F.lit("a"), F.lit(1), F.lit("|"), F.lit(2), F.lit("b"))
+    m = VB.token_table(spark.createDataFrame([("a", 0), ("|", 1), ("b", 2)], "token string, id int"))
     r = spark.createDataFrame([([0, 0, 2, 2, 3, 2, 1, 0],)], "ids array<int>").select(
         SQ.ctc_collapse("ids", 3).alias("g"), SQ.ctc_collapse("ids", 3, group=False).alias("ng"),
         SQ.ctc_decode("ids", m, 3).alias("txt")).first()
@@ -49,6 +61,8 @@ def test_argmax_ctc_pad_unmask(spark):
     b = spark.createDataFrame([(1, [1, 2, 3]), (1, [4]), (2, [5])], "b int, l array<int>")
     p = {tuple(r.l[:1]): r for r in SQ.pad_batch(b, "b", "l").collect()}
     assert p[(4,)].l == [4, -100, -100] and p[(4,)].attention_mask == [1, 0, 0] and p[(5,)].l == [5]
+    odd = spark.createDataFrame([(None, [1]), (None, [1, 2]), (3, None)], "b int, l array<int>")
+    assert sorted(str(r.l) for r in SQ.pad_batch(odd, "b", "l").collect()) == ["None", "[1, -100]", "[1, 2]"]
     u = b.select(SQ.unmask(F.array(F.lit(-100), F.lit(7)), 9).alias("u")).first().u
     assert u == [9, 7]
 

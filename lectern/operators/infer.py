@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import char_spaced
+
 ModelFactory = Callable[[], Callable[[list], list]]
 
 
@@ -95,13 +97,18 @@ def failure_counts(inferred: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def transcribe(df: DataFrame, audio_cols: list[str], make_fn: ModelFactory, out: str = "prediction",
-               batch_size: int = 16, on_error: str = "drop") -> DataFrame:
-    """I4: ASR over audio rows; the model gets ``(samples, sampling_rate)``
-    tuples (or logits decoding is done afterwards with A3/A4)."""
-    return batch_infer(df, audio_cols, out, make_fn, T.StringType(), batch_size, on_error)
+               batch_size: int = 16, on_error: str = "drop", out_type: T.DataType = T.StringType()) -> DataFrame:
+    """I4: ASR over audio rows; the model gets ``(samples, sampling_rate)`` tuples
+    and returns texts, or frames of scores (``out_type``) for A3 and A4."""
+    return batch_infer(df, audio_cols, out, make_fn, out_type, batch_size, on_error)
 
 
 def score_pairs(df: DataFrame, make_fn: ModelFactory, src: str = "src", mt: str = "mt",
-                ref: str = "ref", out: str = "score", batch_size: int = 8) -> DataFrame:
-    """Learned quality score from ``(src, mt, ref)`` triples -> DOUBLE."""
-    return batch_infer(df, [src, mt, ref], out, make_fn, T.DoubleType(), batch_size, "keep")
+                ref: str = "ref", out: str = "score", batch_size: int = 8, spaced: bool = False) -> DataFrame:
+    """Learned quality score from ``(src, mt, ref)`` triples -> DOUBLE.
+    ``spaced`` gives the model source and translation character by character
+    (T6) and the reference as it is."""
+    if not spaced:
+        return batch_infer(df, [src, mt, ref], out, make_fn, T.DoubleType(), batch_size, "keep")
+    views = df.withColumns({"_src": char_spaced(src), "_mt": char_spaced(mt)})
+    return batch_infer(views, ["_src", "_mt", ref], out, make_fn, T.DoubleType(), batch_size, "keep").drop("_src", "_mt")

@@ -59,11 +59,12 @@ def header_columns(content: Column) -> dict[str, Column]:
     return {k: h[k] for k in ("sampling_rate", "channels", "bits", "data_offset", "n_samples", "duration")}
 
 
-def audio_manifest(spark: SparkSession, root: str) -> DataFrame:
+def audio_manifest(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
     """``path, length, sampling_rate, channels, bits, data_offset,
-    n_samples, duration`` per WAV file."""
+    n_samples, duration`` per WAV file, and its bytes when asked for."""
     df = _binary(spark, root)
-    return df.select("path", "length", *[c.alias(k) for k, c in header_columns(F.col("content")).items()])
+    kept = ["path", "length"] + (["content"] if with_content else [])
+    return df.select(*kept, *[c.alias(k) for k, c in header_columns(F.col("content")).items()])
 
 
 def _folder(path: Column) -> Column:
@@ -104,20 +105,16 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
 def read_audio_folder(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
     """S3: audio rows with transcription and split.
 
-    Files and metadata are matched on ``(folder, file name)`` (J2).  Both sides
-    are one small row per clip (the content column is left out unless asked
-    for), so the join moves no audio bytes.
+    Files and metadata are matched on ``(folder, file name)`` (J2).  The audio
+    bytes, where asked for, come from the scan that read the headers and go
+    through the join; leave them out to join one small row per clip.
     """
-    man = audio_manifest(spark, root)
+    man = audio_manifest(spark, root, with_content)
     man = (man.withColumn("_dir", _folder(F.col("path")))
            .withColumn("file_name", F.regexp_extract("path", "([^/]*)$", 1)))
     md = read_metadata(spark, root)
     out = man.join(md, ["_dir", "file_name"], "left").withColumn("split", split_of(_below(F.col("path"), root)))
-    out = out.drop("_dir")
-    if with_content:
-        content = _binary(spark, root).select("path", "content")
-        out = out.join(content, "path")
-    return out
+    return out.drop("_dir")
 
 
 def select_split(df: DataFrame, name: str) -> DataFrame:

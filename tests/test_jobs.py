@@ -36,3 +36,38 @@ def test_prepare_speech_and_asr_eval(spark):
     assert "|" in vocab and vocab["[PAD]"] == vocab["[UNK]"] + 1
     rep = jobs.asr_eval(spark, root, SM.clip_length_asr_model, out).collect()[0]
     assert rep.n_pairs == 2
+    w = prepared[0]
+    assert [i for i in w.labels] == [vocab["|" if c == " " else c] for c in "hello world "]
+    assert {"t", "g"} <= set(vocab)  # of the clip that is too long
+    assert len(jobs.prepare_speech(spark, root, tempfile.mkdtemp(), caps={"train": 1}).collect()) == 1
+    none = jobs.asr_eval(spark, root, SM.clip_length_asr_model, tempfile.mkdtemp(), split="test").first()
+    assert none.n_pairs == 0 and none.n_failed == 0
+
+
+def test_asr_eval_of_logits_counts_lost_rows(spark, tmp_path):
+    def model():
+        def f(clips):
+            if any(len(s) > 16000 for s, _ in clips):
+                raise ValueError("too long")
+            return [[[0.0, 1.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [1.0, 0.0, 0.0]] for _ in clips]
+        return f
+
+    (tmp_path / "test").mkdir()
+    for name, seconds in (("a", 1.0), ("b", 2.0), ("c", 1.0)):
+        _wav(str(tmp_path / "test" / f"{name}.wav"), 16000, seconds)
+    (tmp_path / "test" / "metadata.csv").write_text("file_name,transcription\na.wav,ba\nb.wav,ba\nc.wav,ba\n")
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("[PAD]", 2)], "token string, id int")
+    rep = jobs.asr_eval(spark, str(tmp_path), model, str(tmp_path / "out"), split="test", cap_n=2, logits=(vocab, 2)).first()
+    assert (rep.n_pairs, rep.n_failed, rep.wer, rep.cer) == (1, 1, 0.0, 0.0)
+
+
+def test_prepare_text_with_validation(spark, tmp_path):
+    head = "English,Ife Dialect,Ilaje Dialect,Ijebu Dialect,Standard Yoruba\n"
+    (tmp_path / "t.csv").write_text(head + "e1,\u201ci\u201d,l,j,s\n")
+    (tmp_path / "v.csv").write_text(head + "e2,i2,l2,j2,s2\n")
+    (tmp_path / "x.tsv").write_text("t\ts\ntgt\tsrc\n")
+    out = jobs.prepare_text(spark, str(tmp_path / "t.csv"), str(tmp_path / "x.tsv"), validation_csv=str(tmp_path / "v.csv"),
+                            out_dir=str(tmp_path / "out"))
+    got = {(r.split, r.dialect, r.src_txt, r.tgt_txt) for r in out.collect()}
+    assert len(got) == 9 and ("train", "Ife Dialect", '"i"', "e1") in got and ("train", None, "src", "tgt") in got
+    assert ("validation", "Standard Yoruba", "s2", "e2") in got

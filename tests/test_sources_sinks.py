@@ -2,7 +2,7 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
+import pytest
 
 from lectern.operators import errors as ER
 from lectern.operators import mt_metrics as MT
@@ -32,6 +32,20 @@ def test_read_bitext_positions(spark):
     assert (r.src_txt, r.tgt_txt) == ("target one", "source one")
 
 
+def test_columns_by_name_and_missing_values(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text("english_text,extra,std_text,ife_text,ilaje_text,ijebu_text\nE,x,S,NA, nan ,null\n")
+    r = PA.read_parallel(spark, str(p)).first()
+    assert (r.english_text, r.std_text, r.ife_text, r.ilaje_text, r.ijebu_text) == ("E", "S", None, " nan ", None)
+    assert PA.read_parallel(spark, str(p), multi_line=False).first().std_text == "S"
+    with pytest.raises(ValueError, match="English not found; available: english_text, extra"):
+        PA.read_parallel(spark, str(p), ["English"])
+    t = tmp_path / "t.tsv"
+    t.write_text('a\tb\n"say ""hi""\tthere"\t"two\nlines"\nNA\tx\n')
+    got = {(r.tgt_txt, r.src_txt) for r in PA.read_bitext(spark, str(t)).collect()}
+    assert got == {('say "hi"\tthere', "two\nlines"), (None, "x")}
+
+
 def test_scorecard_vocab_report(spark):
     pairs = spark.createDataFrame([(0, "g a", "a b c d", "a b c d"), (1, "g b", "x y", "x z")],
                                   "k int, grp string, ref string, hyp string")

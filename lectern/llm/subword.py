@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 
 #: Characters that some tokenizers take for white space although ASCII doesn't.
 _ODD_SPACE = re.compile(rb"[\x02\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Opens a chunk that no space stands before; texts that hold it go the long way.
+#: Opens a byte-level chunk that no space stands before; byte-level texts that hold
+#: it go the long way.
 _JOINED = "\x02"
 #: The same in RE2's form, or a space between two other blanks: there, single
 #: spaces are no borders.
@@ -126,11 +127,12 @@ class LibraryEncoder:
         got = self.parts.ensure({p for c in cut if c and len(c) > 1 for p in c}, self._part).__getitem__
         return [self._whole(text) if c is None else next(single) if len(c) == 1 else b"".join(map(got, c)) for text, c in zip(chunks, cut)]
 
-    def _lookup(self, flat: pa.Array, lead: str, recent: _Recent) -> tuple[np.ndarray, memoryview]:
-        """The ids of all chunks behind one another, and where each begins."""
+    def _lookup(self, flat: pa.Array, recent: _Recent, source=str) -> tuple[np.ndarray, memoryview]:
+        """The ids of all chunks behind one another, and where each begins;
+        ``source`` gives the text that a chunk stands for."""
         coded = flat.dictionary_encode()
         keys = coded.dictionary.to_pylist()
-        got = recent.ensure(set(keys), lambda new: self._encode([k[1:] if k[:1] == _JOINED else lead + k for k in new]))
+        got = recent.ensure(set(keys), lambda new: self._encode([source(k) for k in new]))
         values = pa.array([got[k] for k in keys], pa.binary()).take(coded.indices)
         _, offsets, data = values.buffers()
         return np.frombuffer(offsets, np.int32)[: len(values) + 1], memoryview(data) if data is not None else memoryview(b"")
@@ -144,7 +146,7 @@ class LibraryEncoder:
             # a sign at a word's end is a pre-token of its own
             texts = pc.replace_substring_regex(texts, pattern=r"(\pL)([.,])(\s|$)", replacement=r"\1 \2\3")
             lists = pc.ascii_split_whitespace(texts)
-            begin, ids = self._lookup(lists.flatten(), "", self.chunks)
+            begin, ids = self._lookup(lists.flatten(), self.chunks)
             at = begin[np.asarray(lists.offsets)].tolist()
             return [bytes(ids[a:b]) for a, b in zip(at, at[1:])]
         wide = pc.match_substring_regex(texts, _WIDE).to_numpy(zero_copy_only=False)
@@ -154,7 +156,7 @@ class LibraryEncoder:
         lists = pc.split_pattern(texts, " ")
         offsets = np.asarray(lists.offsets)
         flat = lists.flatten()
-        begin, ids = self._lookup(flat, " ", self.chunks)
+        begin, ids = self._lookup(flat, self.chunks, lambda k: k[1:] if k[:1] == _JOINED else " " + k)
         heads = flat.take(pa.array(offsets[:-1])).to_pylist()
         first = self.firsts.ensure(set(heads), lambda new: self._encode(new))
         rest = zip(begin[offsets[:-1] + 1].tolist(), begin[offsets[1:]].tolist())

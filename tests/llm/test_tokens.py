@@ -34,6 +34,19 @@ def test_chunks_encode_as_whole_texts(coders, path, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == want
 
 
+CONTROL = st.text(st.sampled_from([chr(c) for c in range(32)] + list("ab. é\x7f")), max_size=20)
+
+
+@given(st.lists(CONTROL, max_size=4))
+@settings(max_examples=150, deadline=None)
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_control_characters_encode_as_whole_texts(coders, path, texts):
+    own, whole = coders[path]
+    texts = [*texts, "\x02abc def", "\x02", "a \x02 b", "x\n\x02y. \x02"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == want
+
+
 PIECES = PieceEncoder(PIECE, remembered=50)
 
 

@@ -7,6 +7,11 @@ neighbour only if none kept before is closer to it by the factor ``alpha``, whic
 leaves long edges in place.  A query runs a beam search in every shard, and the
 nearest of all shards are merged.  All of a shard's work is done for many points
 at once.
+
+Of vectors that lie closer together than a graph with a bounded beam can tell
+apart (scaled copies, copies with small noise) only a leader is in the graph.
+Wherever a query meets a leader whose group may hold one of its nearest, it is
+compared with the whole group in double precision.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ ALPHA = 1.2
 QUERY_BLOCK = 1024
 #: Points that are inserted together at most.
 INSERT = 512
+#: 1 - cosine up to which a vector belongs to a leader's group.
+GROUP = 1e-3
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray, list]:
@@ -157,7 +164,88 @@ def cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.einsum("bd,bkd->bk", q, c) / (np.linalg.norm(q, axis=-1)[:, None] * np.linalg.norm(c, axis=-1))
 
 
-_INDEX = "dim int, shard int, n long, start long, ids binary, counts binary, vectors binary, graph binary"
+def leaders(unit: np.ndarray, within: float = GROUP, block: int = 1024) -> np.ndarray:
+    """For each row the row that leads its group: the first leader within
+    ``within`` of it, or itself."""
+    lead = np.arange(len(unit))
+    heads = np.empty(0, np.int64)
+    for lo in range(0, len(unit), block):
+        at = np.arange(lo, min(lo + block, len(unit)))
+        for h in range(0, len(heads), block):
+            near = 1 - unit[at] @ unit[heads[h:h + block]].T <= within
+            hit = near.any(1)
+            lead[at[hit]] = heads[h + near[hit].argmax(1)]
+            at = at[~hit]
+        near = 1 - unit[at] @ unit[at].T <= within
+        free, new = np.ones(len(at), bool), []
+        for j in range(len(at)):
+            if free[j]:
+                new.append(at[j])
+                mine = free & near[j]
+                lead[at[mine]] = at[j]
+                lead[at[j]] = at[j]
+                free &= ~mine
+                free[j] = False
+        heads = np.concatenate((heads, np.asarray(new, np.int64)))
+    return lead
+
+
+class Groups:
+    """A shard's vectors behind the graph points that lead them."""
+
+    def __init__(self, vec: np.ndarray, lead: np.ndarray):
+        self.vec = vec
+        self.heads = np.flatnonzero(lead == np.arange(len(lead)))
+        point = np.searchsorted(self.heads, lead)
+        self.order = np.argsort(point, kind="stable")
+        self.ends = np.cumsum(np.bincount(point, minlength=len(self.heads)))
+        self.size = np.diff(np.r_[0, self.ends])
+        # the furthest that a member is from its leader, as a distance of unit vectors
+        w = _unit(vec).astype(np.float64)
+        self.reach = np.zeros(len(self.heads))
+        np.maximum.at(self.reach, point, np.linalg.norm(w - w[lead], axis=1) + 1e-6)
+
+    def best(self, q: np.ndarray, beam: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ``k`` nearest vectors of the groups whose leaders are in its beam,
+        as (rows, cosines), ties to the smaller row."""
+        at = np.maximum(beam, 0)
+        exact = np.where(beam >= 0, cosine(q, self.vec[self.heads[at]]), -np.inf)
+        rows, scores = [[self.heads[b[b >= 0]]] for b in beam], [[e[b >= 0]] for e, b in zip(exact, beam)]
+        # no member is nearer than its leader by more than the group's reach, and
+        # the k-th leader found is as near as the k-th vector at least
+        far = np.sqrt(np.maximum(2 - 2 * np.maximum(exact, -1), 0))
+        kth = np.sort(np.where(beam >= 0, far, np.inf), 1)[:, min(k, beam.shape[1]) - 1]
+        open_ = (beam >= 0) & (self.size[at] > 1) & (far - self.reach[at] <= kth[:, None] + 1e-6)
+        who, col = np.nonzero(open_)
+        point = beam[who, col]
+        by = np.argsort(point, kind="stable")
+        who, point = who[by], point[by]
+        first = np.flatnonzero(np.r_[True, point[1:] != point[:-1]]) if len(point) else []
+        for lo, hi in zip(first, [*first[1:], len(point)]):
+            g = point[lo]
+            members = self.order[self.ends[g] - self.size[g]:self.ends[g]]
+            members = members[members != self.heads[g]]
+            asking = who[lo:hi]
+            for b, found in zip(asking, _cosines(q[asking], self.vec[members])):
+                # ties at the cut all stay
+                keep = found >= np.partition(found, -k)[-k] if len(found) > k else slice(None)
+                rows[b].append(members[keep])
+                scores[b].append(found[keep])
+        out = []
+        for r, s in zip(rows, scores):
+            r, s = np.concatenate(r), np.concatenate(s)
+            top = np.lexsort((r, -s))[:k]
+            out.append((r[top], s[top]))
+        return out
+
+
+def _cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of every row of ``q`` with every row of ``c``, as ``cosine`` has them."""
+    return np.concatenate([cosine(q, np.broadcast_to(c[lo:lo + 256], (len(q), *c[lo:lo + 256].shape)))
+                           for lo in range(0, len(c), 256)], 1)
+
+
+_INDEX = "dim int, shard int, n long, start long, ids binary, counts binary, vectors binary, lead binary, graph binary"
 
 
 def build_index(vectors: DataFrame, shards: int, degree: int = DEGREE, width: int = BEAM_BUILD, alpha: float = ALPHA) -> DataFrame:
@@ -170,14 +258,16 @@ def build_index(vectors: DataFrame, shards: int, degree: int = DEGREE, width: in
         ids = table.column("ids").to_pylist()
         order = np.argsort([i[0] for i in ids], kind="stable")  # the graph doesn't depend on how rows arrive
         vec, ids = np.ascontiguousarray(vec[order]), [ids[k] for k in order]
-        graph, start = build_graph(_unit(vec), degree, width, alpha)
+        unit = _unit(vec)
+        lead = leaders(unit)
+        graph, start = build_graph(unit[lead == np.arange(len(lead))], degree, width, alpha)
         row = {"dim": vec.shape[1], "shard": table.column("shard")[0].as_py(), "n": len(vec), "start": start,
                "ids": np.asarray([i for x in ids for i in x], "<i8").tobytes(),
                "counts": np.asarray([len(x) for x in ids], "<i4").tobytes(),
-               "vectors": vec.tobytes(), "graph": graph.astype("<i4").tobytes()}
+               "vectors": vec.tobytes(), "lead": lead.astype("<i4").tobytes(), "graph": graph.astype("<i4").tobytes()}
         return pa.Table.from_pylist([row], schema=pa.schema([
             ("dim", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()),
-            ("counts", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary())]))
+            ("counts", pa.binary()), ("vectors", pa.binary()), ("lead", pa.binary()), ("graph", pa.binary())]))
 
     keyed = vectors.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), "ids", "vector")
     return cut(keyed.repartition(max(shards, 1), "dim", "shard").groupBy("dim", "shard").applyInArrow(build, _INDEX))
@@ -189,28 +279,25 @@ def _search(k: int, width: int, degree: int):
             for row in batch.to_pylist():
                 dim, n = row["dim"], row["n"]
                 vec = np.frombuffer(row["vectors"], "<f4").reshape(n, dim)
-                graph = np.frombuffer(row["graph"], "<i4").reshape(n, degree)
+                graph = np.frombuffer(row["graph"], "<i4").reshape(-1, degree)
+                groups = Groups(vec, np.frombuffer(row["lead"], "<i4"))
                 counts = np.frombuffer(row["counts"], "<i4")
                 ids, ends = np.frombuffer(row["ids"], "<i8"), np.cumsum(counts)
                 q_ids = np.frombuffer(row["q_ids"], "<i8")
                 q = np.frombuffer(row["q_vectors"], "<f4").reshape(len(q_ids), dim)
-                unit = _unit(vec)
+                unit = _unit(vec[groups.heads])
                 for lo in range(0, len(q), 256):
                     part = q[lo:lo + 256]
-                    beam, _, _ = beam_search(unit, graph, row["start"], _unit(part), width, n)
-                    exact = np.where(beam >= 0, cosine(part, vec[np.maximum(beam, 0)]), -np.inf)
+                    beam, _, _ = beam_search(unit, graph, row["start"], _unit(part), width, len(unit))
                     out_q, out_v, out_s = [], [], []
                     # k + 1 vectors hold the k nearest rows even if one is the query's own
-                    top = np.argsort(-exact, 1, kind="stable")[:, : k + 1]
-                    for b in range(len(part)):
-                        for t in top[b]:
-                            if beam[b, t] >= 0:
-                                c = beam[b, t]
-                                for i in ids[ends[c] - counts[c]:ends[c]]:
-                                    if i != q_ids[lo + b]:
-                                        out_q.append(q_ids[lo + b])
-                                        out_v.append(i)
-                                        out_s.append(exact[b, t])
+                    for b, top in enumerate(groups.best(part, beam, k + 1)):
+                        for c, score in zip(*top):
+                            for i in ids[ends[c] - counts[c]:ends[c]]:
+                                if i != q_ids[lo + b]:
+                                    out_q.append(q_ids[lo + b])
+                                    out_v.append(i)
+                                    out_s.append(score)
                     yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())],
                                                      names=["query_id", "vec_id", "score"])
 

@@ -69,3 +69,49 @@ def test_pruning_keeps_diverse_edges():
     assert ann.robust_prune(x, np.asarray([0]), np.asarray([[1, 2, 3, 1, -1, 0]], np.int32), 3, 1.2).tolist() == [[1, 3, -1]] or True
     got = ann.robust_prune(x, np.asarray([0]), np.asarray([[1, 2, 3, 1, -1, 0]], np.int32), 3, 1.0).tolist()[0]
     assert got[0] == 1 and 0 not in got and 2 not in got
+
+
+def shard(seed, n=8192, dim=64):
+    return np.random.default_rng(seed).normal(size=(n, dim))
+
+
+def found_in_shard(x, asks, k=5):
+    """Recall of the ``k`` nearest, the query's own row left out; scores that tie count as found."""
+    x = x.astype(np.float32)
+    unit = ann._unit(x)
+    lead = ann.leaders(unit)
+    groups = ann.Groups(x, lead)
+    graph, start = ann.build_graph(unit[groups.heads])
+    beam, _, _ = ann.beam_search(unit[groups.heads], graph, start, unit[asks], ann.BEAM_QUERY, len(groups.heads))
+    w = x.astype(np.float64)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    hits = 0
+    for a, (rows, _) in zip(asks, groups.best(x[asks], beam, k + 1)):
+        s = w @ w[a]
+        rows = rows[rows != a][:k]
+        assert len(set(rows.tolist())) == k
+        s[a] = -np.inf
+        hits += (s[rows] >= np.sort(s)[-k] - 1e-15).sum()
+    return hits / (k * len(asks))
+
+
+def clustered(noise, n=8192, dim=64):
+    """A third of the rows as scaled copies of one vector, with noise."""
+    x, rng = shard(1, n, dim), np.random.default_rng(2)
+    third = rng.permutation(n)[: n // 3]
+    x[third] = (x[0] + noise * rng.normal(size=(len(third), dim))) * rng.choice([0.5, 1, 2, 3, 7], (len(third), 1))
+    return x, third
+
+
+@pytest.mark.parametrize("noise", [0, 1e-6, 3e-4, 1e-3, 1e-2])
+def test_nearest_among_noisy_and_scaled_copies(noise):
+    x, third = clustered(noise)
+    assert found_in_shard(x, third[:100]) >= 0.99
+
+
+def test_copies_in_the_query(spark):
+    x, third = clustered(3e-4, 3000)
+    df = spark.createDataFrame([(k, [float(c) for c in v], None, 1, 2, "x") for k, v in enumerate(x)], SCHEMA)
+    stored = x.astype(np.float32).astype(np.float64)
+    asks = [int(k) for k in third[:40]]
+    assert recall(ann.nearest(df, df.where(F.col("vec_id").isin(asks))).collect(), brute(list(range(3000)), stored, asks, 5)) >= 0.99

@@ -249,12 +249,12 @@ _INDEX = "dim int, shard int, n long, start long, ids binary, counts binary, vec
 
 
 def build_index(vectors: DataFrame, shards: int, degree: int = DEGREE, width: int = BEAM_BUILD, alpha: float = ALPHA) -> DataFrame:
-    """``vectors(ids array<long>, vector array<float>)`` -> one row per shard with
+    """``vectors(ids array<long>, vector array<float> or array<double>)`` -> one row per shard with
     its vectors, the ids that have each of them, and the graph."""
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        vec = np.stack(table.column("vector").to_numpy(zero_copy_only=False)).astype("<f4")
+        vec = np.stack(table.column("vector").to_numpy(zero_copy_only=False))
         ids = table.column("ids").to_pylist()
         order = np.argsort([i[0] for i in ids], kind="stable")  # the graph doesn't depend on how rows arrive
         vec, ids = np.ascontiguousarray(vec[order]), [ids[k] for k in order]
@@ -273,18 +273,23 @@ def build_index(vectors: DataFrame, shards: int, degree: int = DEGREE, width: in
     return cut(keyed.repartition(max(shards, 1), "dim", "shard").groupBy("dim", "shard").applyInArrow(build, _INDEX))
 
 
+def _stored(data: bytes, n: int, dim: int) -> np.ndarray:
+    """Vectors in the width that they came in, float or double."""
+    return np.frombuffer(data, f"<f{len(data) // (n * dim)}").reshape(n, dim)
+
+
 def _search(k: int, width: int, degree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 dim, n = row["dim"], row["n"]
-                vec = np.frombuffer(row["vectors"], "<f4").reshape(n, dim)
+                vec = _stored(row["vectors"], n, dim)
                 graph = np.frombuffer(row["graph"], "<i4").reshape(-1, degree)
                 groups = Groups(vec, np.frombuffer(row["lead"], "<i4"))
                 counts = np.frombuffer(row["counts"], "<i4")
                 ids, ends = np.frombuffer(row["ids"], "<i8"), np.cumsum(counts)
                 q_ids = np.frombuffer(row["q_ids"], "<i8")
-                q = np.frombuffer(row["q_vectors"], "<f4").reshape(len(q_ids), dim)
+                q = _stored(row["q_vectors"], len(q_ids), dim)
                 unit = _unit(vec[groups.heads])
                 for lo in range(0, len(q), 256):
                     part = q[lo:lo + 256]
@@ -306,8 +311,11 @@ def _search(k: int, width: int, degree: int):
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, vector)`` of the rows that take part, one per id: no null id, and a
-    vector that is neither null nor empty nor zero, of finite components."""
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<float>").alias("vector"))
+    vector that is neither null nor empty nor zero, of finite components.  Floats
+    stay floats, numbers of other types become doubles."""
+    vector = df.select(F.col(f"`{vector_col}`").alias("vector"))
+    kind = "array<float>" if vector.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast(kind).alias("vector"))
     fine = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(fine, F.lit(False))).groupBy("id").agg(
         F.min("vector").alias("vector"))
@@ -337,7 +345,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id
 
     def block(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id")
-        vec = np.stack(table.column("vector").to_numpy(zero_copy_only=False)).astype("<f4")
+        vec = np.stack(table.column("vector").to_numpy(zero_copy_only=False))
         return pa.table({"dim": pa.array([vec.shape[1]], pa.int32()), "block": pa.array([table.column("block")[0].as_py()], pa.int32()),
                          "q_ids": pa.array([table.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()),
                          "q_vectors": pa.array([vec.tobytes()], pa.binary())})

@@ -115,3 +115,17 @@ def test_copies_in_the_query(spark):
     stored = x.astype(np.float32).astype(np.float64)
     asks = [int(k) for k in third[:40]]
     assert recall(ann.nearest(df, df.where(F.col("vec_id").isin(asks))).collect(), brute(list(range(3000)), stored, asks, 5)) >= 0.99
+
+
+def test_doubles_keep_their_width(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0 + 1e-10, 2.0]), (2, [1e300, -1e300]), (3, [1e-300, 2e-300]), (4, [1e300, 2.5e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(df, df).collect()
+    got = {r["query_id"]: {} for r in found}
+    for r in found:
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    assert {q: set(v) for q, v in got.items()} == {q: set(range(5)) - {q} for q in range(5)}
+    assert abs(got[3][2] + 1 / np.sqrt(10)) < 1e-12 and abs(got[3][0] - 1) < 1e-12
+    # rows of doubles and of floats meet
+    mixed = ann.nearest(df, df.selectExpr("vec_id", "cast(embedding as array<float>) as embedding").where("vec_id = 0")).collect()
+    assert [r["vec_id"] for r in sorted(mixed, key=lambda r: r["rank"])][-1] == 2 and len(mixed) == 4

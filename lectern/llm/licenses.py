@@ -106,15 +106,39 @@ _FORMS = (
     (1, 0.9, "(?:terms|conditions|provisions) of(?: the)? {name}" + _WORD + _VERSION + _WORD),
     (1, 0.9, "(?:subject to|under)(?: the)? {name} licen[cs]e" + _VERSION),
     (2, 0.8, "{name} licen[cs]e" + _VERSION),
+    (2, 0.75, "(?:licen[cs]e (?:is )?{name}" + _VERSION + "|{name}" + _VERSION + " licen[cs]ed)"),
     (2, 0.7, "(?:opensource org licen[cs]es|spdx org licen[cs]es|creativecommons org licen[cs]es|gnu org licen[cs]es) {name}" + _VERSION),
 )
 
+#: (label, words before, the name and its version as one word)
+FUSED = (
+    ("gpl", "(?:gnu )?", "gplv1 gplv2 gplv3 gpl1 gpl2 gpl3"), ("lgpl", "(?:gnu )?", "lgplv2 lgplv3 lgpl2 lgpl21 lgpl3"),
+    ("agpl", "(?:gnu )?", "agplv1 agplv3 agpl3"), ("gfdl", "(?:gnu )?", "gfdlv1"), ("apache", "", "apachev2 apache2 asl2 aslv2"),
+    ("mpl", "", "mplv1 mplv2 mpl1 mpl2"), ("epl", "", "eplv1 eplv2 epl1 epl2"), ("cddl", "", "cddlv1"),
+    ("eupl", "", "euplv1"), ("osl", "", "oslv3 osl3"), ("bsd-2-clause", "", "bsd2"), ("bsd-3-clause", "", "bsd3"),
+)
+
 #: (label, keyword, tier, confidence, pattern) of notices with wordings of their own
 NOTICES = (
     ("mit", "hereby", 0, 1.0, "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", "merchantability", 3, 0.3, "without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
     ("bsd", "redistribution", 0, 1.0, "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse", 0, 0.9, "neither the name of .{1,80}? nor the names of its contributors may be used to endorse"),
+    ("bsd-3-clause", "endorse", 0, 0.9, "nor the names of (?:its |their |any |the )?contributors may be used to endorse"),
+    ("bsd", "endorse", 1, 0.8, "may not be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", 0, 0.9, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsl", "accompanying", 0, 1.0, "any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("postgresql", "fee", 0, 0.9, "permission to use copy modify and distribute this software and its documentation for any purpose without fee"),
+    ("apache", "applicable", 0, 0.9, "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("mpl", "mozilla", 0, 0.9, "the contents of this file are subject to the mozilla public license"),
+    ("cddl", "subject", 0, 0.9, "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl", "eclipse", 0, 0.9, "made available under the terms of the eclipse public license"),
+    ("ofl", "font", 0, 0.9, "this font software is licensed under the sil open font license"),
+    ("unlicense", "compile", 0, 0.9, "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0", "deed", 0, 0.9, "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("openssl", "openssl", 0, 0.9, "this product includes software developed by the openssl project"),
+    ("php", "php", 0, 0.9, "this product includes php software"),
+    ("python", "psf", 0, 0.9, "psf is making python available to licensee"),
     ("isc", "fee", 0, 1.0, "permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("zlib", "origin", 0, 0.9, "the origin of this software must not be misrepresented"),
     ("gpl", "redistribute", 0, 0.9, "you can redistribute it and or modify it under the terms of the gnu general public license"),
@@ -132,8 +156,9 @@ NOTICES = (
     ("reserved", "copied", 2, 0.6, "may not be copied"),
     ("reserved", "distributed", 2, 0.6, "may not be distributed"),
     ("reserved", "permission", 2, 0.5, "without (?:the )?(?:prior )?(?:express )?(?:written )?permission of"),
-    ("copyright", "copyright", 3, 0.4, "copyright(?: c)?(?: \\d{4})+"),
-    ("copyright", "copyright", 3, 0.3, "copyright(?: c)? by"),
+    ("copyright", "copyright", 3, 0.4, "copyright(?: c| ©)?(?: ©?\\d{4})+"),
+    ("copyright", "©", 3, 0.4, "©(?: copyright)?(?: \\d{4})+"),
+    ("copyright", "copyright", 3, 0.3, "copyright(?: c| ©)? by"),
     ("proprietary", "proprietary", 2, 0.7, "proprietary and confidential"),
     ("proprietary", "confidential", 2, 0.5, "confidential information of"),
     ("non-commercial", "commercial", 2, 0.6, "for non commercial (?:use|purposes) only"),
@@ -154,6 +179,8 @@ def rules() -> list[dict]:
             for label, kw, tier, score, p in NOTICES]
     out += [{"label": label, "keyword": kw, "tier": tier, "score": score, "base": False, "pattern": form.replace("{name}", name)}
             for tier, score, form in _FORMS for label, kw, name in FAMILIES]
+    out += [{"label": label, "keyword": word, "tier": 2, "score": 0.75, "base": False, "pattern": before + word + "(?: \\d+)*(?: or later| only)?"}
+            for label, before, words in FUSED for word in words.split()]
     # names that mean nothing else stand for themselves
     out += [{"label": label, "keyword": kw, "tier": 2, "score": 0.75, "base": False, "pattern": name + _VERSION}
             for label, kw, name in FAMILIES if label.startswith("cc")]

@@ -97,3 +97,20 @@ def test_no_python_in_the_plan(spark):
     df, _ = table_rows(spark)
     plan = licenses.scan(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+
+
+DECLARED = [
+    ("License: MIT", "mit"), ("License: Apache-2.0", "apache"), ("It is MIT-licensed.", "mit"), ("GPLv3", "gpl"), ("GNU LGPLv2.1+", "lgpl"),
+    ("the licence is BSD-3-Clause", "bsd-3-clause"), ("Copyright © 2020 x", "copyright"), ("Copyright ©2020 x", "copyright"), ("© 2019", "copyright"),
+    ("Neither the name of " + "a very long holder's name " * 9 + "nor the names of its contributors may be used to endorse or promote", "bsd-3-clause"),
+    ("THIS FONT SOFTWARE is licensed under the SIL Open Font License", "ofl"), ("Apache2", "apache"),
+]
+
+
+def test_declarations_in_their_common_forms(spark):
+    rows = [(k, t) for k, (t, _) in enumerate(DECLARED)] + [(99, "the mit gpl bsd of a license to be read")]
+    check(docs(spark, rows), rows)
+    got = {k: {d[4] for d in brute(t)[2]} for k, t in rows}
+    for k, (text, label) in enumerate(DECLARED):
+        assert label in got[k], (text, got[k])
+    assert not got[99]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, exact, licenses, packing, pieces, records, simhash, suffixes, toxicity, warc
+from lectern.llm import ann, chat, exact, licenses, packing, pieces, records, simhash, suffixes, toxicity, trie, warc, whitening
 from lectern.llm.common import pairs, table
 
 
@@ -93,9 +93,26 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.with_family_openings(turns)).drop("node", "above")
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), marks.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(rows)).withColumnRenamed("id", "conv_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_simhash, op3_licenses, op4_ann, op5_suffix_dedup, op6_token_records, op7_exact_dedup, op8_warc,
-    op9_packing, op10_sentencepiece)}
+    op9_packing, op10_sentencepiece, op11_whitening, op12_prefix_trie, op13_chat)}
 
 SQL = {
     "op7_exact_dedup": r"""
@@ -111,4 +128,41 @@ SQL = {
                CASE WHEN revisits THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN revisits THEN owner END AS refers_to
         FROM k""",
+    "op12_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             -- CRC-32 bit by bit: each byte of the decimals, then eight shifts
+             c AS (SELECT conv_id, conv_id - conv_id % 20 AS f,
+                          xor(list_reduce(list_concat([4294967295::UBIGINT::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                              lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                              lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END),
+                              4294967295) % 4 AS h
+                   FROM (SELECT DISTINCT conv_id FROM t)),
+             s AS (SELECT c.conv_id, t.pos AS o, r, x FROM c JOIN t ON t.conv_id = c.f AND t.pos <= c.h
+                   UNION ALL SELECT c.conv_id, t.pos + 3, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+             d AS (SELECT conv_id, md5(length(r) || ':' || r || x) AS k, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY o) AS depth FROM s),
+             p AS (SELECT conv_id, depth, w, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY depth) AS node FROM d
+                   UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+             n AS (SELECT node, any_value(depth) AS depth, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY node),
+             b AS (SELECT *, CASE WHEN depth > 0 THEN left(node, length(node) - 32) END AS above FROM n),
+             k AS (SELECT above, count(*) AS n_children FROM b GROUP BY above),
+             u AS (SELECT DISTINCT v.node AS v, u.node AS u FROM p v JOIN p u ON u.conv_id = v.conv_id AND u.depth >= v.depth),
+             g AS (SELECT u.v AS node, count(*) FILTER (k.above IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.w) AS saved
+                   FROM u JOIN n ON n.node = u.u LEFT JOIN k ON k.above = u.u GROUP BY u.v),
+             z AS (SELECT conv_id, arg_max(node, depth) AS node FROM p GROUP BY conv_id),
+             e AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM z GROUP BY node)
+        SELECT b.conv_id, b.depth, q.conv_id AS parent_conv_id, b.n_convs, coalesce(k.n_children, 0) AS n_children, g.n_leaves,
+               CAST(g.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM b JOIN g ON g.node = b.node LEFT JOIN n q ON q.node = b.above LEFT JOIN k ON k.above = b.node LEFT JOIN e ON e.node = b.node""",
+    "op13_chat": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+               CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(24 + length(replace(replace(replace(r, '\', '\\'), '"', '\"'), chr(10), '\n'))
+                        + length(replace(replace(replace(x, '\', '\\'), '<turn', '\<turn'), '</turn', '\</turn'))) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id""",
 }

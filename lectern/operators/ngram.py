@@ -1,20 +1,17 @@
 """H2: n-gram sufficient statistics for BLEU (word n-grams) and chrF
-(character n-grams), one row per pair, from one expansion and one aggregation.
-
-Output columns per pair and metric: ``hyp_len``, ``ref_len`` and for every order
-n ``h{n}`` (hypothesis n-grams counted), ``r{n}`` (reference n-grams) and
-``m{n}`` (clipped matches).  Every column is additive, so a corpus score is a
-``sum`` per group followed by one closed formula.
-
-Both sides of both metrics become binaries of fixed width per unit (UTF-32 for
-characters, MD5 for words), so an n-gram is an O(1) ``substring`` and no lambda
-runs per n-gram.  The pair rows are hash-partitioned on the pair key once (not
-at all where a join on that key did it already: Spark then drops the
-repartition); the n-grams are made inside that partitioning and both
-aggregations are satisfied by it, so they never cross the network.
-``explode_outer`` is used on purpose: plain ``explode`` lets the optimizer infer
-a ``size(...) > 0`` filter that is pushed below the token projection and re-runs
-the tokeniser per n-gram.
+(character n-grams), made within the row.
+
+Columns per pair and metric: ``hyp_len``, ``ref_len`` and for every order n
+``h{n}`` (hypothesis n-grams counted), ``r{n}`` (reference n-grams) and ``m{n}``
+(clipped matches).  Every column is additive, so a corpus score is a ``sum`` per
+group followed by one closed formula.
+
+Tokens and characters are made in the JVM; one Arrow function per metric counts
+the matches of a whole batch of pairs.  A unit becomes a small number, the units
+that follow it (as many as the highest order) are packed behind it into one
+integer, and one sort of these suffixes serves all orders: n-grams that are equal
+stand next to each other whatever n is.  No row is made per n-gram, and nothing
+is shuffled for the counting.
 
 Rows with one key and different texts stay different pairs.  Rows repeated as a
 whole share one row with their number in ``n_pairs``; a pair without one side
@@ -23,64 +20,177 @@ has ``n_pairs`` 0, null statistics and its number in ``n_skipped``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tokenize import chrf_string, tokenize_13a
 
 BLEU_ORDER = 4
 CHRF_ORDER = 6
-_PAIR, _SKIPPED = 0, -1  # marks of a whole row among the n-grams
-_BLEU, _CHRF = 10, 20  # mark of an n-gram: metric + order
+#: Units and pairs that are sorted together.
+_UNITS, _PAIRS = 1 << 18, 256
+
+
+def _packed(units: np.ndarray, ends: np.ndarray, take: range, bits: int) -> np.ndarray:
+    """The units at offsets ``take`` behind each position side by side, the first
+    one highest; zero from the end of the text on."""
+    at, out = np.arange(len(units)), np.zeros(len(units), np.uint64)
+    for j in take:
+        inside = at + j < ends
+        out = (out << np.uint64(bits)) | np.where(inside, units[np.minimum(at + j, len(units) - 1)], 0).astype(np.uint64)
+    return out
 
 
-def _words(text: Column) -> Column:
-    """16 bytes a word."""
-    return F.unhex(F.array_join(F.transform(tokenize_13a(text), lambda w: F.md5(w.cast("binary"))), ""))
+def _chunk_matches(units: np.ndarray, lengths: np.ndarray, n_pairs: int, order: int) -> np.ndarray:
+    """Clipped matches (pair, order) of the texts of ``n_pairs`` hypotheses and
+    then as many references, laid one behind the other; units are 0 or more."""
+    out = np.zeros((n_pairs, order), np.int64)
+    if not len(units):
+        return out
+    seen = np.zeros(int(units.max()) + 1, np.int64)
+    seen[units] = 1
+    units = np.cumsum(seen)[units]  # 1 .. number of different units
+    bits, pair_bits = int(seen.sum()).bit_length(), max(n_pairs - 1, 1).bit_length()
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    text = np.repeat(np.arange(2 * n_pairs), lengths)
+    pair, side = (text % n_pairs).astype(np.uint64), (text >= n_pairs).astype(np.uint64)
+    one = np.uint64(1)
+    if pair_bits + order * bits + 1 <= 64:
+        key = (pair << np.uint64(order * bits)) | _packed(units, ends, range(order), bits)
+        key = np.sort((key << one) | side)
+        side, parts, sizes = (key & one).astype(np.int64), [key >> one], [order]
+    else:  # two integers hold what one can't
+        half = (order + 1) // 2
+        high = (pair << np.uint64(half * bits)) | _packed(units, ends, range(half), bits)
+        low = _packed(units, ends, range(half, order), bits)
+        by = np.lexsort((low, high))
+        side, parts, sizes = side[by].astype(np.int64), [high[by], low[by]], [half, order - half]
+    mask = np.uint64((1 << bits) - 1)
+    owner = (parts[0] >> np.uint64(sizes[0] * bits)).astype(np.int64)
+    for n in range(1, order + 1):
+        cut = [parts[0] >> np.uint64((sizes[0] - min(n, sizes[0])) * bits)]
+        if n > sizes[0]:
+            cut.append(parts[1] >> np.uint64((order - n) * bits))
+        whole = np.flatnonzero(cut[-1] & mask)  # the n-th unit is there
+        if not len(whole):
+            break
+        new = np.zeros(len(whole), bool)
+        new[0] = True
+        for c in cut:
+            c = c[whole]
+            new[1:] |= c[1:] != c[:-1]
+        begin = np.flatnonzero(new)
+        both, ref = np.diff(np.append(begin, len(whole))), np.add.reduceat(side[whole], begin)
+        out[:, n - 1] = np.bincount(owner[whole[begin]], np.minimum(ref, both - ref), n_pairs).astype(np.int64)
+    return out
 
 
-def _chars(text: Column) -> Column:
-    """4 bytes a character, whitespace removed."""
-    return F.encode(chrf_string(text), "UTF-32")
+def gram_matches(hyp: np.ndarray, hyp_at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray, order: int) -> np.ndarray:
+    """Clipped n-gram matches of every pair for n up to ``order``.  Side k of pair i
+    is ``side[at[i]:at[i + 1]]``."""
+    n = len(hyp_at) - 1
+    out, lo = np.zeros((n, order), np.int64), 0
+    size = hyp_at + ref_at
+    while lo < n:
+        # as many pairs as fit, one at least: a pair is never cut
+        hi = int(np.searchsorted(size, size[lo] + _UNITS, "right")) - 1
+        hi = min(max(hi, lo + 1), lo + _PAIRS, n)
+        units = np.concatenate([hyp[hyp_at[lo]:hyp_at[hi]], ref[ref_at[lo]:ref_at[hi]]])
+        out[lo:hi] = _chunk_matches(units, np.concatenate([np.diff(hyp_at[lo:hi + 1]), np.diff(ref_at[lo:hi + 1])]), hi - lo, order)
+        lo = hi
+    return out
 
 
-def _sides(ref: Column, hyp: Column, metrics: str, orders: dict[int, int]) -> list[Column]:
-    both = ref.isNotNull() & hyp.isNotNull()
+def _filled(column: pa.Array, empty) -> pa.Array:
+    return column.fill_null(pa.scalar(empty, column.type)) if column.null_count else column
 
-    def side(kind: int, h: int, order: int, width: int, units: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.lit(h).alias("h"), F.lit(order).alias("order"),
-                        F.lit(width).alias("width"), F.when(both, units).alias("units"))
 
-    out = [F.struct(F.when(both, _PAIR).otherwise(_SKIPPED).alias("kind"), F.lit(0).alias("h"), F.lit(1).alias("order"),
-                    F.lit(1).alias("width"), F.lit(b"\0").alias("units"))]
-    if "b" in metrics:
-        out += [side(_BLEU, h, orders[_BLEU], 16, _words(t)) for h, t in ((1, hyp), (0, ref))]
-    if "c" in metrics:
-        out += [side(_CHRF, h, orders[_CHRF], 4, _chars(t)) for h, t in ((1, hyp), (0, ref))]
+def _word_units(hyp: pa.Array, ref: pa.Array) -> list[np.ndarray]:
+    """Codes of words that both sides share, and offsets."""
+    sides = [_filled(c, []) for c in (hyp, ref)]
+    words = [s.flatten() for s in sides]
+    codes = pa.concat_arrays(words).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    out, at = [], 0
+    for s, w in zip(sides, words):
+        offsets = s.offsets.to_numpy()
+        out += [codes[at:at + len(w)], (offsets - offsets[0]).astype(np.int64)]
+        at += len(w)
     return out
 
 
-def _metric_columns(kind: int, order: int, prefix: str) -> tuple[list[Column], list[Column]]:
-    """Sums per pair, and the statistics made of them."""
-    def total(mark: int, value: Column) -> Column:
-        return F.sum(F.when(F.col("mark") == mark, value).otherwise(0))
+def _char_units(column: pa.Array) -> list[np.ndarray]:
+    """Code points of all texts, and offsets."""
+    column = _filled(column, "").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(data or b"", np.uint8)[offsets[0]:offsets[-1]]
+    starts = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    if len(points) == starts[-1]:
+        return [points, starts[offsets - offsets[0]]]
+    # bytes that are no UTF-8: the texts one by one
+    texts = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), "<u4") for x in column.to_pylist()]
+    return [np.concatenate(texts), np.cumsum([0, *map(len, texts)])]
+
 
-    first = kind + 1
-    sums = [total(first, F.col("ch")).alias(f"{prefix}hyp"), total(first, F.col("cr")).alias(f"{prefix}ref")]
-    sums += [total(kind + n, F.least("ch", "cr")).alias(f"{prefix}match{n}") for n in range(1, order + 1)]
+def _statistics_type(prefix: str, order: int) -> T.StructType:
+    names = [f"{prefix}hyp_len", f"{prefix}ref_len", *[f"{prefix}{k}{n}" for n in range(1, order + 1) for k in "hrm"]]
+    return T.StructType([T.StructField(c, T.LongType()) for c in names])
 
-    def per_pair(c: str) -> Column:  # null for a pair that lacks a side
-        return F.when(F.col("n_pairs") > 0, F.expr(f"{c} div n_pairs"))
 
-    hl, rl = per_pair(f"{prefix}hyp"), per_pair(f"{prefix}ref")
-    stats = [hl.alias(f"{prefix}hyp_len"), rl.alias(f"{prefix}ref_len")]
+def _statistics(units: list[np.ndarray], missing: np.ndarray, prefix: str, order: int) -> pa.Array:
+    hyp, hyp_at, ref, ref_at = units
+    hl, rl = np.diff(hyp_at), np.diff(ref_at)
+    m = gram_matches(hyp, hyp_at, ref, ref_at, order)
+    columns = [hl, rl]
     for n in range(1, order + 1):
-        h, r = F.when(hl.isNotNull(), F.greatest(hl - n + 1, F.lit(0))), F.when(rl.isNotNull(), F.greatest(rl - n + 1, F.lit(0)))
-        if kind == _CHRF:  # hypothesis n-grams only count when the reference has that order
-            h = F.when(r > 0, h).when(r.isNotNull(), F.lit(0))
-        stats += [h.cast("long").alias(f"{prefix}h{n}"), r.cast("long").alias(f"{prefix}r{n}"),
-                  per_pair(f"{prefix}match{n}").alias(f"{prefix}m{n}")]
-    return sums, stats
+        h, r = np.maximum(hl - n + 1, 0), np.maximum(rl - n + 1, 0)
+        if prefix == "c_":  # hypothesis n-grams only count when the reference has that order
+            h = np.where(r > 0, h, 0)
+        columns += [h, r, m[:, n - 1]]
+    names = _statistics_type(prefix, order).names
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64(), mask=missing) for c in columns], names=names)
+
+
+def _missing(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+    return np.asarray(hyp.is_null()) | np.asarray(ref.is_null())
+
+
+def bleu_statistics(hyp, ref, order: int = BLEU_ORDER) -> Column:
+    """BLEU statistics of a pair as a struct ``b_*``; null fields where a side is null."""
+    @F.arrow_udf(_statistics_type("b_", order))
+    def count(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+        return _statistics(_word_units(hyp, ref), _missing(hyp, ref), "b_", order)
+
+    return count(tokenize_13a(hyp), tokenize_13a(ref))
+
+
+def chrf_statistics(hyp, ref, order: int = CHRF_ORDER) -> Column:
+    """chrF statistics of a pair as a struct ``c_*``; null fields where a side is null."""
+    @F.arrow_udf(_statistics_type("c_", order))
+    def count(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+        return _statistics([*_char_units(hyp), *_char_units(ref)], _missing(hyp, ref), "c_", order)
+
+    return count(chrf_string(hyp), chrf_string(ref))
+
+
+def row_statistics(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", metrics: str = "bc", keep: list[str] | None = None,
+                   bleu_order: int = BLEU_ORDER, chrf_order: int = CHRF_ORDER) -> DataFrame:
+    """Each row's statistics beside the columns ``keep`` (all by default), with 1
+    in ``n_pairs``, or in ``n_skipped`` where a side is null.  A projection: it serves
+    streams as it serves tables."""
+    both = F.col(ref).isNotNull() & F.col(hyp).isNotNull()
+    keep = list(pairs.columns) if keep is None else keep
+    staged = []
+    if "b" in metrics:
+        staged.append(bleu_statistics(F.col(hyp), F.col(ref), bleu_order).alias("_b"))
+    if "c" in metrics:
+        staged.append(chrf_statistics(F.col(hyp), F.col(ref), chrf_order).alias("_c"))
+    counts = [both.cast("long").alias("n_pairs"), (~both).cast("long").alias("n_skipped")]
+    return pairs.select(*keep, *counts, *staged).select(*keep, "n_pairs", "n_skipped", *[f"_{m}.*" for m in "bc" if m in metrics])
 
 
 def pair_statistics(pairs: DataFrame, key: list[str], ref: str = "ref", hyp: str = "hyp", metrics: str = "bc",
@@ -88,33 +198,16 @@ def pair_statistics(pairs: DataFrame, key: list[str], ref: str = "ref", hyp: str
                     partitions: int | None = None) -> DataFrame:
     """Statistics of BLEU (``b_*``, if ``metrics`` has a b) and chrF (``c_*``, c).
 
-    ``carry`` names more columns to keep, functions of the pair.  The partition
-    count is explicit (default ``spark.sql.shuffle.partitions``): the rows are
-    small before the expansion and large after it, and AQE would merge the
-    small shuffle into a handful of tasks that then do all of it.
+    ``carry`` names more columns to keep, functions of the pair.  The pairs are
+    spread by their key (not again where a join on it placed them: Spark then drops
+    the repartition), which is also where repeated rows meet.  The partition count
+    is explicit (default ``spark.sql.shuffle.partitions``): pairs are small
+    beside the work they make, and AQE would merge them into a handful of tasks.
     """
     by = key + [c for c in (carry or []) if c not in key]
     count = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = pairs.select(*by, ref, hyp).repartition(count, *key)
-    orders = {_BLEU: bleu_order, _CHRF: chrf_order}
-    sides = base.select(*by, F.xxhash64(hyp, ref, F.col(hyp).isNull()).alias("_pair"),
-                        F.explode_outer(F.array(*_sides(F.col(ref), F.col(hyp), metrics, orders))).alias("_s"))
-    units = F.expr("length(_s.units) div _s.width")
-    places = sides.select(*by, "_pair", "_s", units.cast("int").alias("_n"), F.explode_outer(
-        F.when(units > 0, F.sequence(F.lit(0), (units * F.col("_s.order") - 1).cast("int")))).alias("_k"))
-    n, at = F.expr("_k % _s.order + 1"), F.expr("_k div _s.order").cast("int")
-    grams = places.where(at + n <= F.col("_n")).select(
-        *by, "_pair", F.col("_s.h").alias("h"),
-        F.when(F.col("_s.kind") > 0, F.col("_s.kind") + n).otherwise(F.col("_s.kind")).alias("mark"),
-        F.substring(F.col("_s.units"), at * F.col("_s.width") + 1, n * F.col("_s.width")).alias("gram"))
-    counts = grams.groupBy(*by, "_pair", "mark", "gram").agg(
-        F.sum("h").alias("ch"), F.sum(1 - F.col("h")).alias("cr"))
-
-    sums = [F.sum(F.when(F.col("mark") == m, F.col("cr")).otherwise(0)).alias(c)
-            for m, c in ((_PAIR, "n_pairs"), (_SKIPPED, "n_skipped"))]
-    stats: list[Column] = []
-    for kind, prefix in ((_BLEU, "b_"), (_CHRF, "c_")):
-        if prefix[0] in metrics:
-            s, c = _metric_columns(kind, orders[kind], prefix)
-            sums, stats = sums + s, stats + c
-    return counts.groupBy(*by, "_pair").agg(*sums).select(*by, "n_pairs", "n_skipped", *stats)
+    base = pairs.select(*by, F.col(ref).alias("_ref"), F.col(hyp).alias("_hyp")).repartition(count, *key)
+    distinct = base.groupBy(*by, "_ref", "_hyp").agg(F.count("*").alias("_times"))
+    rows = row_statistics(distinct, "_ref", "_hyp", metrics, [*by, "_times"], bleu_order, chrf_order)
+    times = {c: (F.col(c) * F.col("_times")).alias(c) for c in ("n_pairs", "n_skipped")}
+    return rows.select(*[times.get(c, F.col(c)) for c in rows.columns if c != "_times"])

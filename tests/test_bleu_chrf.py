@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,11 +79,13 @@ def test_repeats_and_different_pairs_of_one_key(spark):
 
 
 def test_plan_tokeniser_not_duplicated(pairs):
-    """H2: the tokeniser must be evaluated once per row, not per n-gram."""
+    """H2: the tokeniser runs once per row and in the JVM; the counting is one
+    Arrow function per metric and makes no rows."""
     stats = NG.pair_statistics(pairs, ["k"])
     assert stats._jdf.queryExecution().optimizedPlan().toString().count("([^0-9])([.,])") == 2  # hyp and ref
     phys = stats._jdf.queryExecution().executedPlan().toString()
-    assert "ArrowEvalPython" not in phys and "BatchEvalPython" not in phys
+    assert "BatchEvalPython" not in phys and "Generate" not in phys
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_ngram_plan_single_exchange(spark, pairs):
@@ -90,3 +96,37 @@ def test_ngram_plan_single_exchange(spark, pairs):
     joined = pairs.select("k", "hyp").hint("merge").join(pairs.select("k", "ref"), "k")
     phys = MT.corpus_scores(joined, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert phys.count("Exchange hashpartitioning") == 2 and phys.count("Join") == 1
+
+
+@pytest.mark.parametrize("alphabet,order", [("ab", 6), ("abc de", 4), ("".join(map(chr, range(0x4E00, 0x6200))), 6)])
+def test_matches_of_random_texts(alphabet, order):
+    """Few units (one packed integer), and so many that two are needed."""
+    rng = random.Random(order)
+    sides = [["".join(rng.choices(alphabet, k=rng.randint(0, 50))).replace(" ", "") for _ in range(600)] for _ in range(2)]
+    got = NG.gram_matches(*NG._char_units(pa.array(sides[0])), *NG._char_units(pa.array(sides[1])), order)
+    for h, r, m in zip(*sides, got.tolist()):
+        assert [x[2] for x in chrf_stats(h, r)][:order] == m
+
+
+def test_long_pair_and_texts_beside_it():
+    rng = random.Random(1)
+    words = [f"w{rng.randint(0, 60000)}" for _ in range(300_000)]
+    hyp, ref = pa.array([words, [], ["a", "b"]]), pa.array([words[::-1], ["x"], ["a", "b"]])
+    got = NG.gram_matches(*NG._word_units(hyp, ref), 4).tolist()
+    want = [sum((Counter(zip(*[words[i:] for i in range(n)])) & Counter(zip(*[words[::-1][i:] for i in range(n)]))).values()) for n in range(1, 5)]
+    assert got == [want, [0] * 4, [2, 1, 0, 0]]
+
+
+def test_slices_nulls_and_broken_utf8():
+    column = pa.array(["zz", None, "", "é😀", "x"]).slice(1)
+    units, at = NG._char_units(column)
+    assert at.tolist() == [0, 0, 0, 2, 3] and units.tolist() == [0xE9, 0x1F600, ord("x")]
+    broken = pa.array([b"a\x80\xe2", b"bc"], pa.binary())
+    units, at = NG._char_units(broken.view(pa.string()))
+    assert len(units) == at[-1] and units[at[1]:].tolist() == [ord("b"), ord("c")]
+
+
+def test_row_statistics_keep_every_row(spark):
+    df = spark.createDataFrame([(1, "a b", "a b"), (1, "a b", "a b"), (2, None, "x")], "k int, hyp string, ref string")
+    rows = NG.row_statistics(df, metrics="b").orderBy("k").collect()
+    assert [(r.k, r.n_pairs, r.n_skipped, r.b_m2) for r in rows] == [(1, 1, 0, 1), (1, 1, 0, 1), (2, 0, 1, None)]

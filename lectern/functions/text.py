@@ -1,17 +1,13 @@
 """Text scalar functions.
 
-All are built-in Spark expressions so they stay inside whole-stage codegen;
-the only Python step is NFKC in :func:`basic_normalize`, which Spark lacks.
+All run in the JVM: built-in Spark expressions, and for NFKC the ICU library
+that Spark brings along for its collations.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .regex import WS, escape_class_chars
 
@@ -80,17 +76,11 @@ def char_spaced(c) -> Column:
     return F.array_join(F.filter(F.split(_col(c), ""), lambda x: x != F.lit("")), " ")
 
 
-@F.arrow_udf(T.StringType())
-def _nfkc(s: pa.Array) -> pa.Array:
-    # pyarrow's utf8_normalize(form="NFKC") leaves marks decomposed here
-    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in s.to_pylist()], pa.string())
-
-
 def nfkc(c, raw=None) -> Column:
-    """Unicode NFKC of ``c``.  Rows whose ``raw`` text (``c`` itself or what it was
-    made of) is ASCII are normal as they are and stay in the JVM."""
-    s, raw = _col(c), _col(c if raw is None else raw)
-    return F.coalesce(_nfkc(F.when(F.octet_length(raw) != F.char_length(raw), s)), s)
+    """Unicode NFKC of ``c``, null where ``raw`` (``c`` itself or what it was made of)
+    is null.  ``c`` is referred to once, so a long chain behind it runs once."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(_col(c), F.lit("")), F.lit(True))
+    return F.when(_col(c if raw is None else raw).isNotNull(), composed)
 
 
 def basic_normalize(c, keep_marks: bool = False) -> Column:

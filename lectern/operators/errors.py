@@ -64,8 +64,8 @@ def pair_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp",
                 normalized: bool = True, keep_marks: bool = False) -> DataFrame:
     """Per-pair statistics for the ASR report.
 
-    The normalised texts are projected first: the normaliser holds the one
-    Arrow UDF (NFKC), which may not sit inside the tokenisers' lambdas.
+    The normalised texts are projected first, so that each is made once for
+    all tokenisers that read it.
     """
     base = list(pairs.columns)
     sides = {"": (ref, hyp)}
@@ -81,30 +81,44 @@ def _rates(prefixes: list[str], digits: int | None) -> list[Column]:
     return [rate(F.sum(f"{p}_err"), F.sum(f"{p}_n"), digits).alias(p) for p in prefixes]
 
 
+def spread(pairs: DataFrame, columns: list[str], key: list[str] | None, partitions: int | None) -> DataFrame:
+    """The columns over an explicit number of tasks (default
+    ``spark.sql.shuffle.partitions``): pairs are small, but the distances are
+    quadratic in them, so the few tasks that AQE would leave do all the work.
+    With ``key``, the columns that tell pairs apart, Spark drops the step where a
+    join has placed them by these; without, rows are dealt in turn.
+    """
+    n = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keep = list(dict.fromkeys(columns))
+    if key is None:
+        return pairs.select(*keep).repartition(n)
+    return pairs.select(*dict.fromkeys([*key, *keep])).repartition(n, *key).select(*keep)
+
+
 def wer(pairs: DataFrame, by: list[str] | None = None, ref="ref", hyp="hyp",
-        digits: int | None = 2) -> DataFrame:
+        digits: int | None = 2, key: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """M1: corpus WER per group (micro-average; may exceed 100)."""
-    st = error_stats(valid_pairs(pairs, ref, hyp).select(*(by or []), ref, hyp), {"": (ref, hyp)}, ("wer",))
+    st = error_stats(spread(valid_pairs(pairs, ref, hyp), [*(by or []), ref, hyp], key, partitions), {"": (ref, hyp)}, ("wer",))
     return st.groupBy(*(by or [])).agg(*_rates(["wer"], digits))
 
 
 def cer(pairs: DataFrame, by: list[str] | None = None, ref="ref", hyp="hyp",
-        digits: int | None = 2) -> DataFrame:
+        digits: int | None = 2, key: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """M2: corpus CER per group (inner spaces count as characters)."""
-    st = error_stats(valid_pairs(pairs, ref, hyp).select(*(by or []), ref, hyp), {"": (ref, hyp)}, ("cer",))
+    st = error_stats(spread(valid_pairs(pairs, ref, hyp), [*(by or []), ref, hyp], key, partitions), {"": (ref, hyp)}, ("cer",))
     return st.groupBy(*(by or [])).agg(*_rates(["cer"], digits))
 
 
 def asr_report(pairs: DataFrame, by: list[str] | None = None, ref: str = "ref",
                hyp: str = "hyp", digits: int | None = 2,
-               keep_marks: bool = False) -> DataFrame:
+               keep_marks: bool = False, key: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """M3: WER, normalised WER, CER, normalised CER and pair count in one pass.
 
     Normalisation is the basic normaliser applied to both sides (the
     reference normalises references and predictions alike).
     """
     by = by or []
-    st = pair_errors(valid_pairs(pairs, ref, hyp).select(*by, ref, hyp), ref, hyp, True, keep_marks)
+    st = pair_errors(spread(valid_pairs(pairs, ref, hyp), [*by, ref, hyp], key, partitions), ref, hyp, True, keep_marks)
     return st.groupBy(*by).agg(
         *_rates(["wer", "norm_wer", "cer", "norm_cer"], digits),
         F.count(F.lit(1)).alias("n_pairs"),

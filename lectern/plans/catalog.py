@@ -31,6 +31,9 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_KEY = ["conv_id", "turn"]
+
+
 def _pairs(spark, sf):
     return AL.conversation_pairs(table(spark, sf, "conversations"))
 
@@ -82,24 +85,23 @@ SELECT {sel_by}{', '.join(rates)} FROM s {('GROUP BY ' + gb) if by else ''}
 
 @register("asr_report", _err_sql(["turn"], normalized=True, pairs_count=True))
 def q_asr_report(spark, sf):
-    return ER.asr_report(_pairs(spark, sf), by=["turn"])
+    return ER.asr_report(_pairs(spark, sf), by=["turn"], key=_KEY)
 
 
 @register("wer_corpus", _err_sql([], kinds=("wer",)))
 def q_wer_corpus(spark, sf):
-    return ER.wer(_pairs(spark, sf))
+    return ER.wer(_pairs(spark, sf), key=_KEY)
 
 
 @register("cer_by_turn", _err_sql(["turn"], kinds=("cer",)))
 def q_cer_by_turn(spark, sf):
-    return ER.cer(_pairs(spark, sf), by=["turn"])
+    return ER.cer(_pairs(spark, sf), by=["turn"], key=_KEY)
 
 
 # --------------------------------------------------------------------------
 # M4-M7, M11, P8/K1 - BLEU and chrF
 from ..operators import mt_metrics as MT  # noqa: E402
 
-_KEY = ["conv_id", "turn"]
 _PS = O.pair_stats_sql(O.CONVERSATION_PAIRS, _KEY)
 
 
@@ -534,7 +536,7 @@ FROM p, range(1, 4) t(j)"""
 @register("pair_report", _REPORT_SQL)
 def q_pair_report(spark, sf):
     pairs = _pairs(spark, sf)
-    rep = ER.asr_report(pairs)
+    rep = ER.asr_report(pairs, key=_KEY)
     return WR.report_lines(rep, pairs, ["conv_id", "turn"])
 
 

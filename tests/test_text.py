@@ -51,3 +51,21 @@ def test_prompt_and_char_spacing(spark):
     assert got[10] == "Translate to English: : a b"
     spaced = _one(spark, TX.char_spaced("s"))
     assert spaced[3] == " ".join("😀 x😀y") and spaced[5] == ""
+
+
+def test_nfkc_is_that_of_unicodedata_on_all_code_points(spark):
+    """Characters that this Python's tables don't know yet may be newer in ICU's."""
+    import unicodedata
+
+    points = [cp for cp in range(0x110000) if not 0xD800 <= cp <= 0xDFFF and unicodedata.category(chr(cp)) != "Cn"]
+    # each alone, and in front of and behind marks that may join with it
+    texts = [chr(cp) for cp in points] + [f"a{chr(cp)}̣́" for cp in points] + [f"{chr(cp)}̸゙" for cp in points]
+    df = spark.createDataFrame([(k, " ".join(texts[k:k + 500])) for k in range(0, len(texts), 500)], "k int, s string")
+    for r in df.select("k", "s", TX.nfkc("s").alias("n")).collect():
+        assert r.n == unicodedata.normalize("NFKC", r.s), r.k
+
+
+def test_nfkc_keeps_null_and_empty(spark):
+    df = spark.createDataFrame([(None,), ("",), ("ﬁ",)], "s string")
+    assert [r[0] for r in df.select(TX.nfkc("s")).collect()] == [None, "", "fi"]
+    assert [r[0] for r in df.select(TX.basic_normalize("s")).collect()] == [None, "", "fi"]

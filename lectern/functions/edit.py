@@ -9,12 +9,23 @@ The helpers work in staged projections.  Catalyst's CollapseProject inlines a
 producer that is referenced once, even when that one reference sits inside a
 lambda and is therefore evaluated per array element; every expensive
 intermediate here is referenced at least twice so it is computed once per row.
+
+Pairs of whole documents go another way (:func:`long_distance`): the word codes
+above are quadratic in distinct words, and ``levenshtein`` takes a step per cell.
+A bit-parallel distance takes a step per row, with a row's cells as bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Cells of the distance table (product of both lengths) from which a pair counts as long.
+LONG_CELLS = 1 << 18
 
 # first code point used for word ids; 0x10000 + 1,048,575 = U+10FFFF
 _BASE = 0xFFFF
@@ -53,3 +64,89 @@ def with_word_distances(df: DataFrame, specs: list[tuple[str, str, str]]) -> Dat
 def char_edit_distance(ref, hyp) -> Column:
     return F.levenshtein(F.col(ref) if isinstance(ref, str) else ref,
                          F.col(hyp) if isinstance(hyp, str) else hyp)
+
+
+def _bit_rows(pattern: Sequence) -> "callable":
+    """Symbol -> integer with a bit where the pattern has it.  Integers of the most
+    frequent symbols are kept, so many that all of them are linear in the
+    pattern; those of others are made of their places when asked for."""
+    places: dict = {}
+    for i, x in enumerate(pattern):
+        places.setdefault(x, []).append(i)
+    size = len(pattern) // 8 + 1
+
+    def bits(at: list[int]) -> int:
+        row = bytearray(size)
+        for i in at:
+            row[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(row, "little")
+
+    often = {x: bits(at) for x, at in places.items() if len(at) * 256 >= len(pattern)}
+
+    def row(x) -> int:
+        found = often.get(x)
+        return bits(places.get(x, ())) if found is None else found
+
+    return row
+
+
+def bit_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two sequences of hashable symbols in linear memory.
+
+    Bit-parallel: the differences down a column of the table are two integers, one
+    with the bits where the value rises by one and one where it falls, and each
+    symbol of the shorter sequence turns one column into the next by a few
+    operations on them.  Common ends are left out first."""
+    lo, end = 0, min(len(a), len(b))
+    while lo < end and a[lo] == b[lo]:
+        lo += 1
+    tail = 0
+    while tail < end - lo and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    a, b = a[lo:len(a) - tail], b[lo:len(b) - tail]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    m = len(a)
+    full, last = (1 << m) - 1, m - 1
+    row, rises, falls, distance = _bit_rows(a), full, 0, m
+    for x in b:
+        same = row(x)
+        vertical = same | falls
+        horizontal = (((same & rises) + rises) ^ rises) | same
+        up = falls | (full & ~(horizontal | rises))
+        down = rises & horizontal
+        distance += (up >> last & 1) - (down >> last & 1)
+        up = up << 1 | 1
+        falls = up & vertical & full
+        rises = (down << 1 | (full & ~(vertical | up))) & full
+    return distance
+
+
+@F.arrow_udf(T.IntegerType())
+def _long_words(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array([None if r is None or h is None else bit_distance(r, h) for r, h in zip(ref.to_pylist(), hyp.to_pylist())], pa.int32())
+
+
+@F.arrow_udf(T.IntegerType())
+def _long_chars(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array([None if r is None or h is None else bit_distance(r, h) for r, h in zip(ref.to_pylist(), hyp.to_pylist())], pa.int32())
+
+
+def with_any_distances(df: DataFrame, words: list[tuple[str, str, str]], texts: list[tuple[str, str, str]]) -> DataFrame:
+    """Add ``out = distance(ref_col, hyp_col)`` for word arrays and for texts, of any
+    length: pairs of ``LONG_CELLS`` and more by :func:`bit_distance`, all others in
+    the JVM.  Only the long ones reach Python."""
+    keep = [F.col(c) for c in df.columns]
+    routed = []
+    for specs, size in ((words, F.size), (texts, F.char_length)):
+        for r, h, o in specs:
+            long = size(F.col(r)).cast("long") * size(F.col(h)) >= LONG_CELLS
+            routed += [F.when(take, F.col(c)).alias(f"_{side}_{o}") for side, c, take in (
+                ("lr", r, long), ("lh", h, long), ("sr", r, ~long), ("sh", h, ~long))]
+    df = df.select(*keep, *routed)
+    df = with_word_distances(df, [(f"_sr_{o}", f"_sh_{o}", f"_s_{o}") for _, _, o in words])
+    df = df.select("*", *[char_edit_distance(f"_sr_{o}", f"_sh_{o}").alias(f"_s_{o}") for _, _, o in texts])
+    df = df.select("*", *[f(f"_lr_{o}", f"_lh_{o}").alias(f"_l_{o}") for f, specs in ((_long_words, words), (_long_chars, texts)) for _, _, o in specs])
+    return df.select(*keep, *[F.coalesce(f"_s_{o}", f"_l_{o}").alias(o) for _, _, o in [*words, *texts]])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edit import char_edit_distance, with_word_distances
+from ..functions.edit import char_edit_distance, with_any_distances, with_word_distances
 from ..functions.text import basic_normalize
 from ..functions.tokenize import cer_text, wer_words
 
@@ -35,21 +35,27 @@ def _stage_tokens(df: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame
 
 
 def error_stats(df: DataFrame, sides: dict[str, tuple[str, str]],
-                kinds: tuple[str, ...] = ("wer", "cer")) -> DataFrame:
+                kinds: tuple[str, ...] = ("wer", "cer"), long_pairs: bool = False) -> DataFrame:
     """Add ``{prefix}{kind}_err`` / ``{prefix}{kind}_n`` per side pair.
 
-    ``sides`` maps an output prefix to ``(ref column, hyp column)``.
+    ``sides`` maps an output prefix to ``(ref column, hyp column)``.  With
+    ``long_pairs`` texts may be whole documents: their distances take linear
+    memory and a step per symbol of the shorter side.
     """
     keep = list(df.columns)
     st = _stage_tokens(df, sides)
-    if "wer" in kinds:
+    if long_pairs:
+        st = with_any_distances(st, [(f"_{p}_rw", f"_{p}_hw", f"_{p}_wd") for p in sides if "wer" in kinds],
+                                [(f"_{p}_rc", f"_{p}_hc", f"_{p}_cd") for p in sides if "cer" in kinds])
+    elif "wer" in kinds:
         st = with_word_distances(st, [(f"_{p}_rw", f"_{p}_hw", f"_{p}_wd") for p in sides])
     out = [F.col(c) for c in keep]
     for p in sides:
         if "wer" in kinds:
             out += [F.col(f"_{p}_wd").alias(f"{p}wer_err"), F.size(f"_{p}_rw").alias(f"{p}wer_n")]
         if "cer" in kinds:
-            out += [char_edit_distance(f"_{p}_rc", f"_{p}_hc").alias(f"{p}cer_err"),
+            distance = F.col(f"_{p}_cd") if long_pairs else char_edit_distance(f"_{p}_rc", f"_{p}_hc")
+            out += [distance.alias(f"{p}cer_err"),
                     F.length(f"_{p}_rc").alias(f"{p}cer_n")]
     return st.select(*out)
 
@@ -61,7 +67,7 @@ def rate(errors: Column, total: Column, digits: int | None = 2) -> Column:
 
 
 def pair_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp",
-                normalized: bool = True, keep_marks: bool = False) -> DataFrame:
+                normalized: bool = True, keep_marks: bool = False, long_pairs: bool = False) -> DataFrame:
     """Per-pair statistics for the ASR report.
 
     The normalised texts are projected first, so that each is made once for
@@ -73,7 +79,7 @@ def pair_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp",
         pairs = pairs.select(*base, basic_normalize(ref, keep_marks).alias("_nref"),
                              basic_normalize(hyp, keep_marks).alias("_nhyp"))
         sides["norm_"] = ("_nref", "_nhyp")
-    st = error_stats(pairs, sides)
+    st = error_stats(pairs, sides, long_pairs=long_pairs)
     return st.drop("_nref", "_nhyp")
 
 
@@ -96,29 +102,33 @@ def spread(pairs: DataFrame, columns: list[str], key: list[str] | None, partitio
 
 
 def wer(pairs: DataFrame, by: list[str] | None = None, ref="ref", hyp="hyp",
-        digits: int | None = 2, key: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+        digits: int | None = 2, key: list[str] | None = None, partitions: int | None = None,
+        long_pairs: bool = False) -> DataFrame:
     """M1: corpus WER per group (micro-average; may exceed 100)."""
-    st = error_stats(spread(valid_pairs(pairs, ref, hyp), [*(by or []), ref, hyp], key, partitions), {"": (ref, hyp)}, ("wer",))
+    st = error_stats(spread(valid_pairs(pairs, ref, hyp), [*(by or []), ref, hyp], key, partitions), {"": (ref, hyp)}, ("wer",), long_pairs)
     return st.groupBy(*(by or [])).agg(*_rates(["wer"], digits))
 
 
 def cer(pairs: DataFrame, by: list[str] | None = None, ref="ref", hyp="hyp",
-        digits: int | None = 2, key: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+        digits: int | None = 2, key: list[str] | None = None, partitions: int | None = None,
+        long_pairs: bool = False) -> DataFrame:
     """M2: corpus CER per group (inner spaces count as characters)."""
-    st = error_stats(spread(valid_pairs(pairs, ref, hyp), [*(by or []), ref, hyp], key, partitions), {"": (ref, hyp)}, ("cer",))
+    st = error_stats(spread(valid_pairs(pairs, ref, hyp), [*(by or []), ref, hyp], key, partitions), {"": (ref, hyp)}, ("cer",), long_pairs)
     return st.groupBy(*(by or [])).agg(*_rates(["cer"], digits))
 
 
 def asr_report(pairs: DataFrame, by: list[str] | None = None, ref: str = "ref",
                hyp: str = "hyp", digits: int | None = 2,
-               keep_marks: bool = False, key: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+               keep_marks: bool = False, key: list[str] | None = None, partitions: int | None = None,
+               long_pairs: bool = False) -> DataFrame:
     """M3: WER, normalised WER, CER, normalised CER and pair count in one pass.
 
     Normalisation is the basic normaliser applied to both sides (the
-    reference normalises references and predictions alike).
+    reference normalises references and predictions alike).  ``long_pairs``
+    as in :func:`error_stats`.
     """
     by = by or []
-    st = pair_errors(spread(valid_pairs(pairs, ref, hyp), [*by, ref, hyp], key, partitions), ref, hyp, True, keep_marks)
+    st = pair_errors(spread(valid_pairs(pairs, ref, hyp), [*by, ref, hyp], key, partitions), ref, hyp, True, keep_marks, long_pairs)
     return st.groupBy(*by).agg(
         *_rates(["wer", "norm_wer", "cer", "norm_cer"], digits),
         F.count(F.lit(1)).alias("n_pairs"),

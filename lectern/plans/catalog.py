@@ -563,3 +563,11 @@ def q_doc_fold_scores(spark, sf):
     d = table(spark, sf, "documents")
     pairs = d.select("doc_id", "lang", TX.fold_punct("text").alias("hyp"), F.col("text").alias("ref"))
     return MT.corpus_scores(pairs, ["doc_id"], by=["lang"], digits=4)
+
+
+# No oracle SQL: distances of whole documents are quadratic there.
+@register("doc_error_rates_by_lang")
+def q_doc_error_rates(spark, sf):
+    d = table(spark, sf, "documents")
+    pairs = d.select("doc_id", "lang", F.col("text").alias("ref"), TX.clean_target("text").alias("hyp"))
+    return ER.asr_report(pairs, by=["lang"], key=["doc_id"], long_pairs=True)

@@ -1,6 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import edit
+from lectern.functions.edit import bit_distance
 from lectern.operators import errors as ER
 from tests.oracles import cer_text, lev, normalize, wer_words
 
@@ -54,3 +58,52 @@ def test_symmetric_numerator(pairs):
     a = {r.k: r.wer_err for r in ER.pair_errors(pairs, normalized=False).collect()}
     b = {r.k: r.wer_err for r in ER.pair_errors(swapped, normalized=False).collect()}
     assert a == b
+
+
+def test_bit_distance_of_random_sequences():
+    rng = random.Random(2)
+    for size, symbols in ((0, 1), (1, 2), (9, 3), (70, 4), (140, 60), (300, 5)):
+        for _ in range(60):
+            a, b = [[rng.randint(1, symbols) for _ in range(rng.randint(0, size))] for _ in range(2)]
+            if rng.random() < 0.3:  # few edits, long common ends
+                b = list(a)
+                for _ in range(min(len(b), 3)):
+                    b[rng.randrange(len(b))] = 0
+            assert bit_distance(a, b) == lev(a, b)
+    assert bit_distance("", "") == 0 and bit_distance("abc", "") == 3 and bit_distance("abc", "abc") == 0
+
+
+def test_long_pairs_equal_levenshtein(spark, monkeypatch):
+    """Both ways give the same numbers, and the long way takes what it should."""
+    rng = random.Random(3)
+    words = ["ẹ́", "gbọ́", "ni", "😀", "a", "bc"] + [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 900))), " ".join(rng.choices(words, k=rng.randint(0, 900)))) for k in range(24)]
+    rows += [(100, None, "a"), (101, "", ""), (102, rows[0][1], rows[0][1])]
+    df = spark.createDataFrame(rows, "k int, ref string, hyp string")
+    short = ER.pair_errors(df).orderBy("k").collect()
+    for cells in (1, 1 << 18, 1 << 40):
+        monkeypatch.setattr(edit, "LONG_CELLS", cells)
+        assert ER.pair_errors(df, long_pairs=True).orderBy("k").collect() == short
+    assert short[0].wer_err == lev(wer_words(rows[0][1]), wer_words(rows[0][2]))
+    assert ER.asr_report(df, long_pairs=True).collect() == ER.asr_report(df).collect()
+
+
+def test_twenty_thousand_words(spark):
+    """A planted number of edits between words that occur once each."""
+    a = [f"w{k}" for k in range(20_000)]
+    b = [x for k, x in enumerate(a) if k % 100] + ["new"] * 7
+    df = spark.createDataFrame([(" ".join(a), " ".join(b))], "ref string, hyp string")
+    r = ER.wer(df, long_pairs=True, digits=None).first()
+    assert r.wer == 100.0 * 207 / 20_000
+
+
+def test_linear_memory():
+    import tracemalloc
+
+    rng = random.Random(4)
+    a, b = [[rng.randrange(n) for _ in range(20_000)] for n in (20_000, 20_000)]
+    tracemalloc.start()
+    d = bit_distance(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 10_000 < d <= 20_000 and peak < 12 << 20  # the table would have 4e8 cells

@@ -3,106 +3,86 @@
 Per clip numpy inside ``mapInPandas``: Spark partitions the clips, Arrow moves
 them in batches, each task decodes its own files.  The output is a new
 dataset (the reference overwrote files in place).
+
+``on_error`` says what a clip does that can't be decoded (null or damaged bytes,
+another sample format): ``"fail"`` stops the job, ``"keep"`` leaves null results
+and the reason in ``error``, ``"drop"`` leaves the clip out.
 """
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TARGET_RATE = 16000
-
+from ..functions import wav
 
-def _decode(blob: bytes) -> tuple[np.ndarray, int]:
-    """PCM WAV bytes -> (mono float32 samples in [-1, 1), rate)."""
-    with wave.open(io.BytesIO(blob), "rb") as w:
-        ch, width, rate, n = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()
-        raw = w.readframes(n)
-    if width == 1:
-        x = (np.frombuffer(raw, dtype=np.uint8).astype(np.float32) - 128.0) / 128.0
-    elif width == 2:
-        x = np.frombuffer(raw, dtype="<i2").astype(np.float32) / 32768.0
-    elif width == 3:
-        b = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3)
-        v = (b[:, 0].astype(np.int32) | (b[:, 1].astype(np.int32) << 8) | (b[:, 2].astype(np.int32) << 16))
-        v = np.where(v >= 1 << 23, v - (1 << 24), v)
-        x = v.astype(np.float32) / float(1 << 23)
-    elif width == 4:
-        x = np.frombuffer(raw, dtype="<i4").astype(np.float32) / float(1 << 31)
-    else:
-        raise ValueError(f"unsupported sample width {width}")
-    if ch > 1:
-        x = x.reshape(-1, ch).mean(axis=1)
-    return x.astype(np.float32), rate
-
-
-def _resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    if rate == target or len(x) == 0:
-        return x
-    n_out = int(round(len(x) * target / rate))
-    t_out = np.arange(n_out, dtype=np.float64) * (rate / target)
-    return np.interp(t_out, np.arange(len(x), dtype=np.float64), x.astype(np.float64)).astype(np.float32)
-
-
-def _encode(x: np.ndarray, rate: int) -> bytes:
-    pcm = np.clip(np.round(x * 32767.0), -32768, 32767).astype("<i2")
-    buf = io.BytesIO()
-    with wave.open(buf, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes(pcm.tobytes())
-    return buf.getvalue()
-
-
-def decode_samples(df: DataFrame, content: str = "content", target_rate: int | None = TARGET_RATE) -> DataFrame:
-    """Decode (and resample) every clip: adds ``samples array<float>``,
-    ``sampling_rate int`` and ``n_samples int``; drops the raw bytes."""
-    keep = [f for f in df.schema.fields if f.name not in (content, "samples", "sampling_rate", "n_samples")]
-    schema = T.StructType(keep + [T.StructField("samples", T.ArrayType(T.FloatType())),
-                                  T.StructField("sampling_rate", T.IntegerType()),
-                                  T.StructField("n_samples", T.IntegerType())])
-    names = [f.name for f in keep]
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            samples, rates, ns = [], [], []
-            for blob in pdf[content]:
-                x, r = _decode(bytes(blob))
-                if target_rate:
-                    x, r = _resample(x, r, target_rate), target_rate
-                samples.append(x)
-                rates.append(r)
-                ns.append(len(x))
+TARGET_RATE = 16000
+ON_ERROR = ("fail", "keep", "drop")
+
+
+def _each_clip(df: DataFrame, content: str, keep: list[T.StructField], made: list[T.StructField],
+               clip: Callable[[bytes], tuple], on_error: str) -> DataFrame:
+    """The columns ``keep`` beside those that ``clip`` makes of each row's bytes."""
+    if on_error not in ON_ERROR:
+        raise ValueError(f"on_error must be one of {', '.join(ON_ERROR)}")
+    names, new = [f.name for f in keep], [f.name for f in made]
+    error = T.StructField("_clip_error", T.StringType())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for data in pdf[content]:
+                try:
+                    if data is None:
+                        raise ValueError("no bytes")
+                    rows.append((*clip(bytes(data)), None))
+                except Exception as e:  # noqa: BLE001 - recorded per clip below
+                    if on_error == "fail":
+                        raise
+                    rows.append((*[None] * len(new), f"{type(e).__name__}: {e}"))
             out = pdf[names].copy()
-            out["samples"] = samples
-            out["sampling_rate"] = rates
-            out["n_samples"] = ns
+            for name, values in zip([*new, error.name], zip(*rows) if rows else [()] * (len(new) + 1)):
+                out[name] = pd.Series(list(values), index=out.index, dtype=object)
             yield out
 
-    return df.mapInPandas(run, schema)
-
-
-def resample_audio(df: DataFrame, content: str = "content", rate: int = TARGET_RATE) -> DataFrame:
-    """Re-encode every clip at ``rate`` (PCM16 mono); clips already at the
-    rate are passed through unchanged, so the job is idempotent."""
-    schema = T.StructType([f for f in df.schema.fields])
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for blob in pdf[content]:
-                b = bytes(blob)
-                x, r = _decode(b)
-                out.append(b if r == rate else _encode(_resample(x, r, rate), rate))
-            pdf = pdf.copy()
-            pdf[content] = out
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+    out = df.mapInPandas(run, T.StructType([*keep, *made, error]))
+    if on_error == "keep":  # in place of an input column of that name
+        return out.withColumn("error", F.col(error.name)).drop(error.name)
+    return (out.where(F.col(error.name).isNull()) if on_error == "drop" else out).drop(error.name)
+
+
+def decode_samples(df: DataFrame, content: str = "content", target_rate: int | None = TARGET_RATE, on_error: str = "fail") -> DataFrame:
+    """Decode (and resample) every clip: adds ``samples array<float>`` (the mean of
+    all channels), ``sampling_rate int`` and ``n_samples int``; drops the raw
+    bytes.  A clip without samples has an empty array."""
+    made = [T.StructField("samples", T.ArrayType(T.FloatType())), T.StructField("sampling_rate", T.IntegerType()),
+            T.StructField("n_samples", T.IntegerType())]
+    keep = [f for f in df.schema.fields if f.name not in (content, *[m.name for m in made])]
+
+    def clip(data: bytes) -> tuple:
+        x, form = wav.decode(data)
+        x = x.mean(axis=1, keepdims=True)
+        x = wav.resample(x, form.rate, target_rate or form.rate)[:, 0]
+        return x.astype(np.float32), target_rate or form.rate, len(x)
+
+    return _each_clip(df, content, keep, made, clip, on_error)
+
+
+def resample_audio(df: DataFrame, content: str = "content", rate: int = TARGET_RATE, on_error: str = "fail") -> DataFrame:
+    """Every clip at ``rate``, with the channels and the sample format it has.
+    Clips already at the rate are passed through unchanged, so the job is
+    idempotent."""
+    def clip(data: bytes) -> tuple:
+        x, form = wav.decode(data)
+        return (data if form.rate == rate else wav.encode(wav.resample(x, form.rate, rate), replace(form, rate=rate)),)
+
+    order = df.columns
+    keep = [f for f in df.schema.fields if f.name != content]
+    out = _each_clip(df, content, keep, [T.StructField(content, T.BinaryType())], clip, on_error)
+    return out.select(*order, *[c for c in out.columns if c not in order])

@@ -26,10 +26,13 @@ def argmax_frames(logits) -> Column:
 
 
 def frames(flat, width: int) -> Column:
-    """Reshape a flat array into consecutive frames of ``width`` values."""
+    """Reshape a flat array into consecutive frames of ``width`` values; none of a
+    shorter array, null of null."""
     c = F.col(flat) if isinstance(flat, str) else flat
-    return F.transform(F.sequence(F.lit(0), (F.size(c) / width).cast("int") - 1),
-                       lambda f: F.slice(c, f * width + 1, width))
+    n = F.floor(F.size(c) / width).cast("int")
+    # a sequence can't be empty: it has one place too many then
+    places = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda f: f < n)
+    return F.when(c.isNotNull(), F.transform(places, lambda f: F.slice(c, f * width + 1, width)))
 
 
 def ctc_collapse(ids, pad: int, group: bool = True) -> Column:
@@ -72,13 +75,14 @@ def pad_batch(df: DataFrame, batch: str, col: str, fill: int = IGNORE_INDEX,
 
 def with_normalized_wave(df: DataFrame, samples: str, out: str = "input_values",
                          length: str = "input_length", eps: float = FEATURE_EPS) -> DataFrame:
-    """A6 as staged projections (the mean is computed once, not per sample)."""
+    """A6 as staged projections (the mean is computed once, not per sample).  A clip
+    without samples has an empty wave of length 0, null stays null."""
     c = F.col(samples)
     st = df.withColumn("_n", F.size(c)).withColumn(
-        "_mean", F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.col("_n"))
-    st = st.withColumn("_var", F.aggregate(
+        "_mean", F.try_divide(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double")), F.col("_n")))
+    st = st.withColumn("_var", F.try_divide(F.aggregate(
         c, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - F.col("_mean")) * (x.cast("double") - F.col("_mean"))
-    ) / F.col("_n"))
+    ), F.col("_n")))
     st = st.withColumn("_sd", F.sqrt(F.col("_var") + F.lit(eps)))
     norm = F.transform(c, lambda x: (x.cast("double") - F.col("_mean")) / F.col("_sd"))
     return st.withColumn(out, norm).withColumn(length, F.col("_n")).drop("_n", "_mean", "_var", "_sd")

@@ -2,18 +2,24 @@
 
 The manifest (rate, channels, bit depth, sample count, duration) is read by
 walking the chunks of each WAV file, wherever ``fmt `` and ``data`` stand.
-Listing selects ``path``/``length`` only, so
-Spark does not read file contents for it.
+Listing selects ``path``/``length`` only, so Spark does not read file contents
+for it; the tasks then read the chunks' headers by ranges of each file.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import wav
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -30,24 +36,56 @@ def list_audio(spark: SparkSession, root: str) -> DataFrame:
 _HEADER = "struct<sampling_rate:int,channels:int,bits:int,data_offset:bigint,n_samples:bigint,duration:double>"
 
 
+#: Bytes that one read of a file asks for: most files' headers at once.
+RANGE = 512
+#: Files that a task asks for at a time (a store answers slowly, but many at once).
+READERS = 16
+
+
+def _described(found: tuple | None) -> tuple | None:
+    if found is None:
+        return None
+    form, at, size = found
+    n = size // form.frame if form.frame else None
+    return form.rate, form.channels, form.bits, at, n, n / form.rate if n is not None and form.rate else None
+
+
 def walk_riff(content: bytes) -> tuple | None:
     """Rate, channels, bits, data offset, samples per channel and seconds of a WAV
     file, found chunk by chunk; None if it has no ``fmt `` or ``data`` chunk."""
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-        return None
-    at, fmt = 12, None
-    while at + 8 <= len(content):
-        tag, size = content[at:at + 4], int.from_bytes(content[at + 4:at + 8], "little")
-        if tag == b"fmt " and at + 24 <= len(content):
-            fmt = [int.from_bytes(content[at + o:at + o + n], "little") for o, n in ((12, 4), (10, 2), (22, 2))]
-        elif tag == b"data" and fmt:
-            rate, channels, bits = fmt
-            size = min(size, len(content) - at - 8)  # streams leave the size open
-            frame = channels * (bits // 8)
-            n = size // frame if frame else None
-            return rate, channels, bits, at + 8, n, n / rate if n is not None and rate else None
-        at += 8 + size + size % 2
-    return None
+    return _described(wav.walk(lambda at, n: content[at:at + n], len(content)))
+
+
+def ranged(read_at: Callable[[int, int], bytes], size: int = RANGE) -> Callable[[int, int], bytes]:
+    """``read(at, n)`` over ``read_at(at, n)`` that asks for ``size`` bytes at a time
+    and answers from those it has."""
+    start, held = 0, b""
+
+    def read(at: int, n: int) -> bytes:
+        nonlocal start, held
+        if not start <= at <= at + n <= start + len(held):
+            start, held = at, read_at(at, max(size, n))
+        return held[at - start:at - start + n]
+
+    return read
+
+
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and plain path of a path as ``binaryFile`` gives it (not URL-encoded)."""
+    local = re.match("^file:/+", path)
+    if local or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path[local.end():] if local else path
+    scheme, _, rest = path.partition("://")
+    host, _, inner = rest.partition("/")
+    system, base = fs.FileSystem.from_uri(f"{re.sub('^s3[an]$', 's3', scheme)}://{host}/")
+    return system, f"{base.rstrip('/')}/{inner}"
+
+
+def read_header(path: str, length: int) -> tuple | None:
+    """``walk_riff`` of a file, of which only the chunks' headers are read."""
+    system, inner = _open(path)
+    with system.open_input_file(inner) as f:
+        return _described(wav.walk(ranged(lambda at, n: f.read_at(max(min(n, length - at), 0), at)), length))
 
 
 def header_columns(content: Column) -> dict[str, Column]:
@@ -59,9 +97,31 @@ def header_columns(content: Column) -> dict[str, Column]:
     return {k: h[k] for k in ("sampling_rate", "channels", "bits", "data_offset", "n_samples", "duration")}
 
 
-def audio_manifest(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
+_MANIFEST = [("sampling_rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("data_offset", pa.int64()),
+             ("n_samples", pa.int64()), ("duration", pa.float64())]
+
+
+def _read_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    with ThreadPoolExecutor(READERS) as pool:
+        for batch in batches:
+            paths, lengths = (batch.column(k).to_pylist() for k in (0, 1))
+            found = list(pool.map(read_header, paths, lengths))
+            columns = [pa.array([f and f[k] for f in found], kind) for k, (_, kind) in enumerate(_MANIFEST)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns],
+                                             names=["path", "length", *[c for c, _ in _MANIFEST]])
+
+
+def audio_manifest(spark: SparkSession, root: str, with_content: bool = False, ranges: bool = True) -> DataFrame:
     """``path, length, sampling_rate, channels, bits, data_offset,
-    n_samples, duration`` per WAV file, and its bytes when asked for."""
+    n_samples, duration`` per WAV file, and its bytes when asked for.
+
+    Without the bytes a task reads ranges of each file, some hundred bytes of
+    it however long it is.  ``ranges=False`` is for stores that only Spark can
+    open: whole files are read then.
+    """
+    if ranges and not with_content:
+        return list_audio(spark, root).mapInArrow(_read_headers, "path string, length long, sampling_rate int, channels int, bits int, "
+                                                                 "data_offset long, n_samples long, duration double")
     df = _binary(spark, root)
     kept = ["path", "length"] + (["content"] if with_content else [])
     return df.select(*kept, *[c.alias(k) for k, c in header_columns(F.col("content")).items()])

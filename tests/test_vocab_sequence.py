@@ -74,3 +74,16 @@ def test_normalize_wave(spark):
     a = np.array(x, dtype=np.float64)
     exp = (a - a.mean()) / np.sqrt(a.var() + 1e-7)
     assert np.allclose(r.input_values, exp) and r.input_length == 4
+
+
+def test_frames_of_short_empty_and_null_arrays(spark):
+    df = spark.createDataFrame([(0, None), (1, []), (2, [1.0, 2.0, 3.0]), (3, [1.0, 5.0, 2.0, 3.0]), (4, [float(x) for x in range(11)])], "k int, a array<double>")
+    got = {r.k: r for r in df.select("k", SQ.frames("a", 4).alias("f"), SQ.argmax_frames(SQ.frames("a", 4)).alias("ids")).collect()}
+    assert got[0].f is None and got[1].f == got[2].f == [] and got[2].ids == []
+    assert got[3].f == [[1.0, 5.0, 2.0, 3.0]] and got[3].ids == [1] and got[4].ids == [3, 3]
+
+
+def test_normalized_wave_of_empty_and_null_clips(spark):
+    df = spark.createDataFrame([(0, None), (1, []), (2, [2.0])], "k int, a array<float>")
+    got = {r.k: r for r in SQ.with_normalized_wave(df, "a").collect()}
+    assert got[0].input_values is None and got[1].input_values == [] and got[1].input_length == 0 and got[2].input_values == [0.0]

@@ -140,7 +140,7 @@ def test_resampled_clips_keep_channels_and_width(spark):
     assert bytes(got[3].content) == clips[2][1]  # at the rate: passed through
     assert got[4].error == "ValueError: no bytes" and got[5].error == "ValueError: no WAV file" and got[1].error is None
     assert sorted(r.k for r in AU.resample_audio(df, on_error="drop").collect()) == [1, 2, 3, 6]
-    with pytest.raises(Exception, match="no bytes"):
+    with pytest.raises(Exception, match="no bytes|no WAV file"):
         AU.resample_audio(df).collect()
     again = AU.resample_audio(AU.resample_audio(df, on_error="drop").select("k", "content")).collect()
     assert {r.k: bytes(r.content) for r in again} == {k: bytes(r.content) for k, r in got.items() if r.content is not None}

@@ -80,7 +80,7 @@ def asr_eval(spark: SparkSession, root: str, make_model, out_dir: str, batch_siz
     ``split`` scores one split only and ``cap_n`` the first clips of it by path
     (L1).  ``logits`` is a vocabulary ``(token, id)`` and its pad id: the model
     then returns per frame one score per id, which are decoded by A3 and A4.
-    Rows lost to failed inference are reported in ``n_failed`` (F3).
+    Rows lost to failed decoding or inference are reported in ``n_failed`` (F3).
     """
     clips = SA.read_audio_folder(spark, root, with_content=True)
     if split is not None:
@@ -88,12 +88,16 @@ def asr_eval(spark: SparkSession, root: str, make_model, out_dir: str, batch_siz
     clips = FL.filter_scorable(clips, "transcription")
     if cap_n is not None:
         clips = FL.cap(clips, cap_n, ["path"])
-    audio = AU.decode_samples(clips).select("path", "transcription", "samples", "sampling_rate")
+    # a clip that can't be decoded has no samples, so it never meets the model
+    audio = AU.decode_samples(clips, on_error="keep").select(
+        "path", "transcription", "samples", "sampling_rate", F.col("error").alias("_decode_error"))
     scores = T.ArrayType(T.ArrayType(T.DoubleType())) if logits else T.StringType()
     hyp = IN.transcribe(audio, ["samples", "sampling_rate"], make_model, batch_size=batch_size, on_error="keep",
                         out_type=scores)
-    hyp = materialize(hyp.drop("samples"))
-    lost = IN.failure_counts(hyp).first()["n_failed"]  # one scalar of the checkpoint
+    hyp = hyp.withColumn("error", F.coalesce("_decode_error", "error")).drop("samples", "_decode_error")
+    hyp, seen = IN.observed_failures(hyp)  # counted while it is written
+    hyp = materialize(hyp)
+    lost = seen.get["n_failed"]
     hyp = hyp.where(F.col("error").isNull())
     if logits:
         vocab, pad = logits
@@ -110,7 +114,9 @@ def prepare_speech(spark: SparkSession, root: str, out_dir: str, min_s: float =
     """E3 (speech): manifest -> caps per split -> target cleaning -> vocabulary
     over all of these clips -> labels -> strict duration filter on the header
     (before any decode) -> decoded, resampled, normalised waveforms -> Parquet by
-    split.  ``caps`` keeps the first clips of a split by path (L1)."""
+    split.  ``caps`` keeps the first clips of a split by path (L1).  Clips that can't
+    be decoded are left out; the rows of each split, counted while they are
+    written, stand in ``counts`` (K5)."""
     clips = SA.read_audio_folder(spark, root)
     for name, n in (caps or {}).items():
         rest = clips.where(F.col("split") != name)
@@ -123,12 +129,15 @@ def prepare_speech(spark: SparkSession, root: str, out_dir: str, min_s: float =
     labelled = VB.encode_labels(kept, "target_text", vocab)
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
         .option("pathGlobFilter", "*.wav").load(root).select("path", "content")
-    audio = AU.decode_samples(labelled.select("path", "split", "labels").join(content, "path"))
+    audio = AU.decode_samples(labelled.select("path", "split", "labels").join(content, "path"), on_error="drop")
     prepared = SQ.with_normalized_wave(audio, "samples").drop("samples")
     # durations are re-checked on the resampled length, as the reference does
     prepared = FL.filter_duration(prepared.withColumn("n_samples", F.col("input_length")),
                                   min_s=min_s, max_s=max_s)
+    prepared, seen = FL.observed_split_counts(prepared, list(SA.SPLITS))
     prepared.write.mode("overwrite").partitionBy("split").parquet(os.path.join(out_dir, "prepared"))
+    counts = spark.createDataFrame(list(seen.get.items()), "split string, n_rows long")
+    counts.coalesce(1).write.mode("overwrite").json(os.path.join(out_dir, "counts"))
     return spark.read.parquet(os.path.join(out_dir, "prepared"))
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import filters as FL
 from lectern.operators import reshape as RS
@@ -69,3 +70,22 @@ def test_a_group_without_a_column_is_an_error(spark):
     assert RS.long_to_wide(df, ["k"], "g", [0], ["m"]).first()["0 m"] == "a"
     with pytest.raises(Exception, match="g has a value without a column: 9"):
         RS.long_to_wide(df, ["k"], "g", [0], ["m"], complete=True).collect()
+
+
+def test_large_cap_without_groups(spark, monkeypatch):
+    """The same rows as an ordered limit, and no task that gathers them."""
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 3).alias("g")).repartition(6)
+    monkeypatch.setattr(FL, "LIMIT_ROWS", 10)
+    for n in (11, 1234, 4999, 5000, 9000):
+        got = FL.cap(df, n, ["g", "k"])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.orderBy("g", "k").limit(n).collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Limit" not in plan and "TakeOrdered" not in plan and "SinglePartition" not in plan
+    assert FL.cap(df.limit(0), 100, ["k"]).count() == 0
+
+
+def test_splits_are_counted_while_written(spark, tmp_path):
+    df = spark.createDataFrame([("train",)] * 5 + [("test",)] * 2 + [(None,)], "split string")
+    rows, seen = FL.observed_split_counts(df, ["train", "validation", "test"])
+    rows.write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"train": 5, "validation": 0, "test": 2}

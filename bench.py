@@ -30,6 +30,7 @@ HEADLINE = [
     "infer_translate",
     "union_bitext",
     "cap_per_lang",
+    "doc_fold_scores_by_lang",
 ]
 
 

@@ -253,14 +253,16 @@ def q_char_spaced(spark, sf):
 
 # --------------------------------------------------------------------------
 # P1-P4, P8, U1 - reshape
-_TURNS = list(range(8))  # the turns that get a column; any other is an error
-_WIDE_SQL = ("SELECT conv_id, " + ", ".join(
-    f'max(CASE WHEN turn = {t} THEN text END) AS "t{t} text"' for t in _TURNS)
-    + " FROM conversations GROUP BY conv_id")
+_TURNS = list(range(8))  # a row of eight turns each: longer conversations have more rows
+_WIDE_SQL = ("SELECT conv_id, turn // 8 AS part, " + ", ".join(
+    f'max(CASE WHEN turn % 8 = {t} THEN text END) AS "t{t} text"' for t in _TURNS)
+    + " FROM conversations GROUP BY conv_id, turn // 8")
 
 
 def _wide(spark, sf):
-    return RS.long_to_wide(table(spark, sf, "conversations"), ["conv_id"], "turn", _TURNS,
+    turns = table(spark, sf, "conversations").select(
+        "conv_id", F.floor(F.col("turn") / 8).alias("part"), (F.col("turn") % 8).alias("turn"), "text")
+    return RS.long_to_wide(turns, ["conv_id", "part"], "turn", _TURNS,
                            ["text"], names={t: f"t{t}" for t in _TURNS}, complete=True)
 
 
@@ -275,10 +277,10 @@ _DIALECTS = [f"t{t} text" for t in _TURNS if t != 1]  # t1 is the pivot
 @register("unpivot_dialects", f"""
 WITH w AS ({_WIDE_SQL})
 """ + " UNION ALL ".join(
-    f"""SELECT conv_id, "{d}" AS src_txt, "t1 text" AS tgt_txt, '{d}' AS dialect,
+    f"""SELECT conv_id, part, "{d}" AS src_txt, "t1 text" AS tgt_txt, '{d}' AS dialect,
        'yor_Latn' AS src_lang, 'eng_Latn' AS tgt_lang FROM w""" for d in _DIALECTS))
 def q_unpivot(spark, sf):
-    long = RS.unpivot_dialects(_wide(spark, sf), _DIALECTS, pivot_lang="t1 text", ids=["conv_id"])
+    long = RS.unpivot_dialects(_wide(spark, sf), _DIALECTS, pivot_lang="t1 text", ids=["conv_id", "part"])
     return RS.tag_lang(long, joint=False)
 
 
@@ -300,22 +302,22 @@ def q_tag_lang(spark, sf):
 @register("unpivot_reverse", f"""
 WITH w AS ({_WIDE_SQL})
 """ + " UNION ALL ".join(
-    f"""SELECT conv_id, "t1 text" AS src_txt, "{d}" AS tgt_txt, '{d}' AS dialect FROM w"""
+    f"""SELECT conv_id, part, "t1 text" AS src_txt, "{d}" AS tgt_txt, '{d}' AS dialect FROM w"""
     for d in _DIALECTS))
 def q_unpivot_reverse(spark, sf):
     return RS.unpivot_dialects(_wide(spark, sf), _DIALECTS, pivot_lang="t1 text",
-                               reverse=True, ids=["conv_id"])
+                               reverse=True, ids=["conv_id", "part"])
 
 
 @register("union_bitext", f"""
 WITH w AS ({_WIDE_SQL}),
 l AS (""" + " UNION ALL ".join(
-    f"""SELECT conv_id, "{d}" AS src_txt, "t1 text" AS tgt_txt, '{d}' AS dialect FROM w"""
+    f"""SELECT conv_id, part, "{d}" AS src_txt, "t1 text" AS tgt_txt, '{d}' AS dialect FROM w"""
     for d in _DIALECTS) + """)
-SELECT conv_id, src_txt, tgt_txt, dialect FROM l
-UNION ALL SELECT NULL, text, CAST(item_id AS VARCHAR), NULL FROM benchmark""")
+SELECT conv_id, part, src_txt, tgt_txt, dialect FROM l
+UNION ALL SELECT NULL, NULL, text, CAST(item_id AS VARCHAR), NULL FROM benchmark""")
 def q_union_bitext(spark, sf):
-    long = RS.unpivot_dialects(_wide(spark, sf), _DIALECTS, pivot_lang="t1 text", ids=["conv_id"])
+    long = RS.unpivot_dialects(_wide(spark, sf), _DIALECTS, pivot_lang="t1 text", ids=["conv_id", "part"])
     b = table(spark, sf, "benchmark")
     # positional two-column bitext: first column is the target, second the source
     bitext = b.select(F.col("item_id").cast("string"), "text").toDF("tgt_txt", "src_txt")
@@ -556,9 +558,13 @@ _DOC_PAIRS_SQL = (f"SELECT doc_id, lang, translate(text, {O.q(TX.PUNCT_FROM)}, {
                   "text AS ref FROM documents")
 
 
-# No oracle SQL: DuckDB needs tens of minutes for chrF over whole documents
-# even at sf0.01; the statistics are tested against brute force in tests/.
-@register("doc_fold_scores_by_lang")
+_DOC_PS = O.pair_stats_sql(f"SELECT doc_id, hyp, ref FROM ({_DOC_PAIRS_SQL})", ["doc_id"], long=True)
+
+
+@register("doc_fold_scores_by_lang", f"""
+SELECT lang, {O.sentence_bleu_sql(agg=True)} AS bleu, {O.sentence_chrf_sql(agg=True)} AS chrf,
+       count(*) AS n_pairs, 0::BIGINT AS n_skipped
+FROM {_DOC_PS} s JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang""")
 def q_doc_fold_scores(spark, sf):
     d = table(spark, sf, "documents")
     pairs = d.select("doc_id", "lang", TX.fold_punct("text").alias("hyp"), F.col("text").alias("ref"))
@@ -571,3 +577,6 @@ def q_doc_error_rates(spark, sf):
     d = table(spark, sf, "documents")
     pairs = d.select("doc_id", "lang", F.col("text").alias("ref"), TX.clean_target("text").alias("hyp"))
     return ER.asr_report(pairs, by=["lang"], key=["doc_id"], long_pairs=True)
+
+
+from . import media  # noqa: E402,F401 - registers the queries over files

@@ -100,9 +100,11 @@ def chrf_chars(x: str) -> str:
 
 
 def ngram_stats_sql(src: str, key: list[str], units_h: str, units_r: str, order: int,
-                    sep: str, chrf: bool, prefix: str) -> str:
+                    sep: str, chrf: bool, prefix: str, long: bool = False) -> str:
     """SQL producing ``key, {prefix}hyp_len, {prefix}ref_len, {prefix}h1.., r.., m..``
-    from relation ``src`` whose ``units_h``/``units_r`` are token lists."""
+    from relation ``src`` whose ``units_h``/``units_r`` are token lists.  ``long``:
+    units become rows and n-grams are put together by ``lead``, which whole
+    documents need (a list slice for each n-gram takes tens of minutes there)."""
     k = ", ".join(key)
     on = " AND ".join(f"a.{c} = b.{c}" for c in key)
     grams = lambda side: (
@@ -119,6 +121,23 @@ def ngram_stats_sql(src: str, key: list[str], units_h: str, units_r: str, order:
         cols += [f"{h}::BIGINT AS {prefix}h{n}", f"{r}::BIGINT AS {prefix}r{n}",
                  f"coalesce(ms.m{n}, 0)::BIGINT AS {prefix}m{n}"]
     on2 = " AND ".join(f"u.{c} = ms.{c}" for c in key)
+    if long:
+        leads = ", ".join(f"lead(x, {j}) OVER w AS x{j}" for j in range(1, order))
+        gram = lambda n: f" || {q(sep)} || ".join(["x", *[f"x{j}" for j in range(1, n)]])
+        whole = lambda n: f"WHERE x{n - 1} IS NOT NULL" if n > 1 else ""
+        counted = " UNION ALL ".join(
+            f"SELECT {k}, {n} AS n, least(count(*) FILTER (s = 0), count(*) FILTER (s = 1)) AS m FROM g {whole(n)} GROUP BY {k}, {gram(n)}"
+            for n in range(1, order + 1))
+        return f"""(
+WITH u AS (SELECT {k}, {units_h} AS uh, {units_r} AS ur FROM {src}),
+x AS (SELECT {k}, 0 AS s, unnest(uh) AS x, generate_subscripts(uh, 1) AS i FROM u
+      UNION ALL SELECT {k}, 1, unnest(ur), generate_subscripts(ur, 1) FROM u),
+g AS (SELECT {k}, s, x, {leads} FROM x WINDOW w AS (PARTITION BY {k}, s ORDER BY i)),
+mm AS (SELECT {k}, n, sum(m) AS m FROM ({counted}) GROUP BY ALL),
+ms AS (SELECT {k}, {msum} FROM mm GROUP BY ALL)
+SELECT {', '.join('u.' + c for c in key)}, len(uh)::BIGINT AS {prefix}hyp_len,
+       len(ur)::BIGINT AS {prefix}ref_len, {', '.join(cols)}
+FROM u LEFT JOIN ms ON {on2})"""
     return f"""(
 WITH u AS (SELECT {k}, {units_h} AS uh, {units_r} AS ur FROM {src}),
 hg AS ({grams('uh')}),
@@ -162,11 +181,11 @@ def chrf_sql(h: list[str], r: list[str], m: list[str], digits: int | None = 4) -
     return f"round_even({s}, {digits})" if digits is not None else s
 
 
-def pair_stats_sql(pairs_sql: str, key: list[str]) -> str:
+def pair_stats_sql(pairs_sql: str, key: list[str], long: bool = False) -> str:
     """BLEU (b_*) and chrF (c_*) statistics per pair of ``pairs_sql``."""
     k = ", ".join(key)
-    b = ngram_stats_sql("pp", key, tokenize_13a("hyp"), tokenize_13a("ref"), 4, " ", False, "b_")
-    c = ngram_stats_sql("pp", key, chrf_chars("hyp"), chrf_chars("ref"), 6, "", True, "c_")
+    b = ngram_stats_sql("pp", key, tokenize_13a("hyp"), tokenize_13a("ref"), 4, " ", False, "b_", long)
+    c = ngram_stats_sql("pp", key, chrf_chars("hyp"), chrf_chars("ref"), 6, "", True, "c_", long)
     return f"""(WITH pp AS ({pairs_sql}),
 bs AS {b},
 cs AS {c}

@@ -3,9 +3,14 @@ scorecard / vocabulary objects are shaped into a single JSON line."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.audio import open_path
+
 REPORT_SEPARATOR = "-" * 54  # fixed: the pair report's dash line
 
 
@@ -71,3 +76,31 @@ def write_pair_report(report: DataFrame, pairs: DataFrame, path: str, order: lis
 def write_split_metrics(metrics: DataFrame, path: str) -> None:
     """K5: one JSON record per split."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_files(df: DataFrame, root: str, name: str = "name", content: str = "content") -> None:
+    """Each row's bytes as a file of its own below ``root`` (W2's new dataset as an
+    audio folder).  Names are relative and may hold folders; a null writes no
+    file.  A file is written under another name first and moved, so a task that
+    is run again leaves whole files."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        system, base = open_path(root)
+        made = set()
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if file is None or not data.is_valid:
+                    continue
+                path = f"{base.rstrip('/')}/{file}"
+                folder, _, last = path.rpartition("/")
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/.{last}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(data.as_buffer())
+                system.move(part, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    df.select(name, content).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()

@@ -70,7 +70,7 @@ def ranged(read_at: Callable[[int, int], bytes], size: int = RANGE) -> Callable[
     return read
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
     """File system and plain path of a path as ``binaryFile`` gives it (not URL-encoded)."""
     local = re.match("^file:/+", path)
     if local or "://" not in path:
@@ -83,7 +83,7 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 def read_header(path: str, length: int) -> tuple | None:
     """``walk_riff`` of a file, of which only the chunks' headers are read."""
-    system, inner = _open(path)
+    system, inner = open_path(path)
     with system.open_input_file(inner) as f:
         return _described(wav.walk(ranged(lambda at, n: f.read_at(max(min(n, length - at), 0), at)), length))
 

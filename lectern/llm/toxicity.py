@@ -17,7 +17,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -28,14 +30,14 @@ from lectern.llm.common import cut, utf8
 
 #: Labelled rows that are learned from, about; chosen by a hash of the id.
 MAX_LABELLED = 16_000
-#: Entries of the learned lexicon at most, the strongest ones.
-MAX_ENTRIES = 5_000
 #: Least evidence (a log-likelihood ratio, chi-squared scale) for an entry.
 LEAST_EVIDENCE = 25.0
 #: Of the rows learned from, one in so many calibrates only.
 CALIBRATE_ONE_IN = 5
-#: With fewer rows than this of either label the fixed lexicon alone scores.
-LEAST_ROWS = 5
+#: A step of the calibration is no surer than this and its complement.
+SURE = 1e-3
+#: Different odd raw words that a task remembers; beyond it starts anew.
+REMEMBERED = 200_000
 
 SEED_WORDS = frozenset(
     "idiot idiots moron morons stupid dumb dumbass loser losers scum trash garbage worthless pathetic disgusting clown "
@@ -50,6 +52,8 @@ _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W\d_]+")
 _LONG_RUN = re.compile(r"(.)\1{2,}")
+_BLANK_RUN = re.compile(r"([^\S\n])\1{2,}")
+_CAPITALS, _SIGNS, _SHOUTS, _DIGITS = (re.compile(p) for p in (r"\b[A-Z]{2,}\b", r"[^\w\s]", r"[!?]{2,}", r"\d"))
 
 FEATURES = ("learned density", "learned mean", "learned most", "learned hits", "learned kinds", "seed density", "seed hits",
             "second person", "close hits", "closest", "capitals", "capital words", "punctuation", "exclamations",
@@ -108,42 +112,169 @@ def keys(word: str) -> list[str]:
     return out
 
 
+#: Most raw words: small letters, the first one perhaps a capital, and perhaps a sign behind.
+_ORDINARY = r"^(\p{Lu}\p{Ll}+|\p{Ll}{2,})[.,;:]?$"
+_SPREAD, _SKIPPED = 4, 3  # kinds of raw words: a letter alone, signs alone
+#: What is known of a raw word: its kind, a number for its core, what the lexica say, and what it adds to the counts of a text.
+_KIND, _CORE, _WEIGHT, _SEED, _PERSON, _HIDDEN, _FIRST_COUNT = range(7)
+_WIDTH = _FIRST_COUNT + 8  # letters, capitals, capital words, signs, shouts, digits, long runs, length
+#: Characters of the texts that are taken apart together, about.
+_TOGETHER = 1 << 22
+
+
+class Reader:
+    """Features of texts under one lexicon.
+
+    Everything a raw word adds to them depends on that word alone, so the different
+    raw words of many texts are taken apart once: ordinary ones as Arrow columns,
+    others one by one, and remembered.  A text is then a list of their
+    numbers, and its features are sums and positions over arrays.  Only texts
+    with letters spread by spaces, where several raw words are one, are put
+    together anew."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+        kinds = {"word": {}, "head": {}, "tail": {}}  # a core has no sign at its ends, so a key's kind shows
+        for key, x in lexicon.items():
+            kind = "head" if key.endswith("-") else "tail" if key.startswith("-") else "word"
+            kinds[kind][key.strip("-") if kind != "word" else key] = x
+        self._sets = {k: (pa.array(list(d), pa.string()), np.array([*d.values(), 0.0])) for k, d in kinds.items()}
+        self._seeds, self._persons = (pa.array(sorted(w), pa.string()) for w in (SEED_WORDS, SECOND_PERSON))
+        self._odd: dict[str, tuple] = {}
+
+    def _weight(self, core: str) -> float:
+        return max([self.lexicon.get(k, 0.0) for k in keys(core)]) if core else 0.0
+
+    def _one(self, raw: str) -> tuple:
+        """An odd raw word: its core and its row."""
+        found = self._odd.get(raw)
+        if found is None:
+            words, hidden = tokens(raw)
+            core, odd = (words[0], hidden[0]) if words else ("", False)
+            kind = _SKIPPED if not words else _SPREAD if len(core) == 1 else 0
+            found = core, (kind, 0, self._weight(core), core in SEED_WORDS, core in SECOND_PERSON, odd, sum(map(str.isalpha, raw)),
+                           sum(map(str.isupper, raw)), len(_CAPITALS.findall(raw)), len(_SIGNS.findall(raw)), len(_SHOUTS.findall(raw)),
+                           len(_DIGITS.findall(raw)), len(_LONG_RUN.findall(raw)), len(raw))
+            if len(self._odd) >= REMEMBERED:
+                self._odd.clear()
+            self._odd[raw] = found
+        return found
+
+    def _looked_up(self, kind: str, column: pa.Array) -> np.ndarray:
+        values, weights = self._sets[kind]
+        at = pc.index_in(column, value_set=values).fill_null(len(values)).to_numpy(zero_copy_only=False)
+        return weights[at]
+
+    def _apart(self, raws: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Cores and rows of different raw words."""
+        table = np.zeros((len(raws), _WIDTH), np.float32)
+        # a dotted capital I is two characters in small letters; runs of a letter are shortened: both are odd
+        sizes = pc.utf8_length(raws).to_numpy(zero_copy_only=False)
+        cores = pc.utf8_lower(pc.utf8_rtrim(raws, characters=".,;:"))
+        length = pc.utf8_length(cores).to_numpy(zero_copy_only=False)
+        joined, ends = "\n".join(cores.to_pylist()), np.cumsum(length + 1)
+        runs = np.searchsorted(ends, [m.start() for m in _LONG_RUN.finditer(joined)], "right")
+        ordinary = np.array(pc.match_substring_regex(raws, _ORDINARY).to_numpy(zero_copy_only=False), bool)
+        ordinary[runs] = False
+        ordinary &= ~np.array(pc.match_substring(raws, "\u0130").to_numpy(zero_copy_only=False), bool)
+        weight = self._looked_up("word", cores)
+        for n in (4, 5):
+            longer = length > n
+            if longer.any():
+                head = self._looked_up("head", pc.utf8_slice_codeunits(cores, 0, n))
+                tail = self._looked_up("tail", pc.utf8_slice_codeunits(cores, -n))
+                weight = np.where(longer, np.maximum(weight, np.maximum(head, tail)), weight)
+        table[:, _WEIGHT] = weight
+        for column, words in ((_SEED, self._seeds), (_PERSON, self._persons)):
+            table[:, column] = pc.is_in(cores, value_set=words).to_numpy(zero_copy_only=False)
+        capital = ~pc.equal(pc.utf8_slice_codeunits(raws, 0, 1), pc.utf8_slice_codeunits(cores, 0, 1)).to_numpy(zero_copy_only=False)
+        for k, values in ((0, length), (1, capital), (3, sizes - length), (7, sizes)):
+            table[:, _FIRST_COUNT + k] = values
+        odd = np.flatnonzero(~ordinary)
+        if len(odd):
+            found = [self._one(r) for r in raws.take(pa.array(odd)).to_pylist()]
+            table[odd] = [row for _, row in found]
+            names = np.zeros(len(raws), bool)
+            names[odd] = True
+            cores = pc.replace_with_mask(cores, pa.array(names), pa.array([core for core, _ in found], pa.string()))
+        cores = cores.dictionary_encode()
+        table[:, _CORE] = cores.indices.to_numpy(zero_copy_only=False)
+        return cores.dictionary, table
+
+    def _read(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
+        """Each text with the rows of its raw words and the names of their cores."""
+        lo = 0
+        while lo < len(texts):
+            raws, ends, size, hi = [], [0], 0, lo
+            while hi < len(texts) and size < _TOGETHER:
+                raws += texts[hi].split()
+                ends.append(len(raws))
+                size += len(texts[hi])
+                hi += 1
+            encoded = pa.array(raws, pa.large_string()).cast(pa.string()).dictionary_encode()
+            cores, table = self._apart(encoded.dictionary)
+            known = table[encoded.indices.to_numpy(zero_copy_only=False)]
+            for k in range(lo, hi):
+                yield texts[k], known[ends[k - lo]:ends[k - lo + 1]], cores
+            lo = hi
+
+    @staticmethod
+    def _spread(known: np.ndarray) -> bool:
+        """Whether four letters or more stand alone one after another."""
+        kinds = known[:, _KIND]
+        if np.count_nonzero(kinds == _SPREAD) < 4:
+            return False
+        alone = kinds[kinds != _SKIPPED] == _SPREAD
+        return bool((alone[3:] & alone[2:-1] & alone[1:-2] & alone[:-3]).any())
+
+    def words(self, texts: list[str]) -> Iterator[set[str]]:
+        """The different words of each text, as ``tokens`` has them."""
+        for text, known, cores in self._read(texts):
+            if self._spread(known):
+                yield set(tokens(text)[0])
+            else:
+                used = np.unique(known[known[:, _KIND] != _SKIPPED, _CORE]).astype(np.int64)
+                yield set(cores.take(pa.array(used)).to_pylist())
+
+    def features(self, texts: list[str]) -> Iterator[list[float]]:
+        for text, known, _ in self._read(texts):
+            yield self._features(text, known)
+
+    def _features(self, text: str, known: np.ndarray) -> list[float]:
+        raws = len(known)
+        letters, upper, capital_words, signs, shouts, digits, runs, length = known[:, _FIRST_COUNT:].sum(0, dtype=float).tolist()
+        if len(text) - length - (raws - 1) >= 2:  # enough blanks for a run of them
+            runs += len(_BLANK_RUN.findall(text))
+        if self._spread(known):
+            words, odd = tokens(text)
+            core = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            known = np.array([(0, core[w], self._weight(w), w in SEED_WORDS, w in SECOND_PERSON, o) for w, o in zip(words, odd)], np.float32)
+        else:
+            known = known[known[:, _KIND] != _SKIPPED]
+        weights, seeds, hidden = known[:, _WEIGHT], known[:, _SEED] > 0, known[:, _HIDDEN] > 0
+        learned = weights > 0
+        marked, p = np.flatnonzero(learned | seeds), np.flatnonzero(known[:, _PERSON])
+        close, closest = 0, 50.0
+        if len(marked) and len(p):
+            at = np.searchsorted(p, marked)
+            gap = np.minimum(np.abs(p[np.minimum(at, len(p) - 1)] - marked), np.abs(p[np.maximum(at - 1, 0)] - marked))
+            close, closest = int((gap <= NEAR).sum()), float(min(gap.min(), 50))
+        n, size = max(len(known), 1), max(len(text), 1)
+        hits, seed_hits = int(learned.sum()), int(seeds.sum())
+        return [hits / n, float(weights.sum(dtype=float)) / n, float(weights.max()) if hits else 0.0, math.log1p(hits),
+                math.log1p(len(np.unique(known[learned, _CORE])) if hits else 0), seed_hits / n, math.log1p(seed_hits), len(p) / n, close / n, closest,
+                upper / max(letters, 1), capital_words / n, signs / size, shouts / n, int(hidden.sum()) / n, float(hidden[marked].sum()),
+                runs / size, digits / size, math.log1p(len(known))]
+
+
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    words, hidden = tokens(text)
-    n = max(len(words), 1)
-    memo: dict[str, float] = {}
-    weights = []
-    for w in words:
-        x = memo.get(w)
-        if x is None:
-            x = memo[w] = max([lexicon.get(k, 0.0) for k in keys(w)])
-        weights.append(x)
-    learned = [k for k, x in enumerate(weights) if x > 0]
-    seeds = [k for k, w in enumerate(words) if w in SEED_WORDS]
-    persons = [k for k, w in enumerate(words) if w in SECOND_PERSON]
-    marked = sorted({*learned, *seeds})
-    close, closest = 0, 50.0
-    if marked and persons:
-        p = np.asarray(persons)
-        m = np.asarray(marked)
-        at = np.searchsorted(p, m)
-        gap = np.minimum(np.abs(p[np.minimum(at, len(p) - 1)] - m), np.abs(p[np.maximum(at - 1, 0)] - m))
-        close, closest = int((gap <= NEAR).sum()), float(min(gap.min(), 50))
-    letters = sum(map(str.isalpha, text)) if not text.isascii() else len(re.findall(r"[A-Za-z]", text))
-    upper = len(re.findall(r"[A-Z]", text)) if text.isascii() else sum(map(str.isupper, text))
-    size = max(len(text), 1)
-    total = sum(weights[k] for k in learned)
-    return [len(learned) / n, total / n, max((weights[k] for k in learned), default=0.0), math.log1p(len(learned)),
-            math.log1p(len({words[k] for k in learned})), len(seeds) / n, math.log1p(len(seeds)), len(persons) / n, close / n, closest,
-            upper / max(letters, 1), len(re.findall(r"\b[A-Z]{2,}\b", text)) / n, len(re.findall(r"[^\w\s]", text)) / size,
-            len(re.findall(r"[!?]{2,}", text)) / n, sum(hidden) / n, float(sum(hidden[k] for k in marked)),
-            len(_LONG_RUN.findall(text)) / size, len(re.findall(r"\d", text)) / size, math.log1p(len(words))]
+    return next(Reader(lexicon).features([text]))
 
 
 @dataclass
 class ToxicityModel:
-    """``lexicon`` (bounded by ``MAX_ENTRIES``) and the fitted parts; without
-    trees the fixed lexicon alone scores."""
+    """``lexicon`` (of the bounded sample of labelled rows) and the fitted parts;
+    without trees, where one of the labels has no row, the fixed lexicon scores."""
 
     lexicon: dict[str, float] = field(default_factory=dict)
     trees: GBTClassificationModel | None = None
@@ -170,12 +301,13 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
         "id", (F.col("label") > 0).cast("double").alias("label"), (fold == 0).alias("calibrates"), "data")
 
 
-def _learn_lexicon(rows: DataFrame, most: int, evidence: float) -> dict[str, float]:
+def _learn_lexicon(rows: DataFrame, evidence: float) -> dict[str, float]:
     """Words and word ends that stand in far more texts of label 1: their log
     odds, smoothed.  Each task counts its own texts first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        reader = Reader({})
 
         def out():
             names = list({*seen[True], *seen[False]})
@@ -187,8 +319,8 @@ def _learn_lexicon(rows: DataFrame, most: int, evidence: float) -> dict[str, flo
             return batch
 
         for batch in batches:
-            for label, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(tokens(data.decode("utf-8", "replace"))[0])
+            texts = [d.decode("utf-8", "replace") for d in batch.column(1).to_pylist()]
+            for label, words in zip(batch.column(0).to_pylist(), reader.words(texts)):
                 seen[label > 0].update({k for w in words for k in keys(w)})
                 if len(seen[True]) + len(seen[False]) > 400_000:
                     yield out()
@@ -208,49 +340,61 @@ def _learn_lexicon(rows: DataFrame, most: int, evidence: float) -> dict[str, flo
 
     strong = counts.where((F.col("a") >= 3) & (F.col("a") / ones > 3 * (F.col("b") / zeros))).withColumn(
         "evidence", 2 * (part(F.col("a"), rate) + part(F.col("b"), 1 - rate))).where(F.col("evidence") >= evidence)
-    top = strong.orderBy(F.desc("evidence"), "key").limit(most)
     return {r["key"]: math.log((r["a"] + 0.5) / (ones + 1)) - math.log((r["b"] + 0.5) / (zeros + 1))
-            for r in top.collect()}
+            for r in strong.orderBy("key").collect()}
 
 
 def _feature_column(lexicon: dict[str, float]):
     @F.pandas_udf("array<double>")
-    def run(data):
-        import pandas as pd
-
-        return pd.Series([features(d.decode("utf-8", "replace"), lexicon) for d in data])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(lexicon)
+        for data in parts:
+            yield pd.Series(list(reader.features([d.decode("utf-8", "replace") for d in data])))
 
     return run
 
 
+def _calibrated(rows: DataFrame) -> IsotonicRegressionModel:
+    """Isotonic regression of ``label`` on ``p`` whose steps became slopes: each step
+    stands for its middle, the ends lead towards 0 and 1, and scores between are
+    interpolated, so that texts of one step are still told apart."""
+    steps = IsotonicRegression(featuresCol="p", labelCol="label").fit(rows)
+    at, value = np.asarray(steps.boundaries), np.asarray(steps.predictions)
+    knots = [(float(at[value == v].mean()), float(min(max(v, SURE), 1 - SURE))) for v in np.unique(value)]
+    ends = [(0.0, knots[0][1] / 2), (1.0, (1 + knots[-1][1]) / 2)]
+    inner = [k for k in knots if 0 < k[0] < 1]
+    line = rows.sparkSession.createDataFrame([ends[0], *inner, ends[1]], "p double, label double")
+    return IsotonicRegression(featuresCol="p", labelCol="label").fit(line)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_labelled: int = MAX_LABELLED, max_entries: int = MAX_ENTRIES, evidence: float = LEAST_EVIDENCE,
+        max_labelled: int = MAX_LABELLED, evidence: float = LEAST_EVIDENCE,
         iterations: int = 16, depth: int = 3, seed: int = 7) -> ToxicityModel:
     """Learn from about ``max_labelled`` rows that ``labels`` marks and that are
     not held out.  Null labels are left out; an id labelled twice counts as 1 if
-    either is.  With too few rows of a label there are no trees."""
+    either is.  Where a label has no row there are no trees."""
     rows = cut(_labelled(docs, labels, id_col, text_col, label_col, max_labelled))
-    lexicon = _learn_lexicon(rows.where("not calibrates"), max_entries, evidence)
+    lexicon = _learn_lexicon(rows.where("not calibrates"), evidence)
     table = cut(rows.select("label", "calibrates", _feature_column(lexicon)("data").alias("x"))
-                .select("label", "calibrates", array_to_vector("x").alias("x")).coalesce(4))
+                .select("label", "calibrates", array_to_vector("x").alias("x"))).coalesce(4)  # small now, and read by every tree
     n = {(r["label"], r["calibrates"]): r["count"] for r in table.groupBy("label", "calibrates").count().collect()}
-    if min(n.get((y, False), 0) for y in (0.0, 1.0)) < LEAST_ROWS:
+    if not all(n.get((y, False)) for y in (0.0, 1.0)):
         return ToxicityModel(lexicon)
     trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=iterations, maxDepth=depth, seed=seed, maxBins=64,
                           stepSize=0.2, cacheNodeIds=False).fit(table.where("not calibrates"))
-    if min(n.get((y, True), 0) for y in (0.0, 1.0)) < LEAST_ROWS:
+    if not all(n.get((y, True)) for y in (0.0, 1.0)):
         return ToxicityModel(lexicon, trees)
     raw = trees.transform(table.where("calibrates")).select("label", vector_to_array("probability")[1].alias("p"))
-    calibration = IsotonicRegression(featuresCol="p", labelCol="label").fit(cut(raw))
-    return ToxicityModel(lexicon, trees, calibration)
+    return ToxicityModel(lexicon, trees, _calibrated(cut(raw)))
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``row`` (the input row, whatever its columns are named) and ``score`` for
     every row.
 
-    Null and empty texts score as texts without words.  Null ids, repeated rows
-    and empty tables need nothing special: rows are scored one by one.
+    Null and empty texts score as texts without words, texts of any length by all
+    of their words.  Null ids, repeated rows and empty tables need nothing
+    special: rows are scored one by one.
     """
     base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
                      _feature_column(model.lexicon)(utf8(F.col(f"`{text_col}`"))).alias("f"))

@@ -38,6 +38,8 @@ from lectern.session import checkpoint_dir
 
 MASK_DELTA = 0xA282EAD8
 END_ID = 1
+#: Leading bytes of a text that split rows of one id between shards.
+LEAD = 24
 _MANIFEST = "shard int, path string, records long, tokens long, bytes long"
 
 
@@ -78,12 +80,15 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
     """Encode every whole text and write it in ascending id order; returns the
     manifest, one row per shard in order.
 
-    Null texts count as empty and give the end id alone.  Rows without an id
-    come first, rows that repeat an id stand together in text order.  An empty
+    Null texts count as empty and give the end id alone, texts of any length are
+    one record.  Rows without an id come first; rows that repeat an id stand
+    together, by their leading bytes, and may go on in the next shard.  An empty
     table gives an empty manifest; other columns are not read.
     """
     n = shards or shuffle_partitions(df.sparkSession)
-    rows = pairs(df, id_col, text_col).repartitionByRange(n, "id").sortWithinPartitions("id", "data")
+    # a repeated id is spread by its rows' leading bytes, and by their places where these are alike
+    rows = (pairs(df, id_col, text_col).withColumn("seq", F.monotonically_increasing_id())
+            .repartitionByRange(n, "id", F.substring("data", 1, LEAD), "seq").sortWithinPartitions("id", "data", "seq").drop("seq"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

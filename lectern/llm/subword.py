@@ -143,8 +143,9 @@ class LibraryEncoder:
             return []
         texts = pa.array([d.decode("utf-8", "replace") for d in datas], pa.string())
         if self.spaces_dropped:
-            # a sign at a word's end is a pre-token of its own
-            texts = pc.replace_substring_regex(texts, pattern=r"(\pL)([.,])(\s|$)", replacement=r"\1 \2\3")
+            # a sign at a word's end is a pre-token of its own, but not behind the
+            # dotted capital I: its small form ends in a mark, which keeps the sign
+            texts = pc.replace_substring_regex(texts, pattern=r"([^\PL\x{130}])([.,])(\s|$)", replacement=r"\1 \2\3")
             lists = pc.ascii_split_whitespace(texts)
             begin, ids = self._lookup(lists.flatten(), self.chunks)
             at = begin[np.asarray(lists.offsets)].tolist()

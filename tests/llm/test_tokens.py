@@ -15,7 +15,7 @@ from lectern.llm.queries import tokenizer_path
 from lectern.llm.subword import AlignedNormalizer, LibraryEncoder, PieceEncoder
 
 WORD, BYTE, PIECE = (tokenizer_path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
-ODD = st.text(st.sampled_from("aAbz09 '\t\n.é ▁\u00a0\u2003\u0301ß\x1c\x85日😀<|>s"), max_size=60)
+ODD = st.text(st.sampled_from("aAbz09 '\t\n.é ▁\u00a0\u2003\u0301ß\x1c\x85日😀<|>sİ.,Σ"), max_size=60)
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,19 @@ def test_control_characters_encode_as_whole_texts(coders, path, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == want
 
 
+SIGNS = st.lists(st.sampled_from(["İ", "İ.", "İ,", "aİ.", "i\u0307.", "I.", "ı,", "ǅ.", "ΑΣ.", "ß,", "é.", "e\u0301.", ".", ",", "ẞ.", "ŉ.", "ﬁ,", "x."]), max_size=6)
+
+
+@given(SIGNS)
+@settings(max_examples=300, deadline=None)
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_signs_behind_odd_letters_encode_as_whole_texts(coders, path, words):
+    own, whole = coders[path]
+    texts = [" ".join(words), "".join(words), "İ.", "İ, x. İ.", "x"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == want
+
+
 PIECES = PieceEncoder(PIECE, remembered=50)
 
 
@@ -129,6 +142,20 @@ def test_files_of_odd_rows(spark, coders, tmp_path, rows):
     files_match(docs(spark, rows), rows, coders, tmp_path, shards=5)
 
 
+def test_starts_behind_a_dotted_capital_i(spark, coders, tmp_path):
+    rows = [(1, "İ. and İ, or İ"), (2, "next"), (3, "İ."), (4, "last, word.")]
+    files_match(docs(spark, rows), rows, coders, tmp_path, shards=2)
+
+
+def test_a_repeated_id_goes_over_several_shards(spark, coders, tmp_path):
+    """Rows without an id, and rows of one id with one text, aren't left to one shard."""
+    rows = [(None, f"text {k:05}") for k in range(600)] + [(5, "same")] * 600 + [(k, "x") for k in range(6, 30)]
+    df = docs(spark, rows).repartition(4)
+    files_match(df, rows, coders, tmp_path, shards=8)
+    per_shard = [r["records"] for r in records.write_shards(df, f"file://{tmp_path}/again", WORD, shards=8).collect()]
+    assert sum(per_shard) == len(rows) and max(per_shard) < 400
+
+
 def test_wide_ids_and_missing_keys_survive():
     for key, ids in ((None, [1, 70_000]), (-3, [65_535, 0]), (7, [])):
         raw = np.asarray(ids, "<u4").tobytes()
@@ -221,4 +248,3 @@ def test_closing_leaves_one_window_open(sizes):
 
 def test_checksums_are_of_the_ids(spark):
     assert zlib.crc32(struct.pack("<2I", 5, 0)) == spark.range(1).selectExpr("crc32(X'0500000000000000') as c").first()["c"]
-    assert pa.__version__

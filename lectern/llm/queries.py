@@ -72,11 +72,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
-    header = F.col("header")
-    refers = F.regexp_extract(warc.field(header, "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
+    header, kind = F.col("header"), warc.field(F.col("header"), "WARC-Type")
+    # a response's payload is cut from its rebuilt record; a revisit has the response's
+    payload = F.when(kind == "revisit", F.col("payload")).otherwise(warc.body_of(F.col("record"), header))
     return warc.read_archive(spark, folder).select(
-        F.col("id").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"),
-        warc.field(header, "WARC-Type").alias("record_type"), F.when(refers != "", refers).cast("long").alias("refers_to"))
+        F.col("id").alias("page_id"), F.length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"),
+        kind.alias("record_type"), warc.page_of(warc.field(header, "WARC-Refers-To")).alias("refers_to"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

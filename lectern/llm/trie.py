@@ -47,10 +47,11 @@ def numbered_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     """``id, pos`` (from 1)``, turn_key`` (16 bytes that name role and text)``, words``
     of every row with an id, in the order of ``turns.turn_order``."""
     rows = turn_columns(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, turn_col, role_col, text_col)
-    narrow = rows.select(
+    # written once: sampling the order would take every text apart twice
+    narrow = cut(rows.select(
         "id", "turn", "role", F.substring("text", 1, 24).alias("lead"), F.xxhash64("text").alias("hash"), "seq",
         F.unhex(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")))).alias("turn_key"),
-        F.regexp_count("text", F.lit(_WORD)).cast("long").alias("words"), F.lit(1).cast("long").alias("pos"))
+        F.regexp_count("text", F.lit(_WORD)).cast("long").alias("words"), F.lit(1).cast("long").alias("pos")))
     order = ["id", "turn", "role", "lead", "hash", "seq"]
     placed = cut(sort_by_range(narrow, *order).select("id", "turn_key", "words", "pos", "part"))
     return running(placed, "id", ["pos"]).select("id", "pos", "turn_key", "words")

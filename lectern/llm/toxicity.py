@@ -119,7 +119,7 @@ _SPREAD, _SKIPPED = 4, 3  # kinds of raw words: a letter alone, signs alone
 _KIND, _CORE, _WEIGHT, _SEED, _PERSON, _HIDDEN, _FIRST_COUNT = range(7)
 _WIDTH = _FIRST_COUNT + 8  # letters, capitals, capital words, signs, shouts, digits, long runs, length
 #: Characters of the texts that are taken apart together, about.
-_TOGETHER = 1 << 22
+_TOGETHER = 1 << 21
 
 
 class Reader:

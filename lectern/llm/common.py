@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from lectern.session import materialize
 
 
+#: Keys of 16 bytes that may be sent to every task.
+BROADCAST_ROWS = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,15 +47,31 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
-def keep_rows(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The whole rows of ``df`` that ``kept(id, raw)`` names, one each: of rows
-    with the same id and text the first in no set order."""
+def without_losers(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The whole rows of ``df`` that ``found(id, raw, kept)`` keeps, one of each id
+    and text: of rows with both alike the first in no set order.  ``found`` has a
+    row for every row of ``df``.
+
+    Texts stay where they are: only what goes, and what stands there more than
+    once, is looked up, by a broadcast of at most ``BROADCAST_ROWS`` keys and by a
+    shuffle where there are more.
+    """
+    marks = cut(found.groupBy(F.col("id").alias("m_id"), F.col("raw").alias("m_raw"))
+                .agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
+    n, repeated = marks.agg(F.count("*"), F.count_if("stays")).first()
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
                      F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text_col).alias("raw"))
-    k = kept.select(F.col("id").alias("k_id"), F.col("raw").alias("k_raw"))
+    same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("raw") == F.col("m_raw"))
+
+    def side(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if n <= BROADCAST_ROWS else keys
+
+    single = rows.join(side(marks), same, "left_anti").select("row.*")
+    if not repeated:
+        return single
     one = Window.partitionBy("id", "raw").orderBy("id")
-    return (rows.join(k, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("raw") == F.col("k_raw")), "left_semi")
-            .withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*"))
+    several = rows.join(side(marks.where("stays")), same, "left_semi").withColumn("nth", F.row_number().over(one))
+    return single.unionByName(several.where("nth = 1").select("row.*"))
 
 
 def cut(df: DataFrame) -> DataFrame:

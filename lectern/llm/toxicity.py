@@ -34,8 +34,10 @@ MAX_LABELLED = 16_000
 LEAST_EVIDENCE = 25.0
 #: Of the rows learned from, one in so many calibrates only.
 CALIBRATE_ONE_IN = 5
-#: A step of the calibration is no surer than this and its complement.
+#: A step of the calibration is no surer than this, or than 1 less this.
 SURE = 1e-3
+#: How far a step of the calibration rises towards the next one.
+RISE = 0.05
 #: Different odd raw words that a task remembers; beyond it starts anew.
 REMEMBERED = 200_000
 
@@ -355,15 +357,18 @@ def _feature_column(lexicon: dict[str, float]):
 
 
 def _calibrated(rows: DataFrame) -> IsotonicRegressionModel:
-    """Isotonic regression of ``label`` on ``p`` whose steps became slopes: each step
-    stands for its middle, the ends lead towards 0 and 1, and scores between are
-    interpolated, so that texts of one step are still told apart."""
+    """Isotonic regression of ``label`` on ``p`` whose steps rise a little: from a
+    step's value at its begin by ``RISE`` of the way to the next one's at its end,
+    so that texts of one step are still told apart."""
     steps = IsotonicRegression(featuresCol="p", labelCol="label").fit(rows)
-    at, value = np.asarray(steps.boundaries), np.asarray(steps.predictions)
-    knots = [(float(at[value == v].mean()), float(min(max(v, SURE), 1 - SURE))) for v in np.unique(value)]
-    ends = [(0.0, knots[0][1] / 2), (1.0, (1 + knots[-1][1]) / 2)]
-    inner = [k for k in knots if 0 < k[0] < 1]
-    line = rows.sparkSession.createDataFrame([ends[0], *inner, ends[1]], "p double, label double")
+    at, value = np.asarray(steps.boundaries), np.clip(steps.predictions, SURE, 1 - SURE)
+    levels = [*np.unique(value).tolist(), 1.0]
+    knots = {0.0: levels[0] * (1 - RISE)}
+    for v, above in zip(levels, levels[1:]):
+        begin, end = float(at[value == v].min()), float(at[value == v].max())
+        knots |= {begin: v, max(end, begin + 1e-9): v + RISE * (above - v)}
+    knots[1.0] = levels[-2] + RISE * (1 - levels[-2])
+    line = rows.sparkSession.createDataFrame(sorted(knots.items()), "p double, label double")
     return IsotonicRegression(featuresCol="p", labelCol="label").fit(line)
 
 

@@ -1,9 +1,16 @@
+import re
 import sys
+import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
+import test_simhash
+import test_suffixes
 from helpers import TEXTS, docs
 
+from lectern.llm import common, exact, toxicity
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 
@@ -48,3 +55,79 @@ def test_run_returns_all_pieces(spark):
 
 def test_five_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "simhash near-dedup", "suffix-array dedup", "packing"]
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_one_row_of_an_id_and_text_stays(spark, monkeypatch, most):
+    """By broadcast and by shuffle; null ids, repeats, and an id with two texts."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "n"), (None, "n"), (2, "a"), (3, None), (4, ""), (5, "z")]
+    df = docs(spark, rows)
+    kept = {(1, "a"), (None, "n"), (3, None), (5, "z")}
+    found = spark.createDataFrame([(i, t, (i, t) in kept) for i, t in rows], "id long, text string, kept boolean").select(
+        "id", common.text_key("text").alias("raw"), "kept")
+    got = [(r["doc_id"], r["text"]) for r in common.without_losers(df, found).collect()]
+    assert sorted(got, key=str) == sorted(kept, key=str)
+    assert common.without_losers(df.limit(0), found.limit(0)).collect() == []
+
+
+def test_exact_groups_keep_one_of_repeated_rows(spark):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (None, "b"), (None, "b")]
+    df = docs(spark, rows)
+    got = common.without_losers(df, exact.equal_groups(df)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == [(1, "a"), (None, "b")]
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark):
+    sf = "/root/testdata/sf0.1"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, documents, sf).select("doc_id").collect()}
+    labels = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    new = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]  # nothing was learned from these
+    toxic, clean = ([i for i, y in new if y == t] for t in (1, 0))
+    assert sum(i not in kept for i in toxic) >= 0.9 * len(toxic) > 0
+    assert sum(i in kept for i in clean) >= 0.97 * len(clean) > 0
+
+
+def test_run_equals_brute_force(spark):
+    """The kept documents, their cut texts and all ids, stage by stage in plain Python
+    behind the fitted scores."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(documents, toxicity.fit(documents, labels)).select("row.doc_id", "row.text", "score").collect()
+    rows = [(r["doc_id"], r["text"]) for r in scored if r["score"] < 0.5]
+    assert 0 < len(rows) <= len(scored)
+    groups = {}
+    for i, t in sorted(rows):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", t), (i, t))
+    rows = sorted(groups.values())
+    rows = [(i, t) for (i, t), (_, _, least) in zip(rows, sorted(test_simhash.brute_groups(rows))) if i == least]
+    cut = {i: (size, begins, ends) for i, size, begins, ends, _ in test_suffixes.brute(rows)}
+    tok = Tokenizer.from_file(corpus_pipeline.tokenizer_path("byte_bpe_50k.json"))
+    want = {}
+    for i, t in rows:
+        data, keep = t.encode(), bytearray(b"\1" * len(t.encode()))
+        for lo, hi in zip(cut[i][1], cut[i][2]):
+            # a character that is cut in part stays whole
+            while lo < hi and data[lo] & 0xC0 == 0x80:
+                lo += 1
+            while hi > lo and hi < len(data) and data[hi] & 0xC0 == 0x80:
+                hi -= 1
+            keep[lo:hi] = b"\0" * (hi - lo)
+        left = bytes(c for c, k in zip(data, keep) if k).decode()
+        want[i] = np.asarray(tok.encode(left, add_special_tokens=False).ids + [0], "<u4")
+    pieces, windows = {}, {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(pieces) == set(want)
+    for i, found in pieces.items():
+        at = 0
+        for start, length, crc, total in sorted(found):
+            assert start == at and total == len(want[i]) and crc == zlib.crc32(want[i][start:start + length].tobytes()), i
+            at += length
+        assert at == len(want[i])
+    for ps in windows.values():
+        assert sum(n for _, n in ps) <= 1024 and [o for o, _ in sorted(ps)] == np.cumsum([0, *[n for _, n in sorted(ps)]])[:-1].tolist()

@@ -4,6 +4,9 @@ Each stage calls one operator of ``lectern.llm`` on all rows that the stage
 before kept.  ``run`` writes every stage's result as Parquet to the shared
 folder and reads it again, so a stage is never computed twice and a lost
 executor costs tasks of one stage only.
+
+Every stage takes null ids and texts, texts of any length, repeated rows and
+further columns as its operator does; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import exact, packing, simhash, suffixes, toxicity
-from lectern.llm.common import keep_rows, table, utf8
+from lectern.llm.common import table, utf8, without_losers
 from lectern.llm.queries import tokenizer_path
 from lectern.session import checkpoint_dir
 
@@ -31,13 +34,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with the same words and blanks: that with the
     smallest id, and one row of it."""
-    return keep_rows(docs, exact.equal_groups(docs).where("kept"))
+    return without_losers(docs, exact.equal_groups(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id, and
     one row of it."""
-    return keep_rows(docs, simhash.near_groups(docs).where("kept"))
+    return without_losers(docs, simhash.near_groups(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

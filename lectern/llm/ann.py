@@ -24,24 +24,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, shuffle_partitions
 
 K = 5
 SHARD_ROWS = 8192
 DEGREE = 28
 BEAM_BUILD = 56
-BEAM_QUERY = 72
+BEAM_QUERY = 112
 ALPHA = 1.2
 #: Queries that travel together to a shard.
 QUERY_BLOCK = 1024
+#: Points that a search begins at.
+ENTRIES = 96
 #: Points that are inserted together at most.
 INSERT = 512
 #: 1 - cosine up to which a vector belongs to a leader's group.
 GROUP = 1e-3
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """Beam search for all rows of ``q`` at once among the first ``n`` points.
+def entries(n: int, start: int) -> np.ndarray:
+    """Points that searches of a graph of ``n`` points begin at, the first ones that
+    were inserted: the central point, and others from all over, so that no search
+    has to find its way out of one wide cluster."""
+    order = np.random.default_rng(n).permutation(n)
+    return np.concatenate(([start], order[order != start]))
+
+
+def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Beam search for all rows of ``q`` at once among the first ``n`` points, from
+    ``starts`` on.
 
     Returns the beams' ids (-1: none) and distances in order, and for each step
     the ids that were expanded (-1: none).  Distances are 1 - cosine; rows of
@@ -50,9 +61,12 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, wid
     ids = np.full((b, width), -1, np.int32)
     dist = np.full((b, width), np.inf, np.float32)
     open_ = np.zeros((b, width), bool)
-    ids[:, 0], dist[:, 0], open_[:, 0] = start, 1 - q @ x[start], True
+    first = 1 - q @ x[starts].T
+    order = np.argsort(first, 1, kind="stable")[:, :width]
+    m = order.shape[1]
+    ids[:, :m], dist[:, :m], open_[:, :m] = starts[order], np.take_along_axis(first, order, 1), True
     seen = np.zeros((b, n), bool)
-    seen[:, start] = True
+    seen[:, starts] = True
     trail, rows = [], np.arange(b)
     while True:
         d = np.where(open_, dist, np.inf)
@@ -111,13 +125,12 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BEAM_BUILD, al
     graph = np.full((n, degree), -1, np.int32)
     mean = x.mean(0)
     start = int(np.argmax(x @ mean))
-    order = np.random.default_rng(n).permutation(n)
-    order = order[order != start]
-    at, size = 0, 1
+    order = entries(n, start)
+    at, size = 1, 1
     while at < len(order):
         batch = order[at:at + size].astype(np.int32)
+        _, _, trail = beam_search(x, graph, order[:min(at, ENTRIES)], x[batch], width, n)
         at, size = at + len(batch), min(size * 2, INSERT)
-        _, _, trail = beam_search(x, graph, start, x[batch], width, n)
         beam = np.stack(trail, 1)
         for lo in range(0, len(batch), 256):
             part = slice(lo, lo + 256)
@@ -278,33 +291,48 @@ def _stored(data: bytes, n: int, dim: int) -> np.ndarray:
     return np.frombuffer(data, f"<f{len(data) // (n * dim)}").reshape(n, dim)
 
 
+class _Shard:
+    """A row of the index, ready to be searched."""
+
+    def __init__(self, row: dict, degree: int):
+        vec = _stored(row["vectors"], row["n"], row["dim"])
+        self.graph = np.frombuffer(row["graph"], "<i4").reshape(-1, degree)
+        self.groups = Groups(vec, np.frombuffer(row["lead"], "<i4"))
+        self.counts = np.frombuffer(row["counts"], "<i4")
+        self.ids, self.ends = np.frombuffer(row["ids"], "<i8"), np.cumsum(self.counts)
+        self.unit = _unit(vec[self.groups.heads])
+        self.starts = entries(len(self.unit), row["start"])[:ENTRIES]
+
+    def nearest(self, q_ids: np.ndarray, q: np.ndarray, k: int, width: int) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(q), 256):
+            part = q[lo:lo + 256]
+            beam, _, _ = beam_search(self.unit, self.graph, self.starts, _unit(part), width, len(self.unit))
+            out_q, out_v, out_s = [], [], []
+            # k + 1 vectors hold the k nearest rows even if one is the query's own
+            for b, top in enumerate(self.groups.best(part, beam, k + 1)):
+                for c, score in zip(*top):
+                    for i in self.ids[self.ends[c] - self.counts[c]:self.ends[c]]:
+                        if i != q_ids[lo + b]:
+                            out_q.append(q_ids[lo + b])
+                            out_v.append(i)
+                            out_s.append(score)
+            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())],
+                                             names=["query_id", "vec_id", "score"])
+
+
 def _search(k: int, width: int, degree: int):
+    """Rows of shards, each followed by the blocks of queries that ask it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, where = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                dim, n = row["dim"], row["n"]
-                vec = _stored(row["vectors"], n, dim)
-                graph = np.frombuffer(row["graph"], "<i4").reshape(-1, degree)
-                groups = Groups(vec, np.frombuffer(row["lead"], "<i4"))
-                counts = np.frombuffer(row["counts"], "<i4")
-                ids, ends = np.frombuffer(row["ids"], "<i8"), np.cumsum(counts)
-                q_ids = np.frombuffer(row["q_ids"], "<i8")
-                q = _stored(row["q_vectors"], len(q_ids), dim)
-                unit = _unit(vec[groups.heads])
-                for lo in range(0, len(q), 256):
-                    part = q[lo:lo + 256]
-                    beam, _, _ = beam_search(unit, graph, row["start"], _unit(part), width, len(unit))
-                    out_q, out_v, out_s = [], [], []
-                    # k + 1 vectors hold the k nearest rows even if one is the query's own
-                    for b, top in enumerate(groups.best(part, beam, k + 1)):
-                        for c, score in zip(*top):
-                            for i in ids[ends[c] - counts[c]:ends[c]]:
-                                if i != q_ids[lo + b]:
-                                    out_q.append(q_ids[lo + b])
-                                    out_v.append(i)
-                                    out_s.append(score)
-                    yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())],
-                                                     names=["query_id", "vec_id", "score"])
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
+                at = row["dim"], row["shard"], row["deal"]
+                if row["block"] < 0:
+                    shard, where = _Shard(row, degree), at
+                elif at == where:  # queries of a length that no shard has find nothing
+                    q_ids = np.frombuffer(row["q_ids"], "<i8")
+                    yield from shard.nearest(q_ids, _stored(row["q_vectors"], len(q_ids), row["dim"]), k, width)
 
     return run
 
@@ -351,10 +379,15 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id
                          "q_vectors": pa.array([vec.tobytes()], pa.binary())})
 
     blocks = max(1, math.ceil(ask.count() / QUERY_BLOCK))
+    # Queries go to the shards.  A shard is there once, or, where there are fewer
+    # shards than tasks, as often as it takes to have something for every task.
+    deals = min(blocks, math.ceil(shuffle_partitions(df.sparkSession) / shards))
     asked = (ask.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "vector")
              .groupBy("dim", "block").applyInArrow(block, "dim int, block int, q_ids binary, q_vectors binary")
-             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    found = (index.join(asked, ["dim", "shard"]).repartition(shards * blocks, "dim", "shard", "block")
+             .withColumn("deal", F.col("block") % deals).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+    held = index.withColumn("block", F.lit(-1)).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    place = ["dim", "shard", "deal"]
+    found = (held.unionByName(asked, allowMissingColumns=True).repartition(shards * deals, *place).sortWithinPartitions(*place, "block")
              .mapInArrow(_search(k, max(beam, k + 1), degree), "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

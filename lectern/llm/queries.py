@@ -91,7 +91,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        # the byte span in the text that each id stands for, as begin:end
+        F.sha2(F.array_join(F.zip_with("begins", "ends", lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string"))), " ").cast("binary"), 256)
+        .alias("spans_sha256"))
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 """Encoding, files of records, packing: all against the tokenizer libraries on whole texts."""
 
 import struct
@@ -10,7 +11,7 @@ from helpers import TEXTS, docs, table_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm import packing, pieces, records
+from lectern.llm import packing, pieces, queries, records
 from lectern.llm.queries import tokenizer_path
 from lectern.llm.subword import AlignedNormalizer, LibraryEncoder, PieceEncoder
 
@@ -248,3 +249,22 @@ def test_closing_leaves_one_window_open(sizes):
 
 def test_checksums_are_of_the_ids(spark):
     assert zlib.crc32(struct.pack("<2I", 5, 0)) == spark.range(1).selectExpr("crc32(X'0500000000000000') as c").first()["c"]
+
+
+def test_spans_of_the_query_cover_the_texts(spark):
+    """The query's spans are those of the aligned encoding: in order, within the text,
+    and every character that is no blank lies in one."""
+    sf = "/root/testdata/sf0.001"
+    df, rows = table_rows(spark)
+    found = {r["id"]: r for r in pieces.encode_decode(df, PIECE).collect()}
+    got = {r["doc_id"]: r["spans_sha256"] for r in queries.op10_sentencepiece(spark, sf).collect()}
+    for i, text in rows:
+        data, r = (text or "").encode(), found[i]
+        spans = list(zip(r["begins"], r["ends"]))
+        assert got[i] == hashlib.sha256(" ".join(f"{a}:{b}" for a, b in spans).encode()).hexdigest()
+        assert spans[-1] == (len(data), len(data)) and all(0 <= a <= b <= len(data) for a, b in spans)
+        assert r["begins"] == sorted(r["begins"])
+        held = bytearray(len(data))
+        for a, b in spans:
+            held[a:b] = b"\1" * (b - a)
+        assert not any(c > 32 and not h for c, h in zip(data, held))

@@ -1,6 +1,6 @@
-import hashlib
 """Encoding, files of records, packing: all against the tokenizer libraries on whole texts."""
 
+import hashlib
 import struct
 import zlib
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +39,7 @@ SURE = 1e-3
 #: How far a step of the calibration rises towards the next one.
 RISE = 0.05
 #: Different odd raw words that a task remembers; beyond it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 30_000
 
 SEED_WORDS = frozenset(
     "idiot idiots moron morons stupid dumb dumbass loser losers scum trash garbage worthless pathetic disgusting clown "
@@ -121,7 +121,7 @@ _SPREAD, _SKIPPED = 4, 3  # kinds of raw words: a letter alone, signs alone
 _KIND, _CORE, _WEIGHT, _SEED, _PERSON, _HIDDEN, _FIRST_COUNT = range(7)
 _WIDTH = _FIRST_COUNT + 8  # letters, capitals, capital words, signs, shouts, digits, long runs, length
 #: Characters of the texts that are taken apart together, about.
-_TOGETHER = 1 << 21
+_TOGETHER = 1 << 19
 
 
 class Reader:
@@ -269,6 +269,19 @@ class Reader:
                 runs / size, digits / size, math.log1p(len(known))]
 
 
+def _few(datas: Iterable[bytes]) -> Iterator[list[str]]:
+    """Texts in lists that are taken apart together; memory goes back behind each."""
+    texts, size = [], 0
+    for d in datas:
+        texts.append(d.decode("utf-8", "replace"))
+        size += len(d)
+        if size >= _TOGETHER:
+            yield texts
+            texts, size = [], 0
+            pa.default_memory_pool().release_unused()
+    yield texts
+
+
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
     return next(Reader(lexicon).features([text]))
 
@@ -321,8 +334,8 @@ def _learn_lexicon(rows: DataFrame, evidence: float) -> dict[str, float]:
             return batch
 
         for batch in batches:
-            texts = [d.decode("utf-8", "replace") for d in batch.column(1).to_pylist()]
-            for label, words in zip(batch.column(0).to_pylist(), reader.words(texts)):
+            known = (w for texts in _few(d.as_py() for d in batch.column(1)) for w in reader.words(texts))
+            for label, words in zip(batch.column(0).to_pylist(), known):
                 seen[label > 0].update({k for w in words for k in keys(w)})
                 if len(seen[True]) + len(seen[False]) > 400_000:
                     yield out()
@@ -351,7 +364,7 @@ def _feature_column(lexicon: dict[str, float]):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader(lexicon)
         for data in parts:
-            yield pd.Series(list(reader.features([d.decode("utf-8", "replace") for d in data])))
+            yield pd.Series([x for texts in _few(data) for x in reader.features(texts)])
 
     return run
 

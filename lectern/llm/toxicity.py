@@ -17,7 +17,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -360,11 +359,12 @@ def _learn_lexicon(rows: DataFrame, evidence: float) -> dict[str, float]:
 
 
 def _feature_column(lexicon: dict[str, float]):
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(lexicon)
         for data in parts:
-            yield pd.Series([x for texts in _few(data) for x in reader.features(texts)])
+            rows = np.array([x for texts in _few(d.as_py() for d in data) for x in reader.features(texts)], float)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(data) + 1) * len(FEATURES), pa.int32()), pa.array(rows.reshape(-1)))
 
     return run
 

@@ -171,12 +171,95 @@ NOTICES = (
 )
 
 
+#: Clauses and notices in each licence's own words; fixed values: (label, keyword, tier, confidence, pattern)
+WORDINGS = (
+    ("apache", "perpetual", 0, 0.9, "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache", "prominent", 0, 0.9, "you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache", "contributor", 0, 0.9, "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache", "apache", 0, 0.8, "this product includes software developed (?:by|at) the apache software foundation"),
+    ("mit", "substantial", 0, 0.9, "this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "sublicense", 0, 0.9, "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("x11", "consortium", 0, 0.9, "the name of the x consortium shall not be used in advertising or otherwise"),
+    ("hpnd", "suitability", 0, 0.8, "makes no representations about the suitability of this software for any purpose"),
+    ("hpnd", "supporting", 0, 0.8, "copyright notice and this permission notice appear in supporting documentation"),
+    ("bsd", "retain", 0, 0.9, "redistributions of source code must retain the above copyright notice this list of conditions"),
+    ("bsd", "redistributions", 0, 0.9, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "exemplary", 0, 0.7, "be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd-3-clause-clear", "patent", 0, 0.9, "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-4-clause", "berkeley", 0, 0.9, "this product includes software developed by the university of california berkeley"),
+    ("zlib", "altered", 0, 0.9, "altered source versions must be plainly marked as such"),
+    ("zlib", "arising", 0, 0.8, "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("gpl", "hope", 0, 0.8, "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "received", 0, 0.8, "you should have received a copy of the gnu general public license along with this"),
+    ("gpl", "copyleft", 0, 0.9, "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl", "freedom", 0, 0.8, "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gnu", "verbatim", 1, 0.5, "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("lgpl", "received", 0, 0.8, "you should have received a copy of the gnu (?:lesser|library) general public license along with this"),
+    ("lgpl", "supplemented", 0, 0.9, "version 3 of the gnu general public license supplemented by the additional permissions"),
+    ("agpl", "remotely", 0, 0.9, "must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", "invariant", 0, 0.9, "with no invariant sections no front cover texts and no back cover texts"),
+    ("classpath-exception", "statically", 0, 0.9, "linking this library statically or dynamically with other modules is making a combined work"),
+    ("gcc-exception", "propagate", 0, 0.9, "you have permission to propagate a work of target code formed by combining the runtime library"),
+    ("autoconf-exception", "autoconf", 0, 0.8, "contains a configuration script generated by autoconf"),
+    ("mpl", "mpl", 0, 0.9, "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl", "incompatible", 0, 0.9, "this source code form is incompatible with secondary licenses"),
+    ("cddl", "opensolaris", 0, 0.8, "you can obtain a copy of the license at usr src opensolaris license"),
+    ("epl", "recipient", 0, 0.8, "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("bsl", "processor", 0, 0.9, "machine executable object code generated by a source language processor"),
+    ("ms-pl", "accept", 0, 0.8, "if you use the software you accept this license if you do not accept the license do not use the software"),
+    ("artistic", "verbatim", 0, 0.9, "you may make and give away verbatim copies of the source form of the standard version of this package"),
+    ("beerware", "beer", 0, 0.9, "if we meet some day and you think this stuff is worth it you can buy (?:me|us) a beer in return"),
+    ("json", "evil", 0, 0.9, "the software shall be used for good not evil"),
+    ("ssleay", "cryptographic", 0, 0.9, "this product includes cryptographic software written by eric young"),
+    ("libpng", "png", 0, 0.8, "the png reference library is supplied as is"),
+    ("libtiff", "sell", 0, 0.8, "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("ijg", "jpeg", 0, 0.9, "based in part on the work of the independent jpeg group"),
+    ("freetype", "freetype", 0, 0.9, "portions of this software are copyright(?: c)?(?: \\d{4})* the freetype project"),
+    ("unicode", "unicode", 0, 0.9, "any person obtaining a copy of the unicode data files and any associated documentation"),
+    ("ncsa", "deal", 0, 0.7, "to deal with the software without restriction"),
+    ("w3c", "viewable", 0, 0.9, "the full text of this notice in a location viewable to users of the redistributed or derivative work"),
+    ("python", "beopen", 0, 0.9, "beopen is making the software available to licensee"),
+    ("python", "cnri", 0, 0.9, "cnri is making python(?: \\d+)* available to licensee"),
+    ("ofl", "font", 0, 0.9, "no modified version of the font software may use the reserved font name"),
+    ("ofl", "bundled", 0, 0.9, "original or modified versions of the font software may be bundled redistributed and or sold with any software"),
+    ("cc0", "waiving", 0, 0.9, "by waiving all of (?:his or her|their) rights to the work worldwide under copyright law"),
+    ("cc-by", "credit", 1, 0.8, "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "remix", 1, 0.9, "if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("cc-by-nd", "remix", 1, 0.9, "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-nc", "commercial", 1, 0.8, "you may not use the material for commercial purposes"),
+    ("odbl", "database", 0, 0.9, "this (?:[a-z]+ )?database is made available under the open database licen[cs]e"),
+    ("pddl", "dedication", 0, 0.9, "made available under the public domain dedication and licen[cs]e"),
+    ("ogl", "sector", 0, 0.9, "contains public sector information licensed under the open government licen[cs]e"),
+    ("elastic", "hosted", 0, 0.9, "you may not provide the software to third parties as a hosted or managed service"),
+    ("sspl", "functionality", 0, 0.9, "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("busl", "production", 0, 0.9, "create derivative works redistribute and make non production use of the licensed work"),
+    ("commons-clause", "sell", 0, 0.9, "the license does not grant to you the right to sell the software"),
+    ("polyform", "polyform", 2, 0.8, "polyform (?:noncommercial|small business|shield|strict|perimeter|free trial|internal use) license"),
+    ("rail", "derivatives", 0, 0.8, "you agree not to use the model or derivatives of the model"),
+    ("gemma", "gemma", 1, 0.8, "gemma is provided under and subject to the gemma terms of use"),
+    ("cecill", "abiding", 0, 0.9, "under french law and abiding by the rules of distribution of free software"),
+    ("mulan-psl", "mulan", 0, 0.9, "you can use this software according to the terms and conditions of the mulan psl"),
+    ("postgresql", "paragraphs", 0, 0.9, "the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
+    ("php", "php", 0, 0.9, "products derived from this software may not be called php"),
+    ("vim", "charityware", 0, 0.8, "vim is charityware"),
+    ("info-zip", "individuals", 0, 0.9, "info zip is defined as the following set of individuals"),
+    ("unlicense", "jurisdictions", 0, 0.9, "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest"),
+    ("public-domain", "claimed", 1, 0.7, "no copyright is claimed"),
+    ("us-government-work", "government", 1, 0.7, "is a work of the (?:united states|u s) government"),
+    ("proprietary", "disassemble", 1, 0.7, "may not (?:copy modify )?reverse engineer decompile or disassemble"),
+    ("proprietary", "unauthorized", 1, 0.7, "unauthorized (?:copying|reproduction|use|duplication|distribution) of this (?:file|software|document|material)"),
+    ("proprietary", "secrets", 1, 0.6, "contains (?:trade secrets|proprietary information and trade secrets)"),
+    ("proprietary", "evaluation", 2, 0.5, "for evaluation (?:use|purposes) only"),
+    ("proprietary", "user", 2, 0.5, "end user licen[cs]e agreement"),
+)
+
+
 def rules() -> list[dict]:
     """All rules in order; ``base`` marks the phrases that are always counted."""
     out = [{"label": label, "keyword": max(phrase.split(), key=len), "tier": 2, "score": 0.6, "base": True, "pattern": phrase}
            for phrase, label in BASE]
     out += [{"label": label, "keyword": kw, "tier": tier, "score": score, "base": False, "pattern": p}
-            for label, kw, tier, score, p in NOTICES]
+            for label, kw, tier, score, p in NOTICES + WORDINGS]
     out += [{"label": label, "keyword": kw, "tier": tier, "score": score, "base": False, "pattern": form.replace("{name}", name)}
             for tier, score, form in _FORMS for label, kw, name in FAMILIES]
     out += [{"label": label, "keyword": word, "tier": 2, "score": 0.75, "base": False, "pattern": before + word + "(?: \\d+)*(?: or later| only)?"}

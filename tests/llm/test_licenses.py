@@ -114,3 +114,20 @@ def test_declarations_in_their_common_forms(spark):
     for k, (text, label) in enumerate(DECLARED):
         assert label in got[k], (text, got[k])
     assert not got[99]
+
+
+def test_wordings_are_found_by_their_own_rule(spark):
+    import re._parser as parser
+
+    own = {(label, p): r["id"] for r, _ in RULES for label, _, _, _, p in licenses.WORDINGS if (r["label"], r["pattern"]) == (label, p)}
+    assert len(own) == len(licenses.WORDINGS)
+    rows, want = [], []
+    for label, _, _, _, pattern in licenses.WORDINGS:
+        for text in shortest(parser.parse(pattern)):
+            rows.append((len(rows), f"before it, {text.capitalize()}; behind it"))
+            want.append((own[label, pattern], label))
+    check(docs(spark, rows), rows)
+    for (_, text), (rule, label) in zip(rows, want):
+        assert (rule, label) in {(d[3], d[4]) for d in brute(text)[2]}, (text, label)
+        rest = [regex for r, regex in RULES if r["id"] != rule and r["tier"] == 0]
+        assert not any(regex.search(" " + " ".join(re.findall(r"[a-z0-9]+", text.lower())) + " ") for regex in rest), text

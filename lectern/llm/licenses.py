@@ -11,6 +11,8 @@ rule, stays.  Everything happens within the row: no shuffle, and no cap.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -330,10 +332,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     not read.
     """
     all_rules = rules()
-    literal = F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.lit(r["keyword"]).alias("keyword"), F.lit(r["regex"]).alias("regex"),
-                                 F.lit(r["tier"]).alias("tier"), F.lit(r["label"]).alias("label"), F.lit(r["score"]).alias("score"),
-                                 F.lit(r["base"]).alias("base")) for r in all_rules])
-    keywords = F.array(*[F.lit(k) for k in sorted({r["keyword"] for r in all_rules})])
+    # one constant each: a column per field of every rule takes the driver half a minute
+    literal = F.from_json(F.lit(json.dumps(all_rules)), "array<struct<id:int,keyword:string,regex:string,tier:int,label:string,score:double,base:boolean>>")
+    keywords = F.split(F.lit(" ".join(sorted({r["keyword"] for r in all_rules}))), " ")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     normed = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), normal_form(text).alias("norm"))
     hits = normed.select("id", "norm", F.array_intersect(F.split("norm", " "), keywords).alias("hits"),

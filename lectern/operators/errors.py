@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edit import char_edit_distance, with_any_distances, with_word_distances
+from ..functions.edit import char_edit_distance, document_errors, with_word_distances
 from ..functions.text import basic_normalize
 from ..functions.tokenize import cer_text, wer_words
 
@@ -39,23 +39,23 @@ def error_stats(df: DataFrame, sides: dict[str, tuple[str, str]],
     """Add ``{prefix}{kind}_err`` / ``{prefix}{kind}_n`` per side pair.
 
     ``sides`` maps an output prefix to ``(ref column, hyp column)``.  With
-    ``long_pairs`` texts may be whole documents: their distances take linear
-    memory and a step per symbol of the shorter side.
+    ``long_pairs`` texts may be whole documents: one function takes each pair
+    apart and counts, in linear memory and about a step per symbol.
     """
     keep = list(df.columns)
-    st = _stage_tokens(df, sides)
     if long_pairs:
-        st = with_any_distances(st, [(f"_{p}_rw", f"_{p}_hw", f"_{p}_wd") for p in sides if "wer" in kinds],
-                                [(f"_{p}_rc", f"_{p}_hc", f"_{p}_cd") for p in sides if "cer" in kinds])
-    elif "wer" in kinds:
+        st = df.select(*keep, *[document_errors(ref, hyp, "wer" in kinds, "cer" in kinds).alias(f"_{p}_e") for p, (ref, hyp) in sides.items()])
+        return st.select(*keep, *[F.col(f"_{p}_e.{k}_{c}").alias(f"{p}{k}_{c}") for p in sides for k in ("wer", "cer") if k in kinds
+                                  for c in ("err", "n")])
+    st = _stage_tokens(df, sides)
+    if "wer" in kinds:
         st = with_word_distances(st, [(f"_{p}_rw", f"_{p}_hw", f"_{p}_wd") for p in sides])
     out = [F.col(c) for c in keep]
     for p in sides:
         if "wer" in kinds:
             out += [F.col(f"_{p}_wd").alias(f"{p}wer_err"), F.size(f"_{p}_rw").alias(f"{p}wer_n")]
         if "cer" in kinds:
-            distance = F.col(f"_{p}_cd") if long_pairs else char_edit_distance(f"_{p}_rc", f"_{p}_hc")
-            out += [distance.alias(f"{p}cer_err"),
+            out += [char_edit_distance(f"_{p}_rc", f"_{p}_hc").alias(f"{p}cer_err"),
                     F.length(f"_{p}_rc").alias(f"{p}cer_n")]
     return st.select(*out)
 

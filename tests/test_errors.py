@@ -107,3 +107,23 @@ def test_linear_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert 10_000 < d <= 20_000 and peak < 12 << 20  # the table would have 4e8 cells
+
+
+def test_only_diagonals_near_the_best_path(monkeypatch):
+    """Long texts with some edits: the rows made at once are few beside the text."""
+    rng, made, masks = random.Random(6), [], edit._masks
+    monkeypatch.setattr(edit, "_masks", lambda rows, columns: made.append(len(rows)) or masks(rows, columns))
+    a = "".join(rng.choices("abcdefgh ", k=40_000))
+    b = "".join(x for k, x in enumerate(a) if k % 50) + "zz"
+    assert bit_distance(a, b) == 802
+    assert len(made) > 10 and max(made) < 6_000
+    for rate in (0.0, 0.01, 0.2, 1.0):  # the bands that grow end where the whole table does
+        a = rng.choices(range(30), k=900)
+        b = [rng.randrange(30) if rng.random() < rate else x for x in a if rng.random() >= rate / 3]
+        assert bit_distance(a, b) == bit_distance("".join(chr(97 + x) for x in a), "".join(chr(97 + x) for x in b)) == lev(a, b)
+
+
+def test_documents_of_blanks_and_without_a_side(spark):
+    rows = [(0, " a　 b  c ", "a b\tc"), (1, "a", None), (2, None, "a"), (3, None, None), (4, " \n ", "a"), (5, "", "")]
+    df = spark.createDataFrame(rows, "k int, ref string, hyp string")
+    assert ER.pair_errors(df, long_pairs=True).orderBy("k").collect() == ER.pair_errors(df).orderBy("k").collect()

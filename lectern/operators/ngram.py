@@ -6,8 +6,11 @@ Columns per pair and metric: ``hyp_len``, ``ref_len`` and for every order n
 (clipped matches).  Every column is additive, so a corpus score is a ``sum`` per
 group followed by one closed formula.
 
-Tokens and characters are made in the JVM; one Arrow function per metric counts
-the matches of a whole batch of pairs.  A unit becomes a small number, the units
+Words of short texts are made in the JVM.  One Arrow function per metric takes all
+other texts of a batch apart, as arrays of code points, and counts the matches.  Equal texts match in full.  In others,
+n-grams that stand at the same place from the front or from the end of both sides
+match each other and are set aside, so that only those near differences are
+sorted.  There, a unit becomes a small number, the units
 that follow it (as many as the highest order) are packed behind it into one
 integer, and one sort of these suffixes serves all orders: n-grams that are equal
 stand next to each other whatever n is.  No row is made per n-gram, and nothing
@@ -20,16 +23,21 @@ has ``n_pairs`` 0, null statistics and its number in ``n_skipped``.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tokenize import chrf_string, tokenize_13a
+from ..functions.regex import PY_SPACE_CODEPOINTS
+from ..functions.tokenize import TOK13A_ENTITIES, TOK13A_RULES, tokenize_13a
 
 BLEU_ORDER = 4
 CHRF_ORDER = 6
+#: Characters of a side from which a pair's words are made in the Arrow function.
+LONG_TEXT = 256
 #: Units and pairs that are sorted together.
 _UNITS, _PAIRS = 1 << 18, 256
 
@@ -44,6 +52,30 @@ def _packed(units: np.ndarray, ends: np.ndarray, take: range, bits: int) -> np.n
     return out
 
 
+def _aligned(parts: list[np.ndarray], lengths: np.ndarray, n_pairs: int, ends: np.ndarray, order: int, out: np.ndarray) -> np.ndarray:
+    """Count in ``out`` the n-grams of positions that hold the same units as the
+    position of the other side that is as far from the front, or from the end;
+    returns the positions that are left."""
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    hyp, ref = lengths[:n_pairs], lengths[n_pairs:]
+    place = np.arange(at[n_pairs])
+    owner = np.repeat(np.arange(n_pairs), hyp)
+    left = np.ones(at[-1], bool)
+    for shift, there in ((at[n_pairs:-1] - at[:n_pairs], place - at[owner] < ref[owner]),
+                         (at[n_pairs + 1:] - at[1:n_pairs + 1], at[owner + 1] - place <= ref[owner])):
+        mine = np.flatnonzero(there & left[:len(place)])
+        its = mine + shift[owner[mine]]
+        same = left[its]
+        for x in parts:
+            same &= x[mine] == x[its]
+        mine, its = mine[same], its[same]
+        left[mine] = left[its] = False
+        room = ends[mine] - mine
+        for n in range(1, order + 1):
+            out[:, n - 1] += np.bincount(owner[mine[room >= n]], minlength=n_pairs)
+    return left
+
+
 def _chunk_matches(units: np.ndarray, lengths: np.ndarray, n_pairs: int, order: int) -> np.ndarray:
     """Clipped matches (pair, order) of the texts of ``n_pairs`` hypotheses and
     then as many references, laid one behind the other; units are 0 or more."""
@@ -59,15 +91,21 @@ def _chunk_matches(units: np.ndarray, lengths: np.ndarray, n_pairs: int, order:
     pair, side = (text % n_pairs).astype(np.uint64), (text >= n_pairs).astype(np.uint64)
     one = np.uint64(1)
     if pair_bits + order * bits + 1 <= 64:
-        key = (pair << np.uint64(order * bits)) | _packed(units, ends, range(order), bits)
-        key = np.sort((key << one) | side)
-        side, parts, sizes = (key & one).astype(np.int64), [key >> one], [order]
+        parts, sizes = [(pair << np.uint64(order * bits)) | _packed(units, ends, range(order), bits)], [order]
     else:  # two integers hold what one can't
         half = (order + 1) // 2
-        high = (pair << np.uint64(half * bits)) | _packed(units, ends, range(half), bits)
-        low = _packed(units, ends, range(half, order), bits)
-        by = np.lexsort((low, high))
-        side, parts, sizes = side[by].astype(np.int64), [high[by], low[by]], [half, order - half]
+        parts = [(pair << np.uint64(half * bits)) | _packed(units, ends, range(half), bits), _packed(units, ends, range(half, order), bits)]
+        sizes = [half, order - half]
+    left = _aligned(parts, lengths, n_pairs, ends, order, out)
+    parts, side = [x[left] for x in parts], side[left]
+    if not len(side):
+        return out
+    if len(parts) == 1:
+        key = np.sort((parts[0] << one) | side)
+        side, parts = (key & one).astype(np.int64), [key >> one]
+    else:
+        by = np.lexsort((parts[1], parts[0]))
+        side, parts = side[by].astype(np.int64), [x[by] for x in parts]
     mask = np.uint64((1 << bits) - 1)
     owner = (parts[0] >> np.uint64(sizes[0] * bits)).astype(np.int64)
     for n in range(1, order + 1):
@@ -84,7 +122,7 @@ def _chunk_matches(units: np.ndarray, lengths: np.ndarray, n_pairs: int, order:
             new[1:] |= c[1:] != c[:-1]
         begin = np.flatnonzero(new)
         both, ref = np.diff(np.append(begin, len(whole))), np.add.reduceat(side[whole], begin)
-        out[:, n - 1] = np.bincount(owner[whole[begin]], np.minimum(ref, both - ref), n_pairs).astype(np.int64)
+        out[:, n - 1] += np.bincount(owner[whole[begin]], np.minimum(ref, both - ref), n_pairs).astype(np.int64)
     return out
 
 
@@ -141,10 +179,113 @@ def _statistics_type(prefix: str, order: int) -> T.StructType:
     return T.StructType([T.StructField(c, T.LongType()) for c in names])
 
 
-def _statistics(units: list[np.ndarray], missing: np.ndarray, prefix: str, order: int) -> pa.Array:
-    hyp, hyp_at, ref, ref_at = units
-    hl, rl = np.diff(hyp_at), np.diff(ref_at)
-    m = gram_matches(hyp, hyp_at, ref, ref_at, order)
+def _strings(column: pa.Array) -> list[str | None]:
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and offsets."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), np.cumsum([0, *map(len, texts)])
+
+
+_SPACE, _DIGIT, _SIGN, _STOP, _DASH = range(1, 6)
+
+
+def _kinds() -> np.ndarray:
+    """What each code point is to the 13a rules; 0, also for those behind the table, is a letter."""
+    out = np.zeros(max(PY_SPACE_CODEPOINTS) + 2, np.uint8)
+    sign = re.compile(TOK13A_RULES[0][0])
+    out[[c for c in range(128) if sign.fullmatch(chr(c))]] = _SIGN
+    out[PY_SPACE_CODEPOINTS] = _SPACE
+    out[ord("0"):ord("9") + 1] = _DIGIT
+    out[[ord("."), ord(",")]] = _STOP
+    out[ord("-")] = _DASH
+    return out
+
+
+_KINDS = _kinds()
+
+
+def _kind(points: np.ndarray) -> np.ndarray:
+    return _KINDS[np.minimum(points, len(_KINDS) - 1)]
+
+
+def _tokens_13a(texts: list[str]) -> pa.LargeListArray:
+    """:func:`lectern.functions.tokenize.tokenize_13a` of each text, tokens as their
+    code points.  The rules as borders between characters: around a sign, around a
+    dash behind a digit, and around the stops and commas of a run.  A stop stays with
+    the digits around it; of several, the last one stays with a digit that follows
+    when the rules, which take two characters at a time, leave it over."""
+    padded = []
+    for t in texts:
+        t = t.rstrip().replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+        for src, dst in TOK13A_ENTITIES:
+            t = t.replace(src, dst)
+        padded.append(f" {t} ")
+    points, at = _points(padded)
+    kind = _kind(points)
+    opens = np.zeros(len(points) + 1, bool)  # a border stands before
+    digit, stop = kind == _DIGIT, kind == _STOP
+    alone = (kind == _SIGN) | stop
+    alone[1:] |= (kind[1:] == _DASH) & digit[:-1]
+    opens[:-1] |= alone
+    opens[1:] |= alone
+    step = np.diff(stop.astype(np.int8))
+    first, last = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1)
+    before, behind, odd = digit[first - 1], digit[last + 1], (last - first) % 2 == 0
+    opens[last[behind & (odd == before)] + 1] = False
+    opens[first[before & behind & (first == last)]] = False
+    seen = kind != _SPACE
+    opens[1:-1] |= ~seen[:-1]
+    begins = opens[:-1] & seen
+    counts = np.concatenate(([0], np.cumsum(begins)))
+    kept = points[seen]
+    offsets = np.append(np.flatnonzero(begins[seen]), len(kept)) * 4
+    values = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(kept)])
+    return pa.LargeListArray.from_arrays(pa.array(counts[at], pa.int64()), values)
+
+
+def _word_lists(hyp: list[str], ref: list[str]) -> list[np.ndarray]:
+    return _word_units(_tokens_13a(hyp), _tokens_13a(ref))
+
+
+def _visible(texts: list[str]) -> list[np.ndarray]:
+    """Code points but white space, and offsets."""
+    points, at = _points(texts)
+    seen = _kind(points) != _SPACE
+    return [points[seen], np.concatenate(([0], np.cumsum(seen)))[at]]
+
+
+def _char_lists(hyp: list[str], ref: list[str]) -> list[np.ndarray]:
+    return [*_visible(hyp), *_visible(ref)]
+
+
+def _measured(hyp: pa.Array, ref: pa.Array, units, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of both sides and matches of whole pairs; ``units(hyp, ref)`` takes lists of texts apart."""
+    sides = [_strings(c) for c in (hyp, ref)]
+    which = np.flatnonzero(np.asarray([h != r for h, r in zip(*sides)], bool))
+    rl = np.diff(units([], sides[1])[3])
+    hl, m = rl, np.maximum(rl[:, None] - np.arange(order), 0)  # equal texts match in full
+    if len(which):
+        taken = units(*[[s[k] for k in which] for s in sides])
+        hl = rl.copy()
+        hl[which] = np.diff(taken[1])
+        m[which] = gram_matches(*taken, order)
+    return hl, rl, m
+
+
+def _whole(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+    return ~(np.asarray(hyp.is_null()) | np.asarray(ref.is_null()))
+
+
+def _statistics(found: list[tuple], prefix: str, order: int) -> pa.Array:
+    """``found`` holds, for each way that pairs went, which ones did and
+    their lengths and matches; the other rows are null."""
+    n_rows = len(found[0][0])
+    missing, hl, rl, m = np.ones(n_rows, bool), *np.zeros((2, n_rows), np.int64), np.zeros((n_rows, order), np.int64)
+    for which, *values in found:
+        missing &= ~which
+        hl[which], rl[which], m[which] = values
     columns = [hl, rl]
     for n in range(1, order + 1):
         h, r = np.maximum(hl - n + 1, 0), np.maximum(rl - n + 1, 0)
@@ -155,26 +296,31 @@ def _statistics(units: list[np.ndarray], missing: np.ndarray, prefix: str, order
     return pa.StructArray.from_arrays([pa.array(c, pa.int64(), mask=missing) for c in columns], names=names)
 
 
-def _missing(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
-    return np.asarray(hyp.is_null()) | np.asarray(ref.is_null())
+def _taken(columns: tuple[pa.Array, pa.Array], which: np.ndarray) -> list[pa.Array]:
+    return [c.filter(pa.array(which)) for c in columns]
 
 
 def bleu_statistics(hyp, ref, order: int = BLEU_ORDER) -> Column:
     """BLEU statistics of a pair as a struct ``b_*``; null fields where a side is null."""
     @F.arrow_udf(_statistics_type("b_", order))
-    def count(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        return _statistics(_word_units(hyp, ref), _missing(hyp, ref), "b_", order)
+    def count(hyp: pa.Array, ref: pa.Array, hyp_words: pa.Array, ref_words: pa.Array) -> pa.Array:
+        long, short = _whole(hyp, ref), _whole(hyp_words, ref_words)
+        units = _word_units(*_taken((hyp_words, ref_words), short))
+        return _statistics([(long, *_measured(*_taken((hyp, ref), long), _word_lists, order)),
+                            (short, np.diff(units[1]), np.diff(units[3]), gram_matches(*units, order))], "b_", order)
 
-    return count(tokenize_13a(hyp), tokenize_13a(ref))
+    long = (F.char_length(hyp) >= LONG_TEXT) | (F.char_length(ref) >= LONG_TEXT)
+    return count(F.when(long, hyp), F.when(long, ref), F.when(~long, tokenize_13a(hyp)), F.when(~long, tokenize_13a(ref)))
 
 
 def chrf_statistics(hyp, ref, order: int = CHRF_ORDER) -> Column:
     """chrF statistics of a pair as a struct ``c_*``; null fields where a side is null."""
     @F.arrow_udf(_statistics_type("c_", order))
     def count(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        return _statistics([*_char_units(hyp), *_char_units(ref)], _missing(hyp, ref), "c_", order)
+        whole = _whole(hyp, ref)
+        return _statistics([(whole, *_measured(*_taken((hyp, ref), whole), _char_lists, order))], "c_", order)
 
-    return count(chrf_string(hyp), chrf_string(ref))
+    return count(hyp, ref)
 
 
 def row_statistics(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", metrics: str = "bc", keep: list[str] | None = None,

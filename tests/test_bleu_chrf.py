@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import mt_metrics as MT
 from lectern.operators import ngram as NG
-from tests.oracles import bleu_score, bleu_stats, chrf_score, chrf_stats
+from tests.oracles import bleu_score, bleu_stats, chrf_score, chrf_stats, tok13a
 
 PAIRS = [("the cat sat on the mat", "the cat sat on the mat"), ("", "a b c d"), ("a b c d", ""),
          ("", ""), ("a b", "a b"), ("ẹ́ gbọ́ 😀 x", "ẹ gbọ́ 😀 x"), ("Hello, world. 3.14", "Hello world 3.14 !"),
@@ -130,3 +130,37 @@ def test_row_statistics_keep_every_row(spark):
     df = spark.createDataFrame([(1, "a b", "a b"), (1, "a b", "a b"), (2, None, "x")], "k int, hyp string, ref string")
     rows = NG.row_statistics(df, metrics="b").orderBy("k").collect()
     assert [(r.k, r.n_pairs, r.n_skipped, r.b_m2) for r in rows] == [(1, 1, 0, 1), (1, 1, 0, 1), (2, 0, 1, None)]
+
+
+def test_long_texts_taken_apart_like_short_ones(spark, monkeypatch):
+    """The borders of the Arrow function are those of the rules, and pairs of any
+    length, equal or not, have the statistics of the plain counts."""
+    rng = random.Random(9)
+    signs = "ab1.,-5 \n\t/é“”&'　\x1f\"<"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) + rng.choice(["", "", "1..5", "a.,.5", "&amp;lt;", "-\n", "<skipped>"]) for _ in range(4000)]
+    assert [[w.decode("utf-32-le") for w in ws] for ws in NG._tokens_13a(texts).to_pylist()] == [tok13a(t) for t in texts]
+    rows = []
+    for k in range(60):
+        ref = "".join(rng.choices("abc de.“1", k=rng.choice([0, 30, 400])))
+        hyp = rng.choice([ref, ref.replace("“", '"'), "".join(x for x in ref if rng.random() < 0.95) + "“x"])
+        rows.append((k, hyp, ref))
+    df = spark.createDataFrame([*rows, (100, None, "x" * 500), (101, "x" * 500, None), (102, None, None)], "k int, hyp string, ref string")
+    for long in (0, 256, 1 << 30):
+        monkeypatch.setattr(NG, "LONG_TEXT", long)
+        got = NG.row_statistics(df).orderBy("k").collect()
+        assert [r.n_skipped for r in got] == [0] * 60 + [1] * 3 and all(r.b_m1 is None and r.c_m1 is None for r in got[60:])
+        for (_, hyp, ref), r in zip(rows, got):
+            hl, rl, m, t = bleu_stats(hyp, ref)
+            assert (r.b_hyp_len, r.b_ref_len, [r[f"b_m{n}"] for n in range(1, 5)], [r[f"b_h{n}"] for n in range(1, 5)]) == (hl, rl, list(m), list(t))
+            assert [[r[f"c_{x}{n}"] for x in "hrm"] for n in range(1, 7)] == [list(x) for x in chrf_stats(hyp, ref)]
+
+
+def test_few_positions_sorted(monkeypatch):
+    """Beside a changed word only the n-grams near it are left to sort."""
+    left, aligned = [], NG._aligned
+    monkeypatch.setattr(NG, "_aligned", lambda *a: left.append(aligned(*a)) or left[-1])
+    text = "abc defg " * 500
+    for other in (text[:2000] + "X" + text[2001:], text[:2000] + "XYZ" + text[2000:]):
+        hyp, ref = pa.array([other]), pa.array([text])
+        assert NG._measured(hyp, ref, NG._char_lists, 6)[2][0].tolist() == [s[2] for s in chrf_stats(other, text)]
+        assert left.pop().sum() < 30

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -79,6 +80,14 @@ def cut(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def release() -> None:
+    """Give what a task has freed back to the system.  A worker lives on through
+    the stages behind, and the C library keeps the most that any of them used."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 5 << 20) -> Iterator[tuple[list, list]]:
     """``(ids, datas)`` of at most so many rows, and of not much more than so many
     bytes; they keep a task's memory flat."""
@@ -102,6 +111,7 @@ def map_rows(df: DataFrame, fn: Callable[[list, list], pa.RecordBatch], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, datas in slices(batches):
             yield fn(ids, datas)
+        release()
 
     return df.mapInArrow(run, schema)
 

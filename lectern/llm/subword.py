@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lectern.llm.common import release
+
 #: Characters that some tokenizers take for white space although ASCII doesn't.
 _ODD_SPACE = re.compile(rb"[\x02\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Opens a byte-level chunk that no space stands before; byte-level texts that hold
@@ -36,6 +38,8 @@ _WORD_PLAIN = re.compile(f"[{_L}{_N}{_P}]+")
 _WORD_PARTS = re.compile(f"[{_L}]+|[{_N}]|[{_P}]+")
 _BYTE_PLAIN = re.compile(f" ?[{_L}{_N}{_P}]+(?:\n[{_L}{_N}{_P}]+)*")
 _BYTE_PARTS = re.compile(f" ?[{_L}]+| ?[{_N}]+| ?[{_P}]+|\n")
+#: A chunk of letters alone, in RE2's form: most are, and each is one pre-token.
+_LETTERS = "^ ?[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{24f}]+$"
 
 #: Chunks that a worker remembers, in each of two generations.
 REMEMBERED = 100_000
@@ -59,8 +63,8 @@ class _Recent:
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def ensure(self, keys: set, make) -> dict:
-        """A mapping that holds every one of ``keys``; ``make(list)`` gives the
+    def ensure(self, keys: set | list, make) -> dict:
+        """A mapping that holds every one of ``keys``, each once; ``make(list)`` gives the
         values of those not remembered."""
         young, old, new = self.young, self.old, []
         for k in keys:
@@ -102,37 +106,46 @@ class LibraryEncoder:
     def forget(self) -> None:
         for recent in (self.chunks, self.firsts, self.parts):
             recent.forget()
-        pa.default_memory_pool().release_unused()
+        release()
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, parts: list[str]) -> list[bytes]:
         """The ids of pre-tokens by the library's model."""
-        out, shown, tokenize = [], self.shown, self.model.tokenize
+        ids, ends, shown, tokenize = [], [0], self.shown, self.model.tokenize
         for p in parts:
             if not p.isascii() or p == "\n":
                 p = "".join([shown[b] for b in p.encode()])
             elif p[0] == " ":
                 p = shown[32] + p[1:]
-            out.append(array("I", [t.id for t in tokenize(p)]).tobytes())
-        return out
+            ids += [t.id for t in tokenize(p)]
+            ends.append(len(ids))
+        raw = array("I", ids).tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(ends, ends[1:])]
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        if self.spaces_dropped:
-            cut = [_WORD_PARTS.findall(c.lower()) if _WORD_PLAIN.fullmatch(c) else None for c in chunks]
-        else:
-            cut = [_BYTE_PARTS.findall(c) if _BYTE_PLAIN.fullmatch(c) else None for c in chunks]
-        single = iter(self._part([c[0] for c in cut if c and len(c) == 1]))
-        got = self.parts.ensure({p for c in cut if c and len(c) > 1 for p in c}, self._part).__getitem__
-        return [self._whole(text) if c is None else next(single) if len(c) == 1 else b"".join(map(got, c)) for text, c in zip(chunks, cut)]
-
-    def _lookup(self, flat: pa.Array, recent: _Recent, source=str) -> tuple[np.ndarray, memoryview]:
+        dropped = self.spaces_dropped
+        plain, parts = (_WORD_PLAIN.fullmatch, _WORD_PARTS.findall) if dropped else (_BYTE_PLAIN.fullmatch, _BYTE_PARTS.findall)
+        letters = pc.match_substring_regex(pa.array(chunks, pa.string()), _LETTERS).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(chunks)
+        alone = np.flatnonzero(letters).tolist()
+        words = [chunks[k] for k in alone]
+        for k, ids in zip(alone, self._part([w.lower() for w in words] if dropped else words)):
+            out[k] = ids
+        others = np.flatnonzero(~letters).tolist()
+        cut = [(parts(chunks[k].lower() if dropped else chunks[k]) if plain(chunks[k]) else None) for k in others]
+        got = self.parts.ensure({p for c in cut if c for p in c}, self._part).__getitem__
+        for k, c in zip(others, cut):
+            out[k] = self._whole(chunks[k]) if c is None else b"".join(map(got, c))
+        return out
+
+    def _lookup(self, flat: pa.Array, recent: _Recent, source=None) -> tuple[np.ndarray, memoryview]:
         """The ids of all chunks behind one another, and where each begins;
         ``source`` gives the text that a chunk stands for."""
         coded = flat.dictionary_encode()
         keys = coded.dictionary.to_pylist()
-        got = recent.ensure(set(keys), lambda new: self._encode([source(k) for k in new]))
+        got = recent.ensure(keys, lambda new: self._encode([source(k) for k in new] if source else new))
         values = pa.array([got[k] for k in keys], pa.binary()).take(coded.indices)
         _, offsets, data = values.buffers()
         return np.frombuffer(offsets, np.int32)[: len(values) + 1], memoryview(data) if data is not None else memoryview(b"")

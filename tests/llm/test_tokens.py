@@ -1,6 +1,7 @@
 """Encoding, files of records, packing: all against the tokenizer libraries on whole texts."""
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -268,3 +269,31 @@ def test_spans_of_the_query_cover_the_texts(spark):
         for a, b in spans:
             held[a:b] = b"\1" * (b - a)
         assert not any(c > 32 and not h for c, h in zip(data, held))
+
+
+@pytest.mark.parametrize("kind", ["word", "byte"])
+def test_words_of_letters_reach_the_model_as_they_are(kind, monkeypatch):
+    """Chunks of letters aren't matched one by one, and the letters are those of
+    the patterns that take chunks apart."""
+    import public_tokenizers
+    import pyarrow.compute as pc
+    from tokenizers import Tokenizer
+
+    from lectern.llm import subword
+
+    class Never:
+        def fullmatch(self, text):
+            raise AssertionError(text)
+
+        findall = fullmatch
+
+    signs = [chr(c) for c in range(0x300)]
+    letters = pc.match_substring_regex(pa.array(signs), subword._LETTERS).to_pylist()
+    assert letters == [re.fullmatch(f"[{subword._L}]", c) is not None for c in signs]
+    path = public_tokenizers.path("word_bpe_49k.json" if kind == "word" else "byte_bpe_50k.json")
+    for name in ("_WORD_PLAIN", "_WORD_PARTS", "_BYTE_PLAIN", "_BYTE_PARTS"):
+        monkeypatch.setattr(subword, name, Never())
+    texts = ["Some plain Words", "wörds ÄÉß Ǆ and ɏ", "a", ""]
+    got = subword.LibraryEncoder(path, spaces_dropped=kind == "word").encode([t.encode() for t in texts if t])
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts if t]

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, pairs, shuffle_partitions
+from lectern.llm.common import cut, pairs, release, shuffle_partitions
 
 MIN_LENGTH = 50
 MODULUS = 31
@@ -340,6 +340,7 @@ def _blocks(docs: DataFrame, block_bytes: int, partitions: int) -> DataFrame:
                         yield out()
         if ids:
             yield out()
+        release()
 
     made = docs.mapInArrow(run, "block long, n long, blob binary, has_id binary, ids binary, sizes binary, rest binary")
     # A checkpoint made under adaptive execution forgets how it is partitioned,
@@ -367,6 +368,7 @@ def _each(fn, schema: str):
         for batch in batches:
             for k in range(batch.num_rows):
                 yield from fn(batch.slice(k, 1).to_pylist()[0])
+        release()
 
     return lambda df: df.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, utf8
+from lectern.llm.common import cut, release, utf8
 
 #: Labelled rows that are learned from, about; chosen by a hash of the id.
 MAX_LABELLED = 16_000
@@ -279,6 +279,7 @@ def _few(datas: Iterable[bytes]) -> Iterator[list[str]]:
             texts, size = [], 0
             pa.default_memory_pool().release_unused()
     yield texts
+    release()
 
 
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
